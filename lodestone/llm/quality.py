@@ -75,7 +75,7 @@ RULES: tuple[Rule, ...] = (
     Rule("few_words", ("n_words",), lambda s: s.n_words < 50),
     Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda s: 100 * s.n_repeat_words > 50 * s.n_words),
     Rule("symbols", ("n_symbols", "n_words"), lambda s: 10 * s.n_symbols > s.n_words),
-    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda s: 100 * s.n_dup_lines > 30 * s.n_lines),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda s: 2 * s.n_dup_lines > s.n_lines),
     Rule("capitals", ("n_upper", "n_lower"), lambda s: s.n_upper > s.n_lower),
     Rule("word_length", ("word_chars", "n_words"), lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 20 * s.n_words)),
 )

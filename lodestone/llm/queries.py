@@ -72,7 +72,7 @@ s AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(list_con
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR n_upper > n_lower
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR n_upper > n_lower
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b"""
 
