@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, html, licenses, quality, secrets, sentencepiece_table, urls
+from lodestone.llm import chat, decontam, html, licenses, minhash, quality, secrets, sentencepiece_table, urls
 from lodestone.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(rows))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_minhash": op2_minhash,
     "op4_secret_scans": op4_secret_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_html_extraction": op6_html_extraction,
@@ -77,6 +82,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        count(*) FILTER (role = 'assistant' OR i = last) AS n_examples
 FROM ends GROUP BY conv_id"""
 
+_SQL2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+class AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets GROUP BY list_sort(s) HAVING len(list_sort(s)) > 0),
+items AS (SELECT c, len(s) AS n, unnest(s) AS x FROM class),
+pairs AS (SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c < b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+          GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+comp AS (SELECT a, least(a, min(b)) AS k FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.k, class.c, doc_id) AS component_id, doc_id = coalesce(comp.k, class.c, doc_id) AS kept
+FROM sets LEFT JOIN class ON list_sort(sets.s) = class.s LEFT JOIN comp ON comp.a = class.c"""
+
 _SQL8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -138,6 +159,7 @@ urls_upper, urls_lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwx
 
 ORACLES = {
     "op1_chat_formatting": _SQL1,
+    "op2_minhash": _SQL2,
     "op8_quality_rules": _SQL8,
     "op9_license_scans": _sql9(),
     "op10_url_filters": _sql10(),
