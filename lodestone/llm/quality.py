@@ -111,10 +111,9 @@ def cascade(rules: Sequence[Rule], stats: Mapping[str, Column]) -> Column:
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with rejected_by: the rule that rejects the text, null for texts to keep."""
     ordered = order_rules(docs, rules, text, sample_rows)
-    held = docs.drop("rejected_by")
-    wide = held.withColumn("_quality_words", words(F.coalesce(F.col(text), F.lit(""))))
-    stats = stat_columns(F.coalesce(F.col(text), F.lit("")), F.col("_quality_words"))
-    return wide.withColumn("rejected_by", cascade(ordered, stats)).drop("_quality_words")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # One expression, its words bound once: a filter pushed below it must not split the text anew for every word.
+    return docs.withColumn("rejected_by", let(words(whole), lambda w: cascade(ordered, stat_columns(whole, w))))
 
 
 def report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
