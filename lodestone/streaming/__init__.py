@@ -1 +1 @@
-
+"""Streams of benchmark output."""
