@@ -183,12 +183,12 @@ def majority_class(spark: SparkSession, d: str) -> DataFrame:
     return L.majority(table(spark, d, "lineitem"), "l_linenumber", "l_returnflag")
 
 
-@add("""WITH f AS (SELECT 0 AS at, 'l_quantity' AS feature, l_quantity AS x, l_returnflag AS y FROM lineitem UNION ALL SELECT 1, 'l_discount', l_discount, l_returnflag FROM lineitem UNION ALL SELECT 2, 'l_tax', l_tax, l_returnflag FROM lineitem),
-g AS (SELECT at, feature, x, c.y, count(*) FILTER (f.y = c.y)::DOUBLE AS n FROM f, (SELECT DISTINCT l_returnflag AS y FROM lineitem) c GROUP BY ALL),
+@add("""WITH f AS (SELECT 0 AS pos, 'l_quantity' AS feature, l_quantity AS x, l_returnflag AS y FROM lineitem UNION ALL SELECT 1, 'l_discount', l_discount, l_returnflag FROM lineitem UNION ALL SELECT 2, 'l_tax', l_tax, l_returnflag FROM lineitem),
+g AS (SELECT pos, feature, x, c.y, count(*) FILTER (f.y = c.y)::DOUBLE AS n FROM f, (SELECT DISTINCT l_returnflag AS y FROM lineitem) c GROUP BY ALL),
 w AS (SELECT *, sum(n) OVER (PARTITION BY feature, y ORDER BY x) AS l, sum(n) OVER (PARTITION BY feature, y) AS t FROM g),
-s AS (SELECT at, feature, x, sum(l) AS nl, sum(t - l) AS nr, sum(l * l) AS l2, sum((t - l) * (t - l)) AS r2, sum(t * t) AS t2 FROM w GROUP BY ALL),
+s AS (SELECT pos, feature, x, sum(l) AS nl, sum(t - l) AS nr, sum(l * l) AS l2, sum((t - l) * (t - l)) AS r2, sum(t * t) AS t2 FROM w GROUP BY ALL),
 c AS (SELECT *, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM s)
-SELECT feature, round(threshold, 9) AS threshold, round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 9) AS gain FROM c WHERE threshold IS NOT NULL ORDER BY round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 12) DESC, at, threshold LIMIT 1""")
+SELECT feature, round(threshold, 9) AS threshold, round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 9) AS gain FROM c WHERE threshold IS NOT NULL ORDER BY round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 12) DESC, pos, threshold LIMIT 1""")
 def best_split(spark: SparkSession, d: str) -> DataFrame:
     s = L.best_split(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")
     return s.select("feature", rounded(F.col("threshold"), 9).alias("threshold"), rounded(F.col("gain"), 9).alias("gain"))
