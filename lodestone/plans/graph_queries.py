@@ -60,7 +60,7 @@ FROM vs LEFT JOIN i ON v = i.dst LEFT JOIN o ON v = o.src, n""")
 def degree_directed(spark: SparkSession, d: str) -> DataFrame:
     lineitem = table(spark, d, "lineitem")
     n = lineitem.agg(F.max("l_partkey")).first()[0] + 1
-    return G.degree_centrality(S.Graph.from_edges(S.copurchase_edges(lineitem), directed=True, n=n))
+    return G.degree_centrality(S.Graph.from_edges(S.copurchase_edges(lineitem), directed=True, n=n, checked=True))
 
 
 _TRI = "tri AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst)"

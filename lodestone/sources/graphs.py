@@ -23,10 +23,12 @@ class Graph:
     directed: bool = False
 
     @staticmethod
-    def from_edges(edges: DataFrame, directed: bool = False, n: int | None = None) -> Graph:
-        """edges: src, dst and perhaps weight (1.0 if missing). The least weight of repeated edges stays. A negative id raises."""
+    def from_edges(edges: DataFrame, directed: bool = False, n: int | None = None, checked: bool = False) -> Graph:
+        """edges: src, dst and perhaps weight (1.0 if missing). The least weight of repeated edges stays. A negative id raises.
+
+        checked: n is given and no id is negative or beyond it, so that nothing needs to be read now."""
         rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)).alias("weight"))
-        low, high = rows.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+        low, high = (None, None) if checked else rows.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
         if low is not None and low < 0:
             raise ValueError("vertex ids must not be negative")
         size = n if n is not None else 0 if high is None else high + 1
@@ -96,4 +98,5 @@ def copurchase_edges(lineitem: DataFrame, least_quantity: float = 40.0) -> DataF
 def copurchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = lineitem.agg(F.max("l_partkey")).first()[0] + 1
-    return Graph.from_edges(copurchase_edges(lineitem), n=n)
+    g = Graph.from_edges(copurchase_edges(lineitem), n=n, checked=True)
+    return Graph(g.vertices, g.arcs.persist(), g.directed)  # most features read the arcs several times
