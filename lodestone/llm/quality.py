@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from lodestone.llm.common import let, words
 
 #: Rows of the sample on which costs and rejections are estimated; nothing else is taken from a sample.
 SAMPLE_ROWS = 400
+#: Longer texts aren't taken into the sample, which goes through the driver.
+SAMPLE_CHARS = 50_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower")
 
 
@@ -83,21 +86,18 @@ BASE_RULES = ("few_words", "repeated_windows")
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second, both estimated on the first `sample_rows` rows that Spark delivers."""
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).select("t", words(F.col("t")).alias("w")).persist()
-    try:
-        total = sample.count()
-        if not total:
-            return list(rules)
-        stats = stat_columns(F.col("t"), F.col("w"))
-        gain = {}
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.filter(rule.over(stats)).count()
-            gain[rule.name] = rejected / total / max(time.perf_counter() - began, 1e-6)
-        return sorted(rules, key=lambda r: -gain[r.name])
-    finally:
-        sample.unpersist()
+    """rules by rejections per second, both estimated on the first `sample_rows` texts that Spark delivers."""
+    # collect() on a limit reads partitions one after another until it has its rows; any other use would gather that many of every partition
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.length("t") <= SAMPLE_CHARS).limit(sample_rows).collect()
+    if not texts:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame(pa.table({"t": [r.t for r in texts]})).select("t", words(F.col("t")).alias("w"))
+    stats, gain = stat_columns(F.col("t"), F.col("w")), {}
+    for rule in rules:
+        began = time.perf_counter()
+        rejected = sample.filter(rule.over(stats)).count()
+        gain[rule.name] = rejected / len(texts) / max(time.perf_counter() - began, 1e-6)
+    return sorted(rules, key=lambda r: -gain[r.name])
 
 
 def cascade(rules: Sequence[Rule], stats: Mapping[str, Column]) -> Column:
