@@ -219,3 +219,16 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     for f in range(1, k):
         bounds = bounds + (F.col("rank") >= f * n // k).cast("int")
     return hash_rank(df, key, seed).withColumn("fold", bounds.cast("long")).drop("rank")
+
+
+def bootstrap(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """int(n * share) rows drawn with replacement: draw, and the row's columns. Rows take part by their rank."""
+    ranked = global_rank(df, [key])
+    n = df.count()
+    draws = df.sparkSession.range(int(n * share)).select(F.col("id").alias("draw"), (portable_hash(F.col("id"), seed) % F.lit(max(n, 1))).alias("rank"))
+    return draws.join(ranked, "rank").drop("rank")
+
+
+def gather(df: DataFrame, key: str, indices: DataFrame) -> DataFrame:
+    """The rows of df that indices (at, key) names, in any number, with their places."""
+    return indices.select("at", key).join(df, key)

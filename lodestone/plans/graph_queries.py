@@ -251,3 +251,22 @@ def er_graph(spark: SparkSession, d: str) -> DataFrame:
 @add(None)
 def ba_graph(spark: SparkSession, d: str) -> DataFrame:
     return S.Graph.barabasi_albert(spark, 1000, 3).arcs
+
+
+@add(f"WITH r AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), d AS (SELECT id AS draw, {portable_hash_sql('id', 42)} % (SELECT count(*) FROM customer) AS i FROM range((SELECT floor(count(*) * 0.8)::BIGINT FROM customer)) t(id)) SELECT draw, c_custkey, c_acctbal FROM d JOIN r USING (i)")
+def bootstrap_sample(spark: SparkSession, d: str) -> DataFrame:
+    return G.bootstrap(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+
+
+@add("SELECT o_orderkey AS at, c_custkey, c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey")
+def gather_rows(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("at"), F.col("o_custkey").alias("c_custkey"))
+    return G.gather(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", orders)
+
+
+@add(f"WITH {_HASHED} SELECT doc_id FROM r WHERE NOT (i >= 0 AND i < n // 5)")
+def fold_except(spark: SparkSession, d: str) -> DataFrame:
+    """The training rows of fold 0: all but the fold."""
+    docs = table(spark, d, "documents").select("doc_id")
+    held = G.kfold(docs, "doc_id").filter("fold = 0")
+    return docs.join(held, "doc_id", "left_anti")

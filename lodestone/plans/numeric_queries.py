@@ -269,3 +269,33 @@ def minmax_features(spark: SparkSession, d: str) -> DataFrame:
 def smith_waterman(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of the benchmark's items, whole texts."""
     return align_pairs(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("s")))
+
+
+@add(f"WITH {_CELLS} SELECT i AS vec_id, CAST(min(j) AS BIGINT) AS argmax FROM cells JOIN (SELECT i AS m, max(x) AS top FROM cells GROUP BY i) ON i = m AND x = top GROUP BY i")
+def argmax_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", N.argmax(F.col("embedding")).cast("long").alias("argmax"))
+
+
+@add("SELECT vec_id, k AS class, (label = k)::INT::DOUBLE AS p FROM embeddings, range(10) r(k)")
+def one_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Hard class probabilities."""
+    return table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("class")).select("vec_id", "class", (F.col("label") == F.col("class")).cast("double").alias("p"))
+
+
+@add("SELECT o_orderkey, greatest(100, least(1000000, o_custkey)) AS vertices, greatest(1, least(256, o_orderkey)) AS threads FROM orders")
+def clamp(spark: SparkSession, d: str) -> DataFrame:
+    held = lambda c, low, high: F.greatest(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), F.col(c)))
+    return table(spark, d, "orders").select("o_orderkey", held("o_custkey", 100, 1_000_000).alias("vertices"), held("o_orderkey", 1, 256).alias("threads"))
+
+
+@add(f"WITH {_CELLS} SELECT i, round(sum(x * x), 6) AS norm2 FROM cells GROUP BY i")
+def squared_norms(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).groupBy("i").agg(rounded(F.sum(F.col("x") * F.col("x")), 6).alias("norm2"))
+
+
+@add("SELECT round(max(abs(2.5::DOUBLE * l_quantity + l_tax - (l_quantity + l_quantity + l_quantity / 2 + l_tax))), 9) AS worst, round(sum(l_quantity), 4) AS checksum FROM lineitem")
+def checksum(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest difference between two ways to the same vector, and its checksum."""
+    one = N.daxpy(2.5, F.col("l_quantity"), F.col("l_tax"))
+    two = F.col("l_quantity") + F.col("l_quantity") + F.col("l_quantity") / 2 + F.col("l_tax")
+    return table(spark, d, "lineitem").agg(rounded(F.max(F.abs(one - two)), 9).alias("worst"), rounded(F.sum("l_quantity"), 4).alias("checksum"))

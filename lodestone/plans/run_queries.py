@@ -64,3 +64,24 @@ def result_line_parse(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("total_ms"), F.col("o_custkey").alias("edges"))
     lines = o.select(R.format_result(["run", "total_ms", "edges"]).alias("value"))
     return R.parse_results(lines.unionByName(lines.limit(1).select(F.lit("started").alias("value"))), ["run", "total_ms", "edges", "f1"])
+
+
+@add("SELECT DISTINCT event_type AS vertices FROM events WHERE user_id % 4 = 0 INTERSECT SELECT event_type FROM events WHERE user_id % 4 = 3")
+def common_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes that were run both on one thread and on eight."""
+    r = _runs(spark, d)
+    return r.filter("threads = 1").select("vertices").intersect(r.filter("threads = 8").select("vertices"))
+
+
+@add(f"WITH {_RUNS} SELECT a.vertices, round(a.avg_ms, 6) AS slow_ms, round(b.avg_ms, 6) AS fast_ms FROM s a JOIN s b USING (vertices) WHERE a.threads = 1 AND b.threads = 8")
+def mode_join(spark: SparkSession, d: str) -> DataFrame:
+    s = R.summary(_runs(spark, d))
+    side = lambda n, name: s.filter(F.col("threads") == n).select("vertices", rounded(F.col("avg_ms")).alias(name))
+    return side(1, "slow_ms").join(side(8, "fast_ms"), "vertices")
+
+
+@add("SELECT event_type, round(avg((user_id % 2 = 0)::INT), 9) AS accuracy, round(avg(value), 6) AS loss FROM events GROUP BY event_type")
+def batch_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Mean accuracy and loss per batch."""
+    e = table(spark, d, "events")
+    return e.groupBy("event_type").agg(rounded(F.avg((F.col("user_id") % 2 == 0).cast("double")), 9).alias("accuracy"), rounded(F.avg("value")).alias("loss"))
