@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.lineage import checkpoint_dir, cut
+
+__all__ = ["ascii_lower", "checkpoint_dir", "cut", "let", "table", "without", "words"]
+
 #: ASCII white space, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,15 +35,11 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodestone")
-    return sc.getCheckpointDir()
+#: Lists of ids up to this many rows are broadcast; longer ones join by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, with its lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is in ids; rows with a null key stay. df itself is shuffled only for a list too long to broadcast."""
+    listed = cut(ids.select(key).distinct())
+    return df.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, key, "left_anti").select(df.columns)

@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestone.llm.common import ascii_lower
+from lodestone.llm.common import ascii_lower, cut
+
+#: Up to this many hosts' paths are broadcast to the pages; of more, pages are shuffled by host (AQE splits hot ones).
+BROADCAST_HOSTS = 100_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w"'=-])(hidden)(?![\w=-])""")
@@ -256,7 +259,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, path (the host's), text."""
-    paths = host_paths(pages).withColumnRenamed("host", "_host")
+    paths = cut(host_paths(pages).withColumnRenamed("host", "_host"))
+    if paths.count() <= BROADCAST_HOSTS:
+        paths = F.broadcast(paths)
     joined = pages.select("page_id", "url", "html").join(paths, host_of(F.col("url")) == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
