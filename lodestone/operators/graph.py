@@ -23,7 +23,7 @@ def graph_stats(g: Graph) -> DataFrame:
     return d.agg(F.count("*").alias("n_vertices"), F.coalesce(F.sum("deg"), F.lit(0)).alias("n_arcs"), F.count_if(F.col("deg") == 0).alias("isolated"), F.max("deg").alias("max_degree"))
 
 
-def _running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+def running_sums(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """df with the sum of value over all rows up to key, exclusive: sums per range first, so that no task holds all rows."""
     parts = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
     parts = cut(parts)
@@ -34,7 +34,7 @@ def _running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 def row_offsets(g: Graph) -> DataFrame:
     """v, row_start, row_end: where a vertex's arcs lie when all arcs stand in order."""
-    placed = _running(degrees(g), "v", "deg", "row_start")
+    placed = running_sums(degrees(g), "v", "deg", "row_start")
     return placed.select("v", "row_start", (F.col("row_start") + F.col("deg")).cast("long").alias("row_end"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.portable import rounded
 from lodestone.operators import numeric as N
-from lodestone.operators.graph import global_rank
+from lodestone.operators.graph import global_rank, running_sums
 from lodestone.operators.sequences import align_pairs
 from lodestone.plans.tables import Registry, table
 
@@ -159,9 +159,7 @@ def pi_integral(spark: SparkSession, d: str) -> DataFrame:
 @add("SELECT s_suppkey AS rank, CAST(100 + sum(s_suppkey) OVER (ORDER BY s_suppkey) AS BIGINT) AS value FROM supplier")
 def ring_sum(spark: SparkSession, d: str) -> DataFrame:
     """A value of 100 goes round the ranks in order, each adding its own."""
-    from lodestone.operators.graph import _running
-
-    s = _running(table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank")), "rank", "rank", "before")
+    s = running_sums(table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank")), "rank", "rank", "before")
     return s.select("rank", (100 + F.col("before") + F.col("rank")).alias("value"))
 
 
