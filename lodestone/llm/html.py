@@ -54,6 +54,7 @@ class Node:
     main: bool = False
     children: list = field(default_factory=list)
     score: float = 0.0
+    depth: int = 0
 
     def path(self) -> str:
         steps, node = [], self
@@ -83,7 +84,7 @@ def _node(tag: str, raw: str, parent: Node) -> Node:
     dropped = parent.dropped or tag in _DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES
     dropped = dropped or "display:none" in attributes.get("style", "").replace(" ", "").lower() or (not whole and _bad_name(f"{classes} {attributes.get('id', '')}"))
     main = tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody"
-    return Node(tag, tuple(classes.split()), parent, dropped, main)
+    return Node(tag, tuple(classes.split()), parent, dropped, main, depth=parent.depth + (tag != "html"))
 
 
 def parse(html: str) -> Node:
@@ -224,7 +225,8 @@ def extract(html: str, path: str | None) -> str:
     root = parse(html)
     chosen = None
     if path:
-        fits = [x for x in containers(root) if x.path() == path]
+        depth = path.count("/") + 1  # paths are spelt out at this depth only
+        fits = [x for x in containers(root) if x.depth == depth and x.path() == path]
         chosen = max(fits, key=lambda x: x.score, default=None)
     chosen = chosen or best_container(root)
     return "\n".join(text_blocks(chosen)) if chosen else ""
