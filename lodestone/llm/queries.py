@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontam, hpylm, html, licenses, minhash, quality, secrets, sentencepiece_table, urls
-from lodestone.llm.common import table
+from lodestone.llm.common import LOWER, UPPER, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,15 +153,13 @@ def _sql10() -> str:
     blocked = " OR ".join(f"regexp_matches(low, '{r.pattern}')" for r in urls.PATTERN_RULES)
     return rf"""
 WITH p AS (
-  SELECT page_id, translate(coalesce(url, ''), '{urls_upper}', '{urls_lower}') AS low,
-         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{urls_upper}', '{urls_lower}') AS host,
+  SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, CASE {fits} END AS rule FROM p)
 SELECT page_id, host, path, rule, coalesce(CASE rule {acts} END, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
 
 
-urls_upper, urls_lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 ORACLES = {
     "op1_chat_formatting": _SQL1,
     "op2_minhash": _SQL2,
