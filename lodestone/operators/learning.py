@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import kfold
+
 #: Rows that a forest is fitted on at most: the first of a shuffle by the portable hash. Prediction covers all rows.
 TRAIN_ROWS = 200_000
 
@@ -142,8 +145,6 @@ class Forest:
 
     def fit(self, df: DataFrame, columns: Sequence[str], label: str, k: int) -> Forest:
         """Fits on TRAIN_ROWS rows of df at most."""
-        import pickle
-
         rows = df.select(*columns, label).limit(TRAIN_ROWS).toPandas()
         x, y = rows[list(columns)].to_numpy(float), rows[label].to_numpy(int)
         spark, me = df.sparkSession, self
@@ -182,8 +183,6 @@ class Forest:
 
 def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str, k_classes: int, folds: int = 5, seed: int = 42, **forest: int) -> DataFrame:
     """y_true, y_pred of every row, each predicted by the forest of the other folds."""
-    from lodestone.operators.graph import kfold
-
     dealt, out = kfold(df, key, folds, seed).persist(), None
     for f in range(folds):
         model = Forest(seed=seed, **forest).fit(dealt.filter(F.col("fold") != f), columns, label, k_classes)
