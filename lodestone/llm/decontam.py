@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, without
 from lodestone.llm.hashing import ALPHANUMERIC, combine, hashes_of
 
 MASKS = ("111111", "110101011", "1011001101", "1100110011")
@@ -158,5 +158,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a passage of the benchmark; rows with a null doc_id stay."""
-    leaked = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+    return without(docs, overlaps(docs, benchmark).select("doc_id"), "doc_id")

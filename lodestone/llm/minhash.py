@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, without
 from lodestone.llm.components import components
 from lodestone.llm.hashing import SPACED, combine, hashes_of, mix
 
@@ -211,5 +211,4 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that their group's least doc_id stands for; rows with a null doc_id stay."""
-    dropped = groups(docs, width, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, groups(docs, width, percent).filter("NOT kept"), "doc_id")
