@@ -6,6 +6,7 @@ and ordered licence rules (the first that fits a place wins; longer rules stand
 
 Edge cases: null or empty texts and texts without a known sentence give no row; repeated sentences are repeated in the
 sequence; repeated doc_ids are scanned as one document, their sentences merged in order; other columns are ignored.
+Short tags (`SPDX-License-Identifier: MIT`) are no sentences and give no row.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known sentences in normal form: lower case, runs of anything but letters and digits as one space.
+#: Known sentences in normal form, as `fragments` cuts them: lower case, runs of anything but letters and digits as one space.
 SENTENCES: dict[str, str] = {
     "mit.notice": "released under the mit license",
     "mit.notice2": "licensed under the mit license",
@@ -37,14 +38,71 @@ SENTENCES: dict[str, str] = {
     "bsd.endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "mpl2.notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc0.notice": "this work is dedicated to the public domain under cc0 1 0",
+    "cc0.mark": "this work is marked with cc0 1 0",
+    "cc0.mark2": "this work is marked with cc0 1 0 universal",
+    "apache2.head": "licensed under the apache license version 2 0 the license",
+    "apache2.asf": "the asf licenses this file to you under the apache license version 2 0 the license",
+    "mpl2.head": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2.copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl2.copy2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl11.notice": "the contents of this file are subject to the mozilla public license version 1 1 the license",
+    "gnu.program": "this program is free software",
+    "gnu.library": "this library is free software",
+    "gnu.hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gnu.hope2": "this library is distributed in the hope that it will be useful but without any warranty",
+    "gnu.warranty": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc.grant2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "bsl1.notice": "distributed under the boost software license version 1 0",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense.notice": "this is free and unencumbered software released into the public domain",
+    "epl2.notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl2.notice2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    "epl2.notice3": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0 spdx license identifier",
 }
+#: Of the GNU licences: their names and versions. Headers set a comma or a semicolon, which cuts, before the version.
+_GNU = {
+    "gpl": ("general", ("1", "2", "3")),
+    "lgpl": ("lesser general", ("2.1", "3")),
+    "lgpl-library": ("library general", ("2",)),
+    "agpl": ("affero general", ("3",)),
+}
+_gnu_rules: list[tuple[str, tuple[str, ...]]] = []
+for _family, (_name, _versions) in _GNU.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the gnu {_name} public license"
+    _by = "as published by the free software foundation"
+    SENTENCES[f"{_family}.terms"] = f"{_terms} {_by}"
+    for _v in _versions:
+        _n = _v.replace(".", " ")
+        _licence = f"{_family.removesuffix('-library')}-{_v if '.' in _v else _v + '.0'}"
+        SENTENCES |= {f"gnu.later{_v}": f"either version {_n} of the license or at your option any later version", f"gnu.only{_v}": f"version {_n} of the license"}
+        SENTENCES |= {f"{_family}.later{_v}": f"{_terms} {_by} either version {_n} of the license or at your option any later version"}
+        SENTENCES |= {f"{_family}.only{_v}": f"{_terms} {_by} version {_n} of the license", f"{_family}.only{_v}a": f"{_terms} {_by} version {_n}", f"{_family}.only{_v}b": f"{_terms} version {_n} {_by}"}
+        _gnu_rules += [(f"{_licence}-or-later", (f"{_family}.terms", f"gnu.later{_v}")), (f"{_licence}-only", (f"{_family}.terms", f"gnu.only{_v}")), (f"{_licence}-or-later", (f"{_family}.later{_v}",))]
+        _gnu_rules += [(f"{_licence}-only", (f"{_family}.only{_v}{x}",)) for x in ("", "a", "b")]
+#: Of the Creative Commons licences 4.0: the short and the long name.
+_CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nd": "attribution noderivatives", "by-nc": "attribution noncommercial", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+_cc_rules: list[tuple[str, tuple[str, ...]]] = []
+for _short, _name in _CC.items():
+    _forms = {f"licensed under cc {_short.replace('-', ' ')} 4 0", f"this work is licensed under cc {_short.replace('-', ' ')} 4 0"}
+    _forms |= {f"this work is licensed under {_a}creative commons {_name} 4 0 international{_z}" for _a in ("", "a ", "the ") for _z in ("", " license", " public license")}
+    for _k, _form in enumerate(sorted(_forms - set(SENTENCES.values()))):
+        SENTENCES[f"cc{_short.replace('-', '')}4.form{_k}"] = _form
+        _cc_rules.append((f"cc-{_short}-4.0", (f"cc{_short.replace('-', '')}4.form{_k}",)))
 #: Licences by their sentence sequences, in the order in which they are tried; {} stands for sentences in a row.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("bsd-3-clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.endorse")),
     ("bsd-2-clause", ("bsd.head", "bsd.source", "bsd.binary")),
     ("mit", ("mit.grant", "mit.keep", "mit.asis")),
     ("apache-2.0", ("apache2.notice", "apache2.may", "apache2.copy")),
+    ("apache-2.0", ("apache2.head", "apache2.may", "apache2.copy")),
+    ("apache-2.0", ("apache2.asf", "apache2.may", "apache2.copy")),
+    ("mpl-1.1", ("mpl11.notice", "apache2.may", "apache2.copy")),
     ("gpl-3.0-or-later", ("gpl.free", "gpl.warranty")),
+    ("mpl-2.0", ("mpl2.head", "mpl2.copy")),
+    ("mpl-2.0", ("mpl2.head", "mpl2.copy2")),
+    *(x for x in _gnu_rules if len(x[1]) > 1),
     ("mit", ("mit.notice",)),
     ("mit", ("mit.notice2",)),
     ("apache-2.0", ("apache2.notice",)),
@@ -54,6 +112,24 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("cc-by-sa-4.0", ("ccbysa4.notice",)),
     ("mpl-2.0", ("mpl2.notice",)),
     ("cc0-1.0", ("cc0.notice",)),
+    ("cc0-1.0", ("cc0.mark",)),
+    ("cc0-1.0", ("cc0.mark2",)),
+    ("apache-2.0", ("apache2.head",)),
+    ("apache-2.0", ("apache2.asf",)),
+    ("gpl-3.0-or-later", ("gpl.free",)),
+    ("mpl-2.0", ("mpl2.head",)),
+    ("mpl-1.1", ("mpl11.notice",)),
+    *(x for x in _gnu_rules if len(x[1]) == 1),
+    *_cc_rules,
+    ("isc", ("isc.grant",)),
+    ("isc", ("isc.grant2",)),
+    ("0bsd", ("0bsd.grant",)),
+    ("bsl-1.0", ("bsl1.notice",)),
+    ("zlib", ("zlib.grant",)),
+    ("unlicense", ("unlicense.notice",)),
+    ("epl-2.0", ("epl2.notice",)),
+    ("epl-2.0", ("epl2.notice2",)),
+    ("epl-2.0", ("epl2.notice3",)),
 )
 
 
@@ -78,7 +154,7 @@ def sentence_hits(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES) ->
     cut = docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(fragments(F.col("text"))).alias("at", "part"))
     lines = F.when(F.instr("part", "\n") > 0, F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
     split = cut.filter(F.length("part") >= shortest).select("doc_id", "at", F.posexplode(lines).alias("line", "piece"))
-    near = split.filter(F.length("piece").between(shortest, 3 * longest)).select("doc_id", "at", (F.col("line") - 1).alias("line"), normal(F.col("piece")).alias("sentence"))
+    near = split.filter(F.length("piece") >= shortest).select("doc_id", "at", (F.col("line") - 1).alias("line"), normal(F.col("piece")).alias("sentence")).filter(F.length("sentence").between(shortest, longest))
     return near.join(F.broadcast(sentence_table(docs.sparkSession, sentences)), "sentence").select("doc_id", "at", "line", "sentence_id")
 
 

@@ -302,6 +302,31 @@ def test_license_sequences(spark, docs, nothing):
     assert licenses.scan(docs).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_license_headers_as_published(spark):
+    """Every rule gives its licence on its sentences as they are published and cut, in plain text and as comments."""
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU %s as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    older = "This %s is free software; you can redistribute it and/or\nmodify it under the terms of the GNU %s\nas published by the Free Software Foundation; either version %s\nof the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.\n"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS.\n'
+    asf = 'The ASF licenses this file to You under the Apache License, Version 2.0\n(the "License"); you may not use this file except in compliance with\nthe License.  You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    third = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    headers = [
+        (gpl % "General Public License", "gpl-3.0-or-later"), (gpl % "Affero General Public License", "agpl-3.0-or-later"), (gpl % "Lesser General Public License", "lgpl-3.0-or-later"), (older % ("program", "General Public License", "2"), "gpl-2.0-or-later"), (older % ("library", "Lesser General Public License", "2.1"), "lgpl-2.1-or-later"),
+        ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n", "gpl-2.0-only"), (apache, "apache-2.0"), (asf, "apache-2.0"), (mpl, "mpl-2.0"), (bsd, "bsd-2-clause"), (bsd + third, "bsd-3-clause"),
+        ('The contents of this file are subject to the Mozilla Public License Version\n1.1 (the "License"); you may not use this file except in compliance with\nthe License.\n', "mpl-1.1"), ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "isc"),
+        ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)\n", "bsl-1.0"), ("This is free and unencumbered software released into the public domain.\n", "unlicense"), ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.\n", "cc-by-nc-sa-4.0"), ("This work is licensed under CC BY-ND 4.0. To view a copy, visit", "cc-by-nd-4.0"),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n", "zlib"), ("/" + "*" * 3000 + "\n" + mpl.replace("\n", " " + "*" * 900 + "\n"), "mpl-2.0"),
+    ]
+    texts = [(2 * i, h, w) for i, (h, w) in enumerate(headers)] + [(2 * i + 1, "Copyright (c) 2020 A. All rights reserved.\n" + "".join(f" * {x}\n" for x in h.splitlines()), w) for i, (h, w) in enumerate(headers)]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).collect()}
+    assert [(w, got.get(i)) for i, _, w in texts] == [(w, [w]) for _, _, w in texts]
+    own = [(n, ". ".join(licenses.SENTENCES[x] for x in ids) + ".") for n, (_, ids) in enumerate(licenses.RULES)]
+    hit = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert [hit.get(n) for n in range(len(own))] == [[name] for name, _ in licenses.RULES]
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
+
+
 # URLs
 
 
