@@ -2,10 +2,12 @@
 
 Pass one scores the containers of every page by the text of their paragraphs, less what lies in links, and votes for
 the path of the best one: tags and classes from the body down, digits generalised. Spark sums the votes per host and
-path. Pass two takes from every page the container with its host's winning path, or the page's own best where that path
-isn't there, and returns its blocks without menus, forms, notices, comments and the like.
+path. Pass two takes from every page the containers with its host's winning path, in page order, or those with the path
+of the page's own best where that path isn't there, and returns their blocks without menus, forms, notices, comments and
+the like. The page itself is a container, as a body without its tag; where that has won on a host, each page has its own
+best. A page whose containers have no score (links make up half of every paragraph) gives all its blocks.
 
-Edge cases: null or empty html and pages without a container with text give the empty text; a null URL, or one without
+Edge cases: null or empty html and pages without text give the empty text; a null URL, or one without
 `://`, belongs to the host ''; ties between paths go to the greater score, then to the path first in order; repeated
 rows are extracted each on its own (and vote each); an empty table gives no rows; other columns are ignored. Markup that
 is broken off is read as far as it goes.
@@ -34,7 +36,7 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
-_CONTAINER = {"article", "main", "section", "div", "td", "body", "center", "blockquote"}
+_CONTAINER = {"#page", "article", "main", "section", "div", "td", "body", "center", "blockquote"}
 _DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "label", "fieldset"}
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 _BAD = re.compile(
@@ -180,7 +182,7 @@ def _measure(node: Node) -> tuple[int, int]:
 
 
 def containers(root: Node) -> list[Node]:
-    """Nodes that may hold an article, with their scores: a paragraph counts in full where it stands and half one level up."""
+    """Nodes that may hold an article, last in the page first, with their scores: a paragraph counts in full where it stands and half one level up."""
     found, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -202,14 +204,13 @@ def containers(root: Node) -> list[Node]:
     for x in found:
         if x.main or any(_GOOD.search(c.lower()) for c in x.classes):
             x.score *= 1.3
-    return [x for x in found if x.score > 0]
+    return found
 
 
-def best_container(root: Node) -> Node | None:
-    found = containers(root)
-    if not found:
+def best_container(found: list[Node]) -> Node | None:
+    best = max(found, key=lambda x: x.score, default=None)
+    if best is None or best.score <= 0:
         return None
-    best = max(found, key=lambda x: x.score)
     up = best
     while up is not None:  # to the article around it, with its title
         if up.main and up.score > 0:
@@ -220,16 +221,22 @@ def best_container(root: Node) -> Node | None:
     return best
 
 
+def text_under(found: list[Node], path: str) -> str:
+    """The blocks of all containers with the path, in page order; of those with a score, if any has one."""
+    depth = path.count("/") + 1  # paths are spelt out at this depth only
+    fits = [x for x in reversed(found) if x.depth == depth and x.path() == path]
+    return "\n".join(block for x in [x for x in fits if x.score > 0] or fits for block in text_blocks(x))
+
+
 def extract(html: str, path: str | None) -> str:
-    """The text under the path, if the page has it, else under its own best container."""
+    """The text under the path, if the page has it, else under the path of its own best container, else all of it."""
     root = parse(html)
-    chosen = None
-    if path:
-        depth = path.count("/") + 1  # paths are spelt out at this depth only
-        fits = [x for x in containers(root) if x.depth == depth and x.path() == path]
-        chosen = max(fits, key=lambda x: x.score, default=None)
-    chosen = chosen or best_container(root)
-    return "\n".join(text_blocks(chosen)) if chosen else ""
+    found = containers(root)
+    text = text_under(found, path) if path else ""
+    if not text:
+        best = best_container(found)
+        text = text_under(found, best.path()) if best is not None and best is not root else ""
+    return text or "\n".join(text_blocks(root))
 
 
 def host_of(url: Column) -> Column:
@@ -243,7 +250,7 @@ def page_votes(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                best = best_container(parse(html or ""))
+                best = best_container(containers(parse(html or "")))
                 if best is not None:
                     rows.append((host, best.path(), best.score))
             if rows:

@@ -240,6 +240,21 @@ def test_html_main_text(spark):
     assert dict(rows(html.host_paths(df)))["h.example.com"] == "body.has-sidebar/div.post-#"
 
 
+def test_html_whole_article(spark):
+    """Pages without a body tag, of links alone, and articles in several nodes of one path keep all of their text."""
+    long = " ".join(["long"] * 50000)
+    sections = "<body><div class=wrap><section class=part><p>%s one.</section><nav><p>menu</nav><section class=part><p>%s two.</section><section class=part><p>Three.</section></div></body>"
+    table = [
+        (12, "http://o.example.com/", "just words", "just words"), (13, "http://z/", "<p>" + "long " * 50000, long), (14, "http://y/", "<html><h1>T</h1><p>First.<p>Second.<nav>menu</nav>", "T\nFirst.\nSecond."),
+        (15, "http://x/", "<body><p><a href=a>One link</a><p><a href=b>Two links</a><footer>foot</footer></body>", "One link\nTwo links"), (16, "http://w/", sections % ("a " * 90, "b " * 80), f"{'a ' * 90}one.\n{'b ' * 80}two.\nThree."),
+        (17, "http://v/", sections % ("Short", "Words"), "Short one.\nWords two.\nThree."), (18, "http://u/", "<div class=content><p>Text.</div><p>After it, and that is the longer part of the page by far.", "Text.\nAfter it, and that is the longer part of the page by far."),
+    ]
+    df = spark.createDataFrame([r[:3] for r in table], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    for i, _, _, want in table:
+        assert got[i] == want, i
+
+
 # SentencePiece
 
 
