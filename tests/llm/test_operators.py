@@ -179,6 +179,34 @@ def test_seating_keeps_customers():
     assert (np.bincount(s.dish, weights=s.size, minlength=500) == c).all() and (np.bincount(s.dish, minlength=500) == s.t).all() and s.size.min() > 0
 
 
+def test_dishes_are_seated_anew(monkeypatch):
+    """Exact tables agree with brute force; proposals, from any start, with exact tables; and a frequent pair's tables change between samples."""
+    rng, d = np.random.default_rng(3), hpylm.DISCOUNT
+    ways = {1: Counter({(1,): 1.0})}
+    for n in range(1, 6):
+        ways[n + 1] = Counter()
+        for sizes, w in ways[n].items():
+            ways[n + 1][(*sizes, 1)] += w
+            for k, size in enumerate(sizes):
+                ways[n + 1][(*sizes[:k], size + 1, *sizes[k + 1 :])] += w * (size - d)
+    by_t = Counter()
+    for sizes, w in ways[6].items():
+        by_t[len(sizes)] += w * math.prod((hpylm.STRENGTH + d * (5 + i)) * 0.3 for i in range(len(sizes)))
+    want = sum(t * w for t, w in by_t.items()) / sum(by_t.values())
+    got = hpylm.exact_tables(np.full(40000, 6), np.full(40000, 5.0), np.full(40000, 0.3), d, rng)
+    assert got.mean() == pytest.approx(want, rel=0.02)
+    for c, others, p in ((400, 1000.0, 0.003), (500, 400.0, 0.1), (300, 0.0, 0.02)):
+        exact = hpylm.exact_tables(np.full(4000, c), np.full(4000, others), np.full(4000, p), d, rng)
+        seats = hpylm.Seating(np.full(2000, c), np.full(2000, 1e-9), d, rng)
+        for _ in range(60):
+            seats.propose(np.arange(2000), np.full(2000, others), np.full(2000, p))
+        assert (np.bincount(seats.dish, weights=seats.size, minlength=2000) == c).all() and seats.t.mean() == pytest.approx(exact.mean(), rel=0.06)
+    u, w = np.repeat(np.arange(20, dtype=np.uint64), 60), np.tile(np.arange(60, dtype=np.uint64), 20)
+    for c in (300, 100000):
+        _, _, per_u, *_ = hpylm.sample_part(u, w, np.full(1200, c), 1, np.empty(0, np.uint64), 1)
+        assert np.abs(np.diff(per_u, axis=0)).mean() > 5
+
+
 # Secrets
 
 
