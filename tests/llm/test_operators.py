@@ -203,8 +203,28 @@ def test_dishes_are_seated_anew(monkeypatch):
         assert (np.bincount(seats.dish, weights=seats.size, minlength=2000) == c).all() and seats.t.mean() == pytest.approx(exact.mean(), rel=0.06)
     u, w = np.repeat(np.arange(20, dtype=np.uint64), 60), np.tile(np.arange(60, dtype=np.uint64), 20)
     for c in (300, 100000):
-        _, _, per_u, *_ = hpylm.sample_part(u, w, np.full(1200, c), 1, np.empty(0, np.uint64), 1)
-        assert np.abs(np.diff(per_u, axis=0)).mean() > 5
+        part = hpylm.Part(u, w, np.full(1200, c), 1, np.empty(0, np.uint64))
+        for number in range(hpylm.BURN_IN + hpylm.SAMPLES):
+            part.sweep(number, part.here(), rng)
+        assert np.abs(np.diff([x[0] for x in part.samples], axis=0)).mean() > 5
+
+
+def test_seating_does_not_depend_on_parts():
+    """A context's tables and its pairs' worth agree over 16 and 500 parts, for contexts that mostly have one table in a part."""
+    r, runs = np.random.default_rng(4), []
+    u, w = np.repeat(np.arange(20, dtype=np.uint64), 2000), np.concatenate([r.choice(20000, 2000, replace=False) for _ in range(20)]).astype(np.uint64)
+    c = r.choice([1, 2, 3], len(u), p=[0.5, 0.3, 0.2])
+    for n in (16, 500):
+        at = (hpylm.mix(w + np.uint64(1)) % np.uint64(n)).astype(int)
+        dealt = [hpylm.Part(u[at == k], w[at == k], c[at == k], n, np.empty(0, np.uint64)) for k in range(n)]
+        for number in range(hpylm.BURN_IN + hpylm.SAMPLES):
+            whole = np.zeros(20)
+            for x in dealt:
+                whole[x.contexts.astype(int)] += x.here()
+            for x in dealt:
+                x.sweep(number, whole[x.contexts.astype(int)], r)
+        runs.append((whole.mean(), sum(x.worth.sum() for x in dealt)))
+    assert runs[0] == pytest.approx(runs[1], rel=0.03)
 
 
 # Secrets
