@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.lineage import checkpoint_dir, cut
 
-__all__ = ["ascii_lower", "checkpoint_dir", "cut", "let", "table", "without", "words"]
+__all__ = ["ascii_lower", "checkpoint_dir", "cut", "keyed", "let", "map_batches", "pieces", "table", "without", "words", "written"]
 
 #: ASCII white space, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -35,6 +38,49 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow over batches bounded by their bytes, as texts differ in length a thousandfold."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        held = int(conf.get(name))
+    except ValueError:  # a size with a unit, which the user has set
+        held = 0
+    if held > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def pieces(texts: Sequence[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` characters together, a longer text alone."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        if i > at and held + len(t) > limit:
+            yield at, i
+            at, held = i, 0
+        held += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, under a name of its own."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def keyed(docs: DataFrame, key: str = "_row") -> tuple[DataFrame, bool]:
+    """docs with a key of each row, and whether that is doc_id: where no two rows share one and none is null; else it is a number in the order of a written copy."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), True
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), False
+
+
 #: Lists of ids up to this many rows are broadcast; longer ones join by shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -5,41 +5,68 @@ and of the documents are joined; around every hit the words of both are laid sid
 (all words of a shorter item) with at least IDENTITY of them equal makes an overlap. Words are runs of letters and
 digits, A-Z lower-cased, as 64-bit hashes.
 
+Which masks an item gets depends on its length (`masks_for`). They are chosen so that every window with enough equal
+words holds a hit, wherever the others stand: recall is 1 for every length, up to items of fewer than EXACT words, where
+only the whole item, word for word, is an overlap.
+
 The documents' side of the join is thinned by a bitmap of the benchmark's seeds. It has a fixed size; the more seeds
 there are, the less it thins, and the join alone decides. Seeds that hit lie close together where a passage was copied,
-so a document's hits are grouped into regions that carry their words with them: texts are never shuffled.
+so a document's hits are grouped into regions of SPAN words at most that carry their words with them: texts are never
+shuffled, and a region is laid beside an item once per shift.
 
-Edge cases: null, empty and short texts hold no window and are clean; items of fewer than SHORTEST words are too short
-to tell and are left out; repeated rows and doc_ids are searched all, and a doc_id has one row per item; an empty table
-on either side gives no rows; other columns are ignored.
+Edge cases: null, empty and short texts hold no window and are clean; items without words match nothing; repeated rows
+and doc_ids are searched all, each against its own words, and a doc_id (null as well) has one row per item; an empty
+table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, without
+from lodestone.llm.common import cut, keyed, map_batches, without
 from lodestone.llm.hashing import ALPHANUMERIC, combine, hashes_of
 
-MASKS = ("111111", "110101011", "1011001101", "1100110011")
-WINDOW, IDENTITY, SHORTEST = 13, 0.8, 8
+WINDOW, IDENTITY = 13, 0.8
+#: Items of fewer words are matched whole and word for word.
+EXACT = 8
+#: Masks of items of WINDOW words or more (a 13-word window may differ in two), and of shorter ones.
+LONG_MASKS = ("11101011", "11001111")
+SHORT_MASKS = ("111011", "11010011", "11111")
+#: Items of fewer words condemn no document in `clean`: such words stand together by chance.
+SHORTEST = 4
+#: Words of a region.
+SPAN = 1024
 #: Of the bitmap: 2**27 bits are 16 MB, whatever the benchmark's size.
 BITMAP_BITS = 27
 #: Up to this many benchmark seeds are broadcast in the join; beyond, it is a shuffle join.
 BROADCAST_SEEDS = 500_000
-_OFFSETS = tuple(tuple(i for i, x in enumerate(m) if x == "1") for m in MASKS)
-_SEED_SCHEMA = "item_id long, at int, seed long"
-_REGION_SCHEMA = "doc_id long, region int, words binary, seeds array<struct<seed:long,at:int>>, start long"
+ALL_MASKS = (*LONG_MASKS, *SHORT_MASKS, *("1" * n for n in range(1, EXACT)))
+_OFFSETS = tuple(tuple(i for i, x in enumerate(m) if x == "1") for m in ALL_MASKS)
+_REACH = max(map(len, ALL_MASKS)) + WINDOW
+_SEED_SCHEMA = "item_id long, item_at int, kind int, seed long"
+_REGION_SCHEMA = "region long, doc_id long, words binary, seeds array<struct<seed:long,at:int>>, start long"
+
+
+@lru_cache(maxsize=64)
+def masks_for(n: int) -> tuple[int, ...]:
+    """The masks of an item of n words, as places in ALL_MASKS."""
+    if n >= WINDOW:
+        return tuple(range(len(LONG_MASKS)))
+    if n >= EXACT:
+        return tuple(range(len(LONG_MASKS), len(LONG_MASKS) + len(SHORT_MASKS)))
+    return (len(ALL_MASKS) - EXACT + n,) if n else ()
 
 
-def _seeds(h: np.ndarray) -> Iterator[np.ndarray]:
-    for k, offsets in enumerate(_OFFSETS):
-        yield combine(h, offsets) + np.uint64(k)
+def _seeds(h: np.ndarray, kinds: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    for k in kinds:
+        yield k, combine(h, _OFFSETS[k]) + np.uint64(k)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -56,20 +83,21 @@ def item_words(benchmark: DataFrame) -> DataFrame:
                 words[i] = h.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(words, pa.binary())], names=["item_id", "words"])
 
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words binary")
-    return items.filter(F.octet_length("words") >= 8 * SHORTEST)
+    return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, "item_id long, words binary")
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """item_id, at (the word at which the seed begins), seed."""
+    """item_id, item_at (the word at which the seed begins), kind (its mask), seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, words in zip(b.column("item_id").to_pylist(), b.column("words").to_pylist(), strict=True):
-                for seeds in _seeds(np.frombuffer(words, dtype=np.uint64)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), -1 if item is None else item), pa.int64(), mask=np.full(len(seeds), item is None)), pa.array(np.arange(len(seeds), dtype=np.int32)), pa.array(seeds.view(np.int64))], names=["item_id", "at", "seed"])
+                h = np.frombuffer(words, dtype=np.uint64)
+                for k, seeds in _seeds(h, masks_for(len(h))):
+                    cells = (pa.array([item] * len(seeds), pa.int64()), pa.array(np.arange(len(seeds), dtype=np.int32)), pa.array(np.full(len(seeds), k, np.int32)), pa.array(seeds.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(list(cells), names=["item_id", "item_at", "kind", "seed"])
 
-    return items.mapInArrow(run, _SEED_SCHEMA)
+    return map_batches(items, run, _SEED_SCHEMA)
 
 
 def seed_bitmap(seeds: DataFrame) -> bytes:
@@ -82,17 +110,17 @@ def seed_bitmap(seeds: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def hit_regions(docs: DataFrame, bitmap: bytes) -> DataFrame:
-    """doc_id, region, words (hashes of the words of the region and WINDOW words around it), seeds in it, and its first word's place in the text."""
+def hit_regions(docs: DataFrame, bitmap: bytes, kinds: Sequence[int], key: str) -> DataFrame:
+    """region (a number of its own), doc_id (the key), words (hashes of the words of the region and those around it), seeds in it, and its first word's place in the text."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, dtype=np.uint64)
+        bits, number = np.frombuffer(held.value, dtype=np.uint64), TaskContext.get().partitionId() << 33
         for b in batches:
             ids, rows = b.column("doc_id").to_pylist(), []
             for i, h in hashes_of(_texts(b), ALPHANUMERIC):
-                at, seeds = [], []
-                for s in _seeds(h):
+                at, seeds = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for _, s in _seeds(h, kinds):
                     top = s >> np.uint64(64 - BITMAP_BITS)
                     hit = np.flatnonzero((bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
                     at.append(hit)
@@ -102,18 +130,17 @@ def hit_regions(docs: DataFrame, bitmap: bytes) -> DataFrame:
                     continue
                 order = np.argsort(places, kind="stable")
                 places, found = places[order], np.concatenate(seeds)[order]
-                cuts = [0, *(np.flatnonzero(np.diff(places) > WINDOW) + 1).tolist(), len(places)]
-                for r, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    low = max(0, int(places[x]) - WINDOW)
-                    high = int(places[y - 1]) + max(map(len, MASKS)) + WINDOW
+                cuts = [0, *(np.flatnonzero((np.diff(places) > WINDOW) | (np.diff(places // SPAN) > 0)) + 1).tolist(), len(places)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    low, high = max(0, int(places[x]) - WINDOW), int(places[y - 1]) + _REACH
                     local = (places[x:y] - low).tolist()
-                    rows.append((ids[i], r, h[low:high].tobytes(), [{"seed": s, "at": p} for s, p in zip(found[x:y].view(np.int64).tolist(), local, strict=True)], low))
+                    rows.append((number, ids[i], h[low:high].tobytes(), [{"seed": s, "at": p} for s, p in zip(found[x:y].view(np.int64).tolist(), local, strict=True)], low))
+                    number += 1
             if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "region", "words", "seeds", "start"])
+                kinds_of = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=["region", "doc_id", "words", "seeds", "start"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _REGION_SCHEMA)
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), "text"), run, _REGION_SCHEMA)
 
 
 def best_window(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -128,17 +155,21 @@ def best_window(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, i
     return int(scores[best]), window, low + best
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, equal_words, window, doc_word, item_word: the best overlap of each document with each item that it holds a passage of."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key, item_id, equal_words, window, doc_word, item_word: the best overlap of each document with each item that it holds a passage of."""
     items = cut(item_words(benchmark))
-    seeds = item_seeds(items)
+    seeds = cut(item_seeds(items))
     bitmap = seed_bitmap(seeds)
-    few = seeds.count() <= BROADCAST_SEEDS
+    per_kind = {r.kind: r["count"] for r in seeds.groupBy("kind").count().collect()}  # of a dozen masks
+    few = sum(per_kind.values()) <= BROADCAST_SEEDS
     sized = F.broadcast if few else lambda x: x
-    regions = cut(hit_regions(docs, bitmap))
-    hits = regions.select("doc_id", "region", F.inline("seeds")).join(sized(seeds.withColumnRenamed("at", "item_at")), "seed")
-    shifts = hits.select("doc_id", "region", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    placed = shifts.join(regions.select("doc_id", "region", F.col("words").alias("doc_words"), "start"), ["doc_id", "region"])
+    regions = cut(hit_regions(docs, bitmap, sorted(per_kind), key))
+    hits = regions.select("region", "doc_id", "start", F.inline("seeds")).join(sized(seeds), "seed")
+    whole = F.col("kind") >= len(LONG_MASKS) + len(SHORT_MASKS)
+    n = (F.col("kind") - (len(ALL_MASKS) - EXACT)).cast("long")
+    exact = hits.filter(whole).select("doc_id", "item_id", n.alias("equal_words"), n.alias("window"), (F.col("start") + F.col("at")).alias("doc_word"), F.lit(0).cast("long").alias("item_word"))
+    shifts = hits.filter(~whole).select("region", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    placed = shifts.join(regions.select("region", "doc_id", F.col("words").alias("doc_words"), "start"), "region")
     pairs = placed.join(sized(items.withColumnRenamed("words", "item_words")), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +182,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "equal_words", "window", "doc_word", "item_word"])
 
-    found = pairs.select("doc_id", "item_id", "shift", "start", "doc_words", "item_words").mapInArrow(verify, "doc_id long, item_id long, equal_words long, window long, doc_word long, item_word long")
+    verified = map_batches(pairs.select("doc_id", "item_id", "shift", "start", "doc_words", "item_words"), verify, "doc_id long, item_id long, equal_words long, window long, doc_word long, item_word long")
     best = F.max(F.struct("equal_words", "window", (-F.col("doc_word")).alias("doc_word"), (-F.col("item_word")).alias("item_word"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.equal_words", "best.window", (-F.col("best.doc_word")).alias("doc_word"), (-F.col("best.item_word")).alias("item_word"))
+    found = verified.unionByName(exact).groupBy("doc_id", "item_id").agg(best)
+    return found.select(F.col("doc_id").alias(key), "item_id", "best.equal_words", "best.window", (-F.col("best.doc_word")).alias("doc_word"), (-F.col("best.item_word")).alias("item_word"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark; rows with a null doc_id stay."""
-    return without(docs, overlaps(docs, benchmark).select("doc_id"), "doc_id")
+    """docs without the rows that hold a passage of the benchmark, of SHORTEST words at least; rows are told apart also where doc_ids are null or repeated."""
+    rows, _ = keyed(docs)
+    return without(rows, overlaps(rows, benchmark, "_row").filter(F.col("window") >= SHORTEST), "_row").select(docs.columns)

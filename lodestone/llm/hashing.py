@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: A piece of text that is hashed at once; longer words get a piece of their own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Multipliers by which the words of a shingle or a seed are combined.
@@ -33,16 +33,18 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(PIECE.bit_length(), n.bit_length())
-    if size not in _powers:
-        both = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, np.uint64(base), dtype=np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _powers.clear()
+    """Powers of the base and of its inverse up to n; those of a piece are kept (8 MB), longer ones are made for a long word alone."""
+    size = max(2 * PIECE, n)
+    if size in _powers:
+        return _powers[size]
+    both = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(size, np.uint64(base), dtype=np.uint64)
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    if size == 2 * PIECE:
         _powers[size] = (both[0], both[1])
-    return _powers[size]
+    return both[0], both[1]
 
 
 def _hash_piece(buf: np.ndarray) -> np.ndarray:

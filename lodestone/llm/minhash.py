@@ -13,8 +13,9 @@ by k for coordinate k, and the coordinate is the least rank. Bands of the signat
 4. Components of these links are the groups; nothing but ids is joined back to the documents.
 
 Edge cases: texts without words, and null texts, have an empty set and are alone in their group; ties don't matter, as a
-group's id is its least doc_id; repeated rows are one class and each gets its row; rows with a null doc_id are grouped
-under the least id of their class, null if it has none; an empty table gives no rows; other columns are ignored.
+group's id is its least doc_id; repeated rows are one class and each gets its row; two texts under one doc_id are two
+classes; rows with a null doc_id are grouped under the least id of their group, null if it has none; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, without
+from lodestone.llm.common import cut, keyed, map_batches, without
 from lodestone.llm.components import components
 from lodestone.llm.hashing import SPACED, combine, hashes_of, mix
 
 #: Shingles of a cluster that one task takes at most; a larger cluster is searched in blocks of half as many.
 BLOCK = 4_000_000
+#: Shingles of all blocks that a task searches one after another, on average.
+PER_TASK = 8_000_000
 #: Classes up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_CLASSES = 400_000
 #: The chance that two sets at the threshold share no bucket.
@@ -75,8 +78,8 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in b.column("text").to_pylist()]
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set, null for the empty one), bands (a hash of each band's rows)."""
+def signatures(rows_of: DataFrame, width: int, percent: int) -> DataFrame:
+    """_row, n_shingles, digest (of the set, null for the empty one), bands (a hash of each band's rows)."""
     rows, bands = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +94,9 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     for r in range(rows):
                         key = mix(key + table[:, r])
                     keys[i] = key.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_batches(rows_of.select("_row", "text"), run, "_row long, n_shingles long, digest binary, bands array<long>")
 
 
 def links(sets: Sequence[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -163,11 +166,11 @@ def cluster_links(members: DataFrame, percent: int) -> DataFrame:
                 sets.append(np.frombuffer(s, dtype=np.uint64))
         yield from search()
 
-    return members.mapInArrow(run, "a long, b long")
+    return map_batches(members, run, "a long, b long")
 
 
-def class_sets(docs: DataFrame, clustered: DataFrame, width: int) -> DataFrame:
-    """cluster, class_id, n_shingles, shingles: the whole sets of the classes in `clustered`, from their documents' texts."""
+def class_sets(rows: DataFrame, clustered: DataFrame, width: int) -> DataFrame:
+    """cluster, class_id, shingles: the whole sets of the classes in `clustered`, from the texts of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,39 +179,51 @@ def class_sets(docs: DataFrame, clustered: DataFrame, width: int) -> DataFrame:
                 sets: list[bytes] = [b""] * part.num_rows
                 for i, h in hashes_of(_texts(part), SPACED):
                     sets[i] = shingle_set(h, width).tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("class_id"), part.column("n_shingles"), pa.array(sets, pa.binary())], names=["cluster", "class_id", "n_shingles", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("class_id"), pa.array(sets, pa.binary())], names=["cluster", "class_id", "shingles"])
 
     few = clustered.count() <= BROADCAST_CLASSES
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(F.broadcast(clustered) if few else clustered, "class_id")
-    sets = texts.select("cluster", "class_id", "n_shingles", "text").mapInArrow(run, "cluster long, class_id long, n_shingles long, shingles binary")
-    return sets.filter(F.octet_length("shingles") == 8 * F.col("n_shingles"))  # of repeated doc_ids, the rows of the class
+    texts = rows.select(F.col("_row").alias("class_id"), "text").join(F.broadcast(clustered) if few else clustered, "class_id")
+    return map_batches(texts.select("cluster", "class_id", "text"), run, "cluster long, class_id long, shingles binary")
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id of its group), kept (it is that document)."""
-    spark = docs.sparkSession
-    marked = cut(signatures(docs, width, percent))
-    classes = cut(marked.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
-    buckets = classes.filter("class_id IS NOT NULL").select("class_id", F.explode("bands").alias("bucket"))
+def row_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """_row, n_shingles, component: the least _row of each row's group, where _row tells all rows apart."""
+    spark = rows.sparkSession
+    marked = cut(signatures(rows, width, percent))
+    classes = cut(marked.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_row").alias("class_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
+    buckets = classes.select("class_id", F.explode("bands").alias("bucket"))
     leads = buckets.groupBy("bucket").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     edges = buckets.join(leads, "bucket").filter("class_id <> lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct()
     loose = components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
     clustered = cut(loose.join(classes.select("class_id", "n_shingles"), "class_id"))
     total = clustered.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
     blocks = clustered.join(total, "cluster").select("cluster", "class_id", "n_shingles", F.when(F.col("total") > BLOCK, F.ceil(F.col("total") / (BLOCK // 2))).otherwise(1).cast("int").alias("n_blocks"))
-    sets = class_sets(docs, clustered, width)
+    sets = class_sets(rows, clustered.select("class_id", "cluster"), width)
     home = F.pmod(F.xxhash64("class_id"), F.col("n_blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.least(j, home).cast("long") * 1_000_000 + F.greatest(j, home))
     placed = sets.join(blocks.select("class_id", "n_blocks"), "class_id").select("cluster", F.explode(pairs).alias("block"), "class_id", "shingles")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(spark.sparkContext.defaultParallelism))
+    held = blocks.agg(F.sum(F.col("n_shingles") * F.col("n_blocks"))).first()[0] or 0  # a set goes to each of its cluster's blocks
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, math.ceil(held / PER_TASK))
     forest = cluster_links(placed.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block"), percent)
     grouped = components(forest)
     named = classes.select("digest", "class_id").join(grouped, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
-    out = marked.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return marked.select("_row", "n_shingles", "digest").join(named, "digest", "left").select("_row", "n_shingles", F.coalesce("component", "_row").alias("component"))
+
+
+def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id of its group), kept (it is that document)."""
+    rows, same = keyed(docs)
+    found = row_groups(rows, width, percent)
+    if same:
+        found = found.select(F.col("_row").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    else:
+        found = cut(found.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row"))
+        least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        found = found.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that their group's least doc_id stands for; rows with a null doc_id stay."""
-    return without(docs, groups(docs, width, percent).filter("NOT kept"), "doc_id")
+    """docs with one row of each group: that of the least doc_id. Where doc_ids are null or repeated, rows are told apart by their order as written, and the first stays. Texts without words stay all."""
+    rows, _ = keyed(docs)
+    return without(rows, row_groups(rows, width, percent).filter("_row <> component"), "_row").select(docs.columns)

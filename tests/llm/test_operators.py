@@ -107,7 +107,18 @@ def test_near_duplicates(spark, docs, nothing, width, percent):
     assert got == brute_groups(messy_texts(), width, percent)
     assert minhash.groups(nothing, width, percent).count() == 0
     kept = Counter(r.doc_id for r in minhash.keep_one(docs, width, percent).collect())
-    assert kept[1] == 1 and kept[2] == kept[3] == 0 and kept[10] == 2 and kept[None] == 1
+    assert kept[1] == 1 and kept[2] == kept[3] == 0 and kept[10] == 1 and kept[None] == 1 and kept[4] == kept[5] == kept[6] == 1
+
+
+def test_near_duplicates_under_one_id(spark):
+    """Two texts of equal size under one doc_id are two classes, each with its own copies; null ids have copies too."""
+    a, b, c = prose(80, 41), prose(80, 42), prose(80, 43)
+    texts = [(5, a), (5, b), (3, b), (9, a), (None, c), (None, c), (7, c), (None, "")]
+    df = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, _text string, component string")
+    got = sorted(str((r.doc_id, r.component_id)) for r in minhash.groups(df, 3, 85).collect())
+    assert got == sorted(map(str, [(5, 5), (5, 3), (3, 3), (9, 5), (None, 7), (None, 7), (7, 7), (None, None)]))
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(df.coalesce(1), 3, 85).collect()]
+    assert sorted(t for _, t in kept) == sorted([a, b, c, ""]) and kept[0] == (5, a)
 
 
 def test_dense_group_in_blocks(spark, monkeypatch):
@@ -259,18 +270,62 @@ def test_network_on_unseen_findings():
 
 
 def test_overlaps_tolerate_substitutions(spark, docs, nothing):
-    items = [(1, prose(30, 21)), (2, prose(9, 22)), (3, "too short"), (4, None), (1, prose(30, 21)), (5, prose(40, 23))]
+    items = [(1, prose(30, 21)), (2, prose(9, 22)), (3, "quite short indeed"), (4, None), (1, prose(30, 21)), (5, prose(40, 23)), (6, "exactly these seven words in a row"), (7, "! ?")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     part = items[0][1].split()[5:25]
     part[4] = part[11] = "swapped"
     half = items[5][1].split()[:7]
     texts = [(1, prose(50, 31) + " " + " ".join(part).upper() + ", " + prose(50, 32)), (2, items[1][1]), (3, prose(200, 33)), (4, " ".join(half) + " " + prose(80, 34)), (5, None), (6, items[0][1] + " " + prose(20000, 35) + " " + items[5][1])]
+    texts += [(7, f"{prose(30, 36)} Exactly these seven -- words in a row! {prose(9, 37)}"), (8, "it is quite short, indeed"), (None, texts[0][1]), (1, prose(60, 38)), (None, None)]
     df = spark.createDataFrame([(*t, 1, "x") for t in texts], "doc_id long, text string, item_id int, words string")
-    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(df, bench).collect()) == [(1, 1), (2, 2), (6, 1), (6, 5)]
-    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [3, 4, 5]
+    got = {(r.doc_id, r.item_id): (r.equal_words, r.window, r.doc_word, r.item_word) for r in decontam.overlaps(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (6, 1), (6, 5), (7, 6), (8, 3), (None, 1)}
+    assert got[6, 5] == (13, 13, 20030, 0) and got[7, 6] == (7, 7, 30, 0) and got[8, 3] == (3, 3, 2, 0)
+    left = [(r.doc_id, r.text) for r in decontam.clean(df, bench).collect()]
+    assert sorted((str(d), t or "") for d, t in left) == sorted((str(d), t or "") for d, t in [texts[2], texts[3], texts[4], texts[7], texts[9], texts[10]])
     assert decontam.overlaps(docs, bench).count() == 0 and decontam.overlaps(nothing, bench).count() == 0 and decontam.overlaps(df, bench.filter("false")).count() == 0
 
 
+def brute_overlaps(docs, items):
+    """Every window of every item beside every place of every document."""
+    found = {}
+    for d, text in docs:
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        for i, item in items:
+            x = item.split()
+            size = min(13, len(x)) if len(x) >= 8 else len(x)
+            best = max((sum(p == q for p, q in zip(x[a : a + size], w[b : b + size], strict=True)) for a in range(len(x) - size + 1) for b in range(len(w) - size + 1)), default=0)
+            if best >= 0.8 * size and (len(x) >= 8 or best == size):
+                found[d, i] = best
+    return found
+
+
+def test_overlaps_equal_brute_force(spark):
+    """Items of 1 to 16 words, with random substitutions: what is found is what brute force finds, for every length."""
+    r, items, texts = random.Random(9), [], []
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    for n in range(1, 17):
+        for _ in range(12):
+            items.append((len(items), " ".join(word() for _ in range(n))))
+            w = items[-1][1].split()
+            for k in r.sample(range(n), min(n, r.choice((0, 1, 1, 2, 2, 3)))):
+                w[k] = word()
+            texts.append((len(texts), " ".join([*(word() for _ in range(r.randint(0, 20))), *w, *(word() for _ in range(r.randint(0, 20)))])))
+    got = decontam.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_overlaps(texts, items)
+    assert {(x.doc_id, x.item_id): x.equal_words for x in got.collect()} == want and len(want) > 80
+
+
+def test_masks_leave_no_gap():
+    """Every way in which a window may differ leaves a seed whole."""
+    from itertools import combinations
+
+    for n in range(8, 14):
+        offsets = [decontam._OFFSETS[k] for k in decontam.masks_for(n)]
+        for other in combinations(range(n), n - math.ceil(decontam.IDENTITY * n)):
+            assert any(not {s + o for o in x} & set(other) for x in offsets for s in range(n - x[-1])), (n, other)
+
+
 # HTML
 
 
@@ -317,9 +372,24 @@ def test_sentencepiece_equals_the_library(docs, nothing):
     digests = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in sentencepiece_table.digests(docs).collect())
     assert digests == sorted((d, len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest()) for d, i in want)
     assert sentencepiece_table.encode(nothing).count() == 0
-    table = sentencepiece_table.ChunkTable(sentencepiece_table.default_model(), size=3)
-    for t in ("", " ", "  ", "a  b ", "▁", "\n", " \n ", "<s>x</s>", "a b c d e"):
-        assert table.encode_all([t])[0][1:-1] == sp.encode(t)
+    for table in (sentencepiece_table.ChunkTable(sentencepiece_table.default_model(), memo_bytes=400), sentencepiece_table.ChunkTable(sentencepiece_table.default_model(), {"▁a": np.array(sp.encode("a"), "<u4").tobytes()})):
+        for t in ("", " ", "  ", "a  b ", "▁", "\n", " \n ", "<s>x</s>", "a b c d e"):
+            assert np.frombuffer(table.encode(t), "<u4").tolist() == [1, *sp.encode(t), 2]
+            assert table.held <= table.memo_bytes + 1000
+    counted = {r.chunk: r.n for r in sentencepiece_table.chunk_counts(docs).collect()}
+    want_counts = Counter(c for _, t in messy_texts() for found in sentencepiece_table.chunks(t or "") for c in found if len(c) <= 64)
+    assert counted == want_counts
+
+
+def test_long_texts_are_cut_at_markers(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_table.default_model())
+    monkeypatch.setattr(sentencepiece_table, "PIECE", 7)
+    table = sentencepiece_table.ChunkTable(sentencepiece_table.default_model())
+    for t in ("one two three  four   five ▁ six▁▁seven" * 3, " " * 40, "x" * 50, "a" + " " * 30 + "b", "end ", "é ü 中文 😀 \x00 a▁b  c\n\nd " * 4):
+        assert np.frombuffer(table.encode(t), "<u4").tolist() == [1, *sp.encode(t), 2], t
+        assert table.decode(table.encode(t)) == sp.decode(sp.encode(t))
 
 
 # Quality rules
