@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.functions.lineage import checkpoint_dir, cut
 
-__all__ = ["ascii_lower", "checkpoint_dir", "cut", "keyed", "let", "map_batches", "pieces", "table", "without", "words", "written"]
+__all__ = ["ROW", "ascii_lower", "checkpoint_dir", "cut", "keyed", "let", "map_batches", "pieces", "table", "without", "words", "written"]
 
 #: ASCII white space, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -73,7 +73,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def keyed(docs: DataFrame, key: str = "_row") -> tuple[DataFrame, bool]:
+#: The column of a row's own key, under a name that no table has.
+ROW = "_lodestone_row"
+
+
+def keyed(docs: DataFrame, key: str = ROW) -> tuple[DataFrame, bool]:
     """docs with a key of each row, and whether that is doc_id: where no two rows share one and none is null; else it is a number in the order of a written copy."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     if ids.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, keyed, map_batches, without
+from lodestone.llm.common import ROW, cut, keyed, map_batches, without
 from lodestone.llm.hashing import ALPHANUMERIC, combine, hashes_of
 
 WINDOW, IDENTITY = 13, 0.8
@@ -191,4 +191,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a passage of the benchmark, of SHORTEST words at least; rows are told apart also where doc_ids are null or repeated."""
     rows, _ = keyed(docs)
-    return without(rows, overlaps(rows, benchmark, "_row").filter(F.col("window") >= SHORTEST), "_row").select(docs.columns)
+    return without(rows, overlaps(rows, benchmark, ROW).filter(F.col("window") >= SHORTEST), ROW).select(docs.columns)

@@ -5,7 +5,7 @@ form that is a known licence sentence gives its identifier. A document's identif
 and ordered licence rules (the first that fits a place wins; longer rules stand first) are matched against it.
 
 Edge cases: null or empty texts and texts without a known sentence give no row; repeated sentences are repeated in the
-sequence; repeated doc_ids are scanned as one document, their sentences merged in order; other columns are ignored.
+sequence; rows with a repeated or null doc_id are scanned each on its own; other columns are ignored.
 Short tags (`SPDX-License-Identifier: MIT`) are no sentences and give no row.
 """
 
@@ -149,13 +149,16 @@ def sentence_table(spark: SparkSession, sentences: Mapping[str, str]) -> DataFra
 
 
 def sentence_hits(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES) -> DataFrame:
-    """doc_id, at, line, sentence_id; line -1: the whole sentence, else one of its lines."""
+    """row (a number of the row), doc_id, at, line, sentence_id; line -1: the whole sentence, else one of its lines, where that isn't the sentence itself."""
     longest, shortest = max(map(len, sentences.values())), min(map(len, sentences.values()))
-    cut = docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(fragments(F.col("text"))).alias("at", "part"))
+    numbered = docs.filter("text IS NOT NULL").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    cut = numbered.select("doc_id", "row", F.posexplode(fragments(F.col("text"))).alias("at", "part"))
     lines = F.when(F.instr("part", "\n") > 0, F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
-    split = cut.filter(F.length("part") >= shortest).select("doc_id", "at", F.posexplode(lines).alias("line", "piece"))
-    near = split.filter(F.length("piece") >= shortest).select("doc_id", "at", (F.col("line") - 1).alias("line"), normal(F.col("piece")).alias("sentence")).filter(F.length("sentence").between(shortest, longest))
-    return near.join(F.broadcast(sentence_table(docs.sparkSession, sentences)), "sentence").select("doc_id", "at", "line", "sentence_id")
+    sized = lambda c: F.length(c) >= shortest
+    normed = F.transform(lines, lambda x: F.when(sized(x), normal(x)).otherwise(""))
+    split = cut.filter(sized("part")).select("row", "doc_id", "at", normed.alias("all")).select("row", "doc_id", "at", F.col("all")[0].alias("whole"), F.posexplode("all").alias("line", "sentence"))
+    near = split.filter(((F.col("line") == 0) | (F.col("sentence") != F.col("whole"))) & F.length("sentence").between(shortest, longest))
+    return near.join(F.broadcast(sentence_table(docs.sparkSession, sentences)), "sentence").select("row", "doc_id", "at", (F.col("line") - 1).alias("line"), "sentence_id")
 
 
 def matched(sequence: Column, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> Column:
@@ -172,7 +175,7 @@ def matched(sequence: Column, rules: Sequence[tuple[str, tuple[str, ...]]] = RUL
 
 def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (array in text order), licences (array in rule order), for documents with a known sentence."""
-    hits = sentence_hits(docs, sentences).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "line", "sentence_id"))).alias("hits"))
+    hits = sentence_hits(docs, sentences).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "line", "sentence_id"))).alias("hits"))
     ids = hits.select("doc_id", F.transform("hits", lambda h: h.sentence_id).alias("sentence_ids"))
     sequence = F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "")
     return ids.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids", matched(sequence, rules).alias("licences"))

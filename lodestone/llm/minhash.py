@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, keyed, map_batches, without
+from lodestone.llm.common import ROW, cut, keyed, map_batches, without
 from lodestone.llm.components import components
 from lodestone.llm.hashing import SPACED, combine, hashes_of, mix
 
@@ -79,7 +79,7 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 
 def signatures(rows_of: DataFrame, width: int, percent: int) -> DataFrame:
-    """_row, n_shingles, digest (of the set, null for the empty one), bands (a hash of each band's rows)."""
+    """the row, n_shingles, digest (of the set, null for the empty one), bands (a hash of each band's rows)."""
     rows, bands = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +94,9 @@ def signatures(rows_of: DataFrame, width: int, percent: int) -> DataFrame:
                     for r in range(rows):
                         key = mix(key + table[:, r])
                     keys[i] = key.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(ROW), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[ROW, "n_shingles", "digest", "bands"])
 
-    return map_batches(rows_of.select("_row", "text"), run, "_row long, n_shingles long, digest binary, bands array<long>")
+    return map_batches(rows_of.select(ROW, "text"), run, f"{ROW} long, n_shingles long, digest binary, bands array<long>")
 
 
 def links(sets: Sequence[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -182,15 +182,15 @@ def class_sets(rows: DataFrame, clustered: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("class_id"), pa.array(sets, pa.binary())], names=["cluster", "class_id", "shingles"])
 
     few = clustered.count() <= BROADCAST_CLASSES
-    texts = rows.select(F.col("_row").alias("class_id"), "text").join(F.broadcast(clustered) if few else clustered, "class_id")
+    texts = rows.select(F.col(ROW).alias("class_id"), "text").join(F.broadcast(clustered) if few else clustered, "class_id")
     return map_batches(texts.select("cluster", "class_id", "text"), run, "cluster long, class_id long, shingles binary")
 
 
 def row_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """_row, n_shingles, component: the least _row of each row's group, where _row tells all rows apart."""
+    """the row, n_shingles, component: the least key of each row's group, where the key tells all rows apart."""
     spark = rows.sparkSession
     marked = cut(signatures(rows, width, percent))
-    classes = cut(marked.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_row").alias("class_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
+    classes = cut(marked.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(ROW).alias("class_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     buckets = classes.select("class_id", F.explode("bands").alias("bucket"))
     leads = buckets.groupBy("bucket").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     edges = buckets.join(leads, "bucket").filter("class_id <> lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct()
@@ -207,7 +207,7 @@ def row_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     forest = cluster_links(placed.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block"), percent)
     grouped = components(forest)
     named = classes.select("digest", "class_id").join(grouped, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
-    return marked.select("_row", "n_shingles", "digest").join(named, "digest", "left").select("_row", "n_shingles", F.coalesce("component", "_row").alias("component"))
+    return marked.select(ROW, "n_shingles", "digest").join(named, "digest", "left").select(ROW, "n_shingles", F.coalesce("component", ROW).alias("component"))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,9 +215,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows, same = keyed(docs)
     found = row_groups(rows, width, percent)
     if same:
-        found = found.select(F.col("_row").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+        found = found.select(F.col(ROW).alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
     else:
-        found = cut(found.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row"))
+        found = cut(found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW))
         least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         found = found.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -226,4 +226,4 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: that of the least doc_id. Where doc_ids are null or repeated, rows are told apart by their order as written, and the first stays. Texts without words stay all."""
     rows, _ = keyed(docs)
-    return without(rows, row_groups(rows, width, percent).filter("_row <> component"), "_row").select(docs.columns)
+    return without(rows, row_groups(rows, width, percent).filter(F.col(ROW) != F.col("component")), ROW).select(docs.columns)

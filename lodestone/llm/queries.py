@@ -43,7 +43,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.report(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("rejected")).alias("kept"))
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,10 @@ def _sql9() -> str:
 WITH known(sentence, sentence_id) AS (VALUES {known}),
 cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?:;])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
 part AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM cut),
-line AS (SELECT doc_id, pos, -1 AS line, part AS piece FROM part
-         UNION ALL SELECT doc_id, pos, unnest(range(len(string_split(part, chr(10))))) AS line, unnest(string_split(part, chr(10))) AS piece FROM part WHERE contains(part, chr(10))),
-hits AS (SELECT doc_id, pos, line, sentence_id FROM line JOIN known ON sentence = trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g'))),
+line AS (SELECT doc_id, pos, -1 AS line, part AS piece, part FROM part
+         UNION ALL SELECT doc_id, pos, unnest(range(len(string_split(part, chr(10))))) AS line, unnest(string_split(part, chr(10))) AS piece, part FROM part WHERE contains(part, chr(10))),
+normed AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS sentence, part FROM line),
+hits AS (SELECT doc_id, pos, line, sentence_id FROM normed JOIN known USING (sentence) WHERE line = -1 OR sentence <> trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
 seqs AS (SELECT doc_id, count(*) AS n_sentences, string_agg(sentence_id, ',' ORDER BY pos, line, sentence_id) AS sentence_ids,
                 string_agg(',' || sentence_id || ',', '' ORDER BY pos, line, sentence_id) AS seq FROM hits GROUP BY doc_id),
 {", ".join(sequence)}
