@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again before the next. All stages but the last return the columns of documents.
+
+Edge cases: a null or empty text is rejected by the first stage; rows with a null or repeated doc_id are told apart, and
+each is kept, dropped or redacted by its own text (of equal texts one row stays); an empty table gives no rows; other
+columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from lodestone.llm.common import checkpoint_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality.judge(docs).filter("rejected_by IS NULL").drop("rejected_by")
+    return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
