@@ -159,41 +159,92 @@ def test_lm_scores(docs, nothing):
     assert hpylm.score(nothing).count() == 0
 
 
-def test_lm_learns_pairs_and_sums_to_one(spark):
-    """Perplexity of unseen text falls below the unigram base; the probabilities that follow a word sum to one."""
-    chain = {w: random.Random(w).sample(_WORDS, 4) for w in _WORDS}
+def chain_texts(n, words=80):
+    known = _WORDS[:60]
+    chain = {w: random.Random(w).sample(known, 4) for w in known}
     texts, r = [], random.Random(1)
-    for i in range(300):
-        w, out = r.choice(_WORDS), []
-        for _ in range(80):
+    for i in range(n):
+        w, out = r.choice(known), []
+        for _ in range(words):
             out.append(w)
             w = r.choice(chain[w])
         texts.append((i, " ".join(out)))
-    base = spark.createDataFrame(texts, "doc_id long, text string")
-    unseen = [r for r in hpylm.score(base).collect() if r.held_out]
-    assert sum(r.score for r in unseen) > 0.6 * sum(r.base_score for r in unseen)
-    held = next(i for i in range(1000, 2000) if hpylm.held_out(i))
-    ids = [i for i in range(held, held + 20000) if hpylm.held_out(i)]
-    words = sorted({w for i, t in texts for w in t.split() if not hpylm.held_out(i)})
-    asked = spark.createDataFrame([(i, f"{words[0]} {w}") for i, w in zip(ids, [*words, "unknownword"], strict=False)] + [(ids[-1], words[0])], "doc_id long, text string")
-    scores = {r.doc_id: (r.score, r.n_tokens) for r in hpylm.score(base.unionByName(asked)).collect() if r.doc_id >= held}
-    ends = {i: s for i, (s, n) in scores.items() if n == 3}
-    start = scores[ids[-1]][0]
-    assert len(ends) == len(words) + 1 and all(s < start + 3 for s in ends.values())
-
-
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(0)
-    c = rng.integers(2, 40, 500)
-    s = hpylm.Seating(c, np.full(500, 0.7), 0.8, rng)
-    for _ in range(20):
-        s.move(np.full(500, 0.7))
-    assert (np.bincount(s.dish, weights=s.size, minlength=500) == c).all() and (np.bincount(s.dish, minlength=500) == s.t).all() and s.size.min() > 0
-
-
-def test_dishes_are_seated_anew(monkeypatch):
-    """Exact tables agree with brute force; proposals, from any start, with exact tables; and a frequent pair's tables change between samples."""
-    rng, d = np.random.default_rng(3), hpylm.DISCOUNT
+    return texts
+
+
+def test_lm_learns_and_does_not_depend_on_parts(spark, monkeypatch):
+    """Perplexity of unseen text falls below the unigram base; hot words dealt out by classes, over more parts and chunks, change little."""
+    df, means = spark.createDataFrame(chain_texts(150), "doc_id long, text string"), []
+    for per_part in (hpylm.PER_PART, 200):  # with 200, most words are hot
+        monkeypatch.setattr(hpylm, "PER_PART", per_part)
+        monkeypatch.setattr(hpylm, "CHUNK", 4000 if per_part == 200 else 1_500_000)
+        unseen = [r for r in hpylm.score(df).collect() if r.held_out]
+        means.append(sum(r.score for r in unseen) / sum(r.n_tokens for r in unseen))
+        assert sum(r.score for r in unseen) > 0.7 * sum(r.base_score for r in unseen)
+    assert means[0] == pytest.approx(means[1], rel=0.08)
+
+
+def asked_for(texts, held, numbers):
+    """A chunk's request for the triples of tokenised texts, all of them in one part."""
+    c, flat = hpylm.Chunk.__new__(hpylm.Chunk), [x for t in texts for x in t]
+    c.words = np.arange(len(numbers), dtype=np.uint64)
+    c.tokens, c.lengths = np.array(flat, np.int64), np.array([len(t) for t in texts], np.int64)
+    c.starts, c.train = np.cumsum(c.lengths) - c.lengths, np.repeat(~np.array(held), c.lengths)
+    c.triples(numbers, hpylm.Deal(1, np.empty(0, np.int64), np.empty(0, np.int64)))
+    return hpylm._pack(c.u2, c.u1, np.ones(len(c.w), "<u4"), c.w, c.counts.astype("<u4"))
+
+
+def test_lm_probabilities_equal_brute_force():
+    """A part's probabilities are those of the formula, evaluated dish by dish, and those that follow a context sum to one."""
+    r, n = random.Random(3), 12
+    texts = [[r.randrange(n) if r.random() < 0.4 else (k * 5) % n for k in range(40)] for _ in range(12)]
+    every = [[a, b, w] for a, b in ((1, 5), (2, 2), (0, 7)) for w in range(n + 1)]  # n: a word that training doesn't know
+    numbers = np.arange(1, n + 2)
+    deal = hpylm.Deal(1, np.empty(0, np.int64), np.empty(0, np.int64))
+    m = hpylm.Merged([asked_for(texts, [False] * 12, numbers), asked_for(every, [True] * len(every), numbers)], deal)
+    p, rng, v = hpylm.Part(m.static()), np.random.default_rng(0), n
+    root_level, level2, level3 = (0.7, 5.0), (0.6, 2.0), (0.5, 1.0)
+    p0 = hpylm.root_probability(rng.random(len(m.words)), root_level, 40.0, 9.0, v)
+    for _ in range(4):
+        p.sweep(p0, level2, level3, rng)
+    got = hpylm.probabilities(m, p, p0, level2, level3)
+    c3, key = Counter(), []
+    for t in texts:
+        for k in range(len(t)):
+            u1, u2 = (numbers[t[k - 2]] if k > 1 else 0), (numbers[t[k - 1]] if k else 0)
+            c3[int(u1), int(u2), int(numbers[t[k]])] += 1
+    contexts = np.unique([(b, a) for t in [*texts, *every] for k in range(len(t)) for a, b in [(int(numbers[t[k - 2]]) if k > 1 else 0, int(numbers[t[k - 1]]) if k else 0)]], axis=0)
+    for k in range(len(m.c)):
+        u2, u1 = contexts[m.context[k]]
+        key.append((int(u1), int(u2), int(m.words[m.word[k]])))
+    assert all(m.c[k] == c3[x] for k, x in enumerate(key)) and sum(c3.values()) == m.c.sum()
+    many = iter(p.t3.tolist())
+    t3 = {x: (next(many) if m.c[k] > 1 else 1) for k, x in enumerate(key) if m.c[k]}
+    c2, t2 = Counter(), {}
+    for (_, u2, w), t in t3.items():
+        c2[u2, w] += t
+    by_pair = {(int(contexts[m.context[k]][0]), int(m.words[m.word[k]])): int(p.t2[m.pair[k]]) for k in range(len(m.c)) if m.pair[k] >= 0}
+    t2 = {x: by_pair[x] for x in c2}
+    assert all(1 <= t2[x] <= c2[x] for x in c2) and all(1 <= t3[x] <= c3[x] for x in t3)
+
+    def brute(u1, u2, w):
+        base = float(p0[np.searchsorted(m.words, w)])
+        own, opened = sum(c for (a, _), c in c2.items() if a == u2), sum(t for (a, _), t in t2.items() if a == u2)
+        q = (max(0, c2[u2, w] - level2[0] * t2.get((u2, w), 0)) + (level2[1] + level2[0] * opened) * base) / (level2[1] + own)
+        own, opened = sum(c for x, c in c3.items() if x[:2] == (u1, u2)), sum(t for x, t in t3.items() if x[:2] == (u1, u2))
+        return (c3[u1, u2, w] - level3[0] * t3.get((u1, u2, w), 0) + (level3[1] + level3[0] * opened) * q) / (level3[1] + own)
+
+    assert got == pytest.approx([brute(*x) for x in key])
+    whole = hpylm.Part(m.static())
+    uniform = np.full(len(m.words), 1 / len(m.words))
+    flat = hpylm.probabilities(m, whole, uniform, level2, level3)
+    for a, b in ((2, 6), (3, 3), (1, 8)):
+        assert flat[[k for k, x in enumerate(key) if x[:2] == (a, b)]].sum() == pytest.approx(1)
+
+
+def test_dishes_are_seated_anew():
+    """Exact tables agree with brute force, the saddle point with exact tables, and a frequent word's tables change between sweeps."""
+    rng, d, s = np.random.default_rng(3), 0.8, 1.0
     ways = {1: Counter({(1,): 1.0})}
     for n in range(1, 6):
         ways[n + 1] = Counter()
@@ -201,42 +252,51 @@ def test_dishes_are_seated_anew(monkeypatch):
             ways[n + 1][(*sizes, 1)] += w
             for k, size in enumerate(sizes):
                 ways[n + 1][(*sizes[:k], size + 1, *sizes[k + 1 :])] += w * (size - d)
-    by_t = Counter()
+    by_t, counted = Counter(), Counter()
     for sizes, w in ways[6].items():
-        by_t[len(sizes)] += w * math.prod((hpylm.STRENGTH + d * (5 + i)) * 0.3 for i in range(len(sizes)))
+        counted[len(sizes)] += w
+        by_t[len(sizes)] += w * math.prod((s + d * (5 + i)) * 0.3 for i in range(len(sizes)))
     want = sum(t * w for t, w in by_t.items()) / sum(by_t.values())
-    got = hpylm.exact_tables(np.full(40000, 6), np.full(40000, 5.0), np.full(40000, 0.3), d, rng)
+    got = hpylm.draw_tables(np.full(40000, 6), np.full(40000, 5.0), np.full(40000, 0.3), d, s, rng)
     assert got.mean() == pytest.approx(want, rel=0.02)
-    for c, others, p in ((400, 1000.0, 0.003), (500, 400.0, 0.1), (300, 0.0, 0.02)):
-        exact = hpylm.exact_tables(np.full(4000, c), np.full(4000, others), np.full(4000, p), d, rng)
-        seats = hpylm.Seating(np.full(2000, c), np.full(2000, 1e-9), d, rng)
-        for _ in range(60):
-            seats.propose(np.arange(2000), np.full(2000, others), np.full(2000, p))
-        assert (np.bincount(seats.dish, weights=seats.size, minlength=2000) == c).all() and seats.t.mean() == pytest.approx(exact.mean(), rel=0.06)
-    u, w = np.repeat(np.arange(20, dtype=np.uint64), 60), np.tile(np.arange(60, dtype=np.uint64), 20)
-    for c in (300, 100000):
-        part = hpylm.Part(u, w, np.full(1200, c), 1, np.empty(0, np.uint64))
-        for number in range(hpylm.BURN_IN + hpylm.SAMPLES):
-            part.sweep(number, part.here(), rng)
-        assert np.abs(np.diff([x[0] for x in part.samples], axis=0)).mean() > 5
-
-
-def test_seating_does_not_depend_on_parts():
-    """A context's tables and its pairs' worth agree over 16 and 500 parts, for contexts that mostly have one table in a part."""
-    r, runs = np.random.default_rng(4), []
-    u, w = np.repeat(np.arange(20, dtype=np.uint64), 2000), np.concatenate([r.choice(20000, 2000, replace=False) for _ in range(20)]).astype(np.uint64)
-    c = r.choice([1, 2, 3], len(u), p=[0.5, 0.3, 0.2])
-    for n in (16, 500):
-        at = (hpylm.mix(w + np.uint64(1)) % np.uint64(n)).astype(int)
-        dealt = [hpylm.Part(u[at == k], w[at == k], c[at == k], n, np.empty(0, np.uint64)) for k in range(n)]
-        for number in range(hpylm.BURN_IN + hpylm.SAMPLES):
-            whole = np.zeros(20)
-            for x in dealt:
-                whole[x.contexts.astype(int)] += x.here()
-            for x in dealt:
-                x.sweep(number, whole[x.contexts.astype(int)], r)
-        runs.append((whole.mean(), sum(x.worth.sum() for x in dealt)))
-    assert runs[0] == pytest.approx(runs[1], rel=0.03)
+    assert hpylm.log_seatings(np.full(6, 6), np.arange(1, 7), d) == pytest.approx([math.log(counted[t]) for t in range(1, 7)])
+    for c, others, p in ((250, 1000.0, 0.003), (250, 400.0, 0.1), (256, 0.0, 0.02)):
+        cells = (np.full(8000, c), np.full(8000, others), np.full(8000, p), d, s, rng)
+        assert hpylm._draw_large(*cells).mean() == pytest.approx(hpylm.draw_tables(*cells).mean(), rel=0.03)
+    t = hpylm.draw_tables(np.array([0, 1, 2, 300, 10**6]), np.full(5, 50.0), np.full(5, 0.01), d, s, rng)
+    assert t[0] == 0 and t[1] == 1 and all(1 <= a <= b for a, b in zip(t[2:].tolist(), [2, 300, 10**6], strict=True))
+    texts = [[random.Random(k).randrange(6) for _ in range(3000)] for k in range(8)]
+    deal = hpylm.Deal(1, np.empty(0, np.int64), np.empty(0, np.int64))
+    part = hpylm.Part(hpylm.Merged([asked_for(texts, [False] * 8, np.arange(1, 7))], deal).static())
+    seen = []
+    for _ in range(4):
+        part.sweep(np.full(6, 1 / 6), (0.8, 1.0), (0.8, 1.0), rng)
+        seen.append(part.t3.copy())
+    assert np.abs(np.diff(seen[1:], axis=0)).mean() > 0.5
+
+
+def test_levels_follow_the_data():
+    """Discount and strength drawn from the likelihood of seatings made with known ones lie near them."""
+    rng, d, s = np.random.default_rng(1), 0.5, 10.0
+    sizes, cs, ts, dishes = [], [], [], []
+    for _ in range(150):
+        tables = []
+        for n in range(200):
+            k = rng.random() * (n + s)
+            if k < s + d * len(tables):
+                tables.append(1)
+            else:
+                w = np.array(tables) - d
+                tables[int(rng.choice(len(tables), p=w / w.sum()))] += 1
+        cs.append(200)
+        ts.append(len(tables))
+        sizes.append(tables)
+        dish = rng.integers(0, 30, len(tables))  # 30 dishes, alike
+        dishes += [(int(sum(np.array(tables)[dish == k])), int((dish == k).sum())) for k in set(dish.tolist())]
+    c, t = np.array(dishes).T
+    logs = hpylm.log_likelihoods((c, t), np.array(ts), np.array(cs))
+    discount, strength = hpylm.draw_grid(logs, rng)
+    assert abs(discount - d) <= 0.1 and strength == s
 
 
 # Secrets
