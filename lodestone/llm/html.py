@@ -10,12 +10,13 @@ best. A page whose containers have no score (links make up half of every paragra
 Edge cases: null or empty html and pages without text give the empty text; a null URL, or one without
 `://`, belongs to the host ''; ties between paths go to the greater score, then to the path first in order; repeated
 rows are extracted each on its own (and vote each); an empty table gives no rows; other columns are ignored. Markup that
-is broken off is read as far as it goes.
+is broken off is read as far as it goes, in time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestone.llm.common import ascii_lower, cut
+from lodestone.llm.common import ascii_lower, cut, map_batches
 
 #: Up to this many hosts' paths are broadcast to the pages; of more, pages are shuffled by host (AQE splits hot ones).
 BROADCAST_HOSTS = 100_000
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w"'=-])(hidden)(?![\w=-])""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: What follows a tag's name, up to its end; a bracket in a quoted value doesn't end it. Nothing is read twice.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+>""")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))|(?<![\w"'=-])(hidden)(?![\w=-])""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "audio", "video", "canvas"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -43,7 +46,11 @@ _BAD = re.compile(
     r"(?:nav\w*|menu\w*|sidebar\w*|side|aside|rail|footer\w*|foot|header|masthead|topbar|ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus\w*|discussion|feedback"
     r"|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|cookies?|consent|gdpr|notices?|alert\w*|warning|popups?|modal\w*|overlay|subscrib\w*|newsletter\w*|signup|login|forms?|search\w*|breadcrumbs?|paginat\w*|pager|widget\w*|tags|tagcloud|skip|copyright|legal|disclaimer|teaser\w*|paywall|toolbar)"
 )
-_GOOD = re.compile(r"article|post|entry|content|story|main|body|text|prose")
+_GOOD = re.compile(r"(?:article|post|entry|content|story|main|body|text|prose)(?:s|body|text|content)?")
+_BREAK = re.compile(r"[-_\d]+")
+_LIST = {"ul", "ol", "dl", "table", "div", "section", "article"}
+_ITEM = {"li", "dt", "dd", "tr", "td", "th", "option"}
+_PARAGRAPH = {"p", "pre", "li", "dd", "blockquote", "h1", "h2", "h3", "h4", "td"}
 _SPACE = re.compile(r"\s+")
 
 
@@ -57,15 +64,23 @@ class Node:
     children: list = field(default_factory=list)
     score: float = 0.0
     depth: int = 0
+    fits: int = 0  # how many steps of the path asked for lead here, -1 beside it
+
+    def step(self) -> str:
+        return ".".join((self.tag, *sorted({re.sub(r"\d+", "#", c) for c in self.classes})))
 
     def path(self) -> str:
         steps, node = [], self
         while node is not None and node.tag not in ("html", "#page"):
-            steps.append(".".join((node.tag, *sorted({re.sub(r"\d+", "#", c) for c in node.classes}))))
+            steps.append(node.step())
             node = node.parent
         return "/".join(reversed(steps))
 
 
+def _good(classes: tuple[str, ...]) -> bool:
+    return any(_GOOD.fullmatch(part) for c in classes for part in _BREAK.split(c.lower()))
+
+
 def _bad_name(names: str) -> bool:
     for name in names.lower().split():
         parts = [x for x in re.split(r"[-_]+", name) if x]
@@ -90,51 +105,87 @@ def _node(tag: str, raw: str, parent: Node) -> Node:
 
 
 def parse(html: str) -> Node:
-    """The page's tree; children are nodes and pieces of raw text."""
+    """The page's tree; children are nodes and pieces of raw text. Time is in proportion to the page: nothing is searched again, and of open nodes only those that a tag can end are looked at."""
     root = Node("#page")
-    open_nodes, at = [root], 0
+    open_nodes, blocks, items = [root], [0], []  # blocks, items: places of open blocks and paragraphs, and of open lists and items
+    opened: Counter[str] = Counter()
+    at, words, whole = 0, [], True
+
+    def flush() -> None:
+        if words:
+            open_nodes[-1].children.append("".join(words))
+            words.clear()
+
+    def close(k: int) -> None:
+        """Ends the open nodes from place k on."""
+        for x in open_nodes[k:]:
+            opened[x.tag] -= 1
+        del open_nodes[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        while items and items[-1] >= k:
+            items.pop()
+
     while True:
-        m = _TAG.search(html, at)
-        if m is None:
-            tail = html[at:]
-            stop = re.search(r"<[a-zA-Z/!?]", tail)  # a tag that the end of the page cuts off
-            open_nodes[-1].children.append(tail[: stop.start()] if stop else tail)
-            return root
-        if m.start() > at:
-            open_nodes[-1].children.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        i = html.find("<", at)
+        if i < 0:
+            words.append(html[at:])
+            break
+        words.append(html[at:i])
+        follows = html[i + 1 : i + 2]
+        name = _NAME.match(html, i + 1) if follows == "/" or follows.isascii() and follows.isalpha() else None
+        if name is None:
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                at = len(html) if end < 0 else end + 3
+            elif follows and follows in "!?/":
+                end = html.find(">", i)
+                at = len(html) if end < 0 else end + 1
+            else:
+                words.append("<")
+                at = i + 1
             continue
-        tag, closing, raw = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            for k in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[k].tag == tag:
-                    del open_nodes[k:]
-                    break
+        rest = _REST.match(html, name.end()) if whole else None
+        if rest is None:  # its quotes don't match up to the end of the page; neither will those of later tags
+            whole = False
+            end = html.find(">", name.end())
+            if end < 0:  # a tag that the end of the page cuts off
+                break
+        else:
+            end = rest.end() - 1
+        raw, tag, at = html[name.end() : end], name[2].lower(), end + 1
+        flush()
+        if name[1]:
+            if opened[tag]:
+                k = len(open_nodes) - 1
+                while open_nodes[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in _RAW and not raw.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+            at = stop.end() if stop else len(html)
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[k].tag == "p":
-                    del open_nodes[k:]
-                    break
-                if open_nodes[k].tag in _BLOCK:
-                    break
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            for k in range(len(open_nodes) - 1, 0, -1):
+        if tag in _CLOSES_P and open_nodes[blocks[-1]].tag == "p":
+            close(blocks[-1])
+        if tag in _ITEM:
+            for k in reversed(items):
                 if open_nodes[k].tag == tag:
-                    del open_nodes[k:]
+                    close(k)
                     break
-                if open_nodes[k].tag in ("ul", "ol", "dl", "table", "div", "section", "article"):
+                if open_nodes[k].tag in _LIST:
                     break
         node = _node(tag, raw, open_nodes[-1])
         open_nodes[-1].children.append(node)
         if tag not in _VOID and not raw.endswith("/"):
+            if tag in _BLOCK:
+                blocks.append(len(open_nodes))
+            if tag in _LIST or tag in _ITEM:
+                items.append(len(open_nodes))
+            opened[tag] += 1
             open_nodes.append(node)
+    flush()
+    return root
 
 
 def text_blocks(node: Node) -> list[str]:
@@ -166,43 +217,44 @@ def text_blocks(node: Node) -> list[str]:
     return blocks
 
 
-def _measure(node: Node) -> tuple[int, int]:
-    """(characters, characters in links) of a paragraph's own text."""
-    total = linked = 0
-    stack: list[tuple[object, bool]] = [(x, False) for x in node.children]
-    while stack:
-        x, link = stack.pop()
-        if isinstance(x, str):
-            n = len(x) - x.count(" ")
-            total += n
-            linked += n * link
-        elif not x.dropped and x.tag not in _CONTAINER:
-            stack += [(c, link or x.tag == "a") for c in x.children]
-    return total, linked
-
-
-def containers(root: Node) -> list[Node]:
-    """Nodes that may hold an article, last in the page first, with their scores: a paragraph counts in full where it stands and half one level up."""
-    found, stack = [], [root]
+def containers(root: Node, path: str | None = None) -> list[Node]:
+    """Nodes that may hold an article, last in the page first, with their scores: a paragraph counts in full where it stands and half one level up. With a path, each node knows whether that leads to it."""
+    steps = path.split("/") if path else []
+    found, order, stack = [], [], [(root, -1)]  # order: nodes, each behind its parent, with the place of the parent
     while stack:
-        x = stack.pop()
+        x, up = stack.pop()
         if x.dropped:
             continue
+        if x.tag not in ("html", "#page"):
+            x.fits = x.parent.fits + 1 if 0 <= x.parent.fits < len(steps) and x.step() == steps[x.parent.fits] else -1
+        elif x.parent is not None:
+            x.fits = x.parent.fits
         if x.tag in _CONTAINER:
             found.append(x)
-        if x.tag in ("p", "pre", "li", "dd", "blockquote", "h1", "h2", "h3", "h4", "td") or x.tag in _CONTAINER:
-            total, linked = _measure(x)
-            worth = total - 2 * linked
-            if worth > 0:
-                holder, share = (x, 1.0) if x.tag in _CONTAINER else (x.parent, 1.0)
-                while holder is not None and share > 0.2:
-                    if holder.tag in _CONTAINER:
-                        holder.score += worth * share
-                        share /= 2
-                    holder = holder.parent
-        stack.extend(c for c in x.children if isinstance(c, Node))
+        stack.extend((c, len(order)) for c in x.children if isinstance(c, Node))
+        order.append((x, up))
+    measured, holders = [[0, 0] for _ in order], [-1] * len(order)
+    for k, (x, up) in enumerate(order):
+        holders[k] = k if x.tag in _CONTAINER else holders[up]
+        measured[k][0] = sum(len(c) - c.count(" ") for c in x.children if isinstance(c, str))
+    for k in range(len(order) - 1, -1, -1):  # characters, and those in links, of a node's own text, without that of containers in it
+        x, up = order[k]
+        if x.tag == "a":
+            measured[k][1] = measured[k][0]
+        if up >= 0 and x.tag not in _CONTAINER:
+            measured[up][0] += measured[k][0]
+            measured[up][1] += measured[k][1]
+    for k, (x, up) in enumerate(order):
+        worth = measured[k][0] - 2 * measured[k][1]
+        if worth > 0 and (x.tag in _PARAGRAPH or x.tag in _CONTAINER):
+            holder, share = k if x.tag in _CONTAINER else holders[up], 1.0
+            while holder >= 0 and share > 0.2:
+                order[holder][0].score += worth * share
+                share /= 2
+                above = order[holder][1]
+                holder = holders[above] if above >= 0 else -1
     for x in found:
-        if x.main or any(_GOOD.search(c.lower()) for c in x.classes):
+        if x.main or _good(x.classes):
             x.score *= 1.3
     return found
 
@@ -216,27 +268,27 @@ def best_container(found: list[Node]) -> Node | None:
         if up.main and up.score > 0:
             return up
         up = up.parent
-    while best.parent is not None and best.parent.tag in _CONTAINER - {"body"} and any(_GOOD.search(c.lower()) for c in best.parent.classes):
+    while best.parent is not None and best.parent.tag in _CONTAINER - {"body"} and _good(best.parent.classes):
         best = best.parent
     return best
 
 
-def text_under(found: list[Node], path: str) -> str:
+def text_under(html: str, path: str) -> str:
     """The blocks of all containers with the path, in page order; of those with a score, if any has one."""
-    depth = path.count("/") + 1  # paths are spelt out at this depth only
-    fits = [x for x in reversed(found) if x.depth == depth and x.path() == path]
+    n = path.count("/") + 1
+    fits = [x for x in reversed(containers(parse(html), path)) if x.fits == n]
     return "\n".join(block for x in [x for x in fits if x.score > 0] or fits for block in text_blocks(x))
 
 
 def extract(html: str, path: str | None) -> str:
     """The text under the path, if the page has it, else under the path of its own best container, else all of it."""
-    root = parse(html)
-    found = containers(root)
-    text = text_under(found, path) if path else ""
+    text = text_under(html, path) if path else ""
     if not text:
-        best = best_container(found)
-        text = text_under(found, best.path()) if best is not None and best is not root else ""
-    return text or "\n".join(text_blocks(root))
+        root = parse(html)
+        best = best_container(containers(root))
+        text = text_under(html, best.path()) if best is not None and best is not root else ""
+        text = text or "\n".join(text_blocks(root))
+    return text
 
 
 def host_of(url: Column) -> Column:
@@ -256,7 +308,7 @@ def page_votes(pages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["host", "path", "score"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, score double")
+    return map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, score double")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -279,4 +331,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("path"), pa.array(texts, pa.string())], names=["page_id", "url", "path", "text"])
 
     schema = StructType([pages.schema["page_id"], pages.schema["url"], StructField("path", StringType()), StructField("text", StringType())])
-    return joined.select("page_id", "url", "path", "html").mapInArrow(run, schema)
+    return map_batches(joined.select("page_id", "url", "path", "html"), run, schema)

@@ -437,6 +437,42 @@ def test_html_whole_article(spark):
         assert got[i] == want, i
 
 
+def test_html_of_generated_pages(spark):
+    """Pages whose article is known, written in random markup around it: the text is the article's, block by block."""
+    r, rows_in, want = random.Random(12), [], {}
+    words = lambda n: " ".join(r.choices(_WORDS, k=n))
+    for k in range(120):
+        host, blocks = k % 6, [words(r.randint(8, 40)) for _ in range(r.randint(1, 7))]
+        tags = [r.choice((("p", "p"), ("h2", "h2"), ("blockquote", "blockquote"), ("pre", "pre"))) for _ in blocks]
+        inner = "".join(f"<{a}>{'<b>' + b.replace(' ', ' </b><i>', 1) + '</i>' if r.random() < 0.3 else b}{'' if a == 'p' and r.random() < 0.3 else f'</{z}>'}" for (a, z), b in zip(tags, blocks, strict=True))
+        wrap = ("<div class='post-K'>X</div>", "<article><section class=text>X</section></article>", "<main>X</main>", "<table><tr><td>menu<td class='content'>X</table>", "<div class=context><div class=entry-content>X</div></div>", "<div id=c><div class=bodyK>X</div></div>")
+        wrap = wrap[host].replace("K", str(k)).replace("X", inner)
+        menu = "<ul>" + "".join(f"<li><a href='/x?a>b'>{words(2)}</a>" for _ in range(r.randint(3, 9))) + "</ul>"
+        side = f"<div class='{r.choice(('sidebar', 'comments', 'ad-slot', 'cookie-notice', 'newsletter'))}'><p>{words(60)}</p></div>"
+        page = f"<!doctype html><html><head><title>{words(3)}</title><style>p > a {{}}</style></head><body><nav>{menu}</nav>{side if r.random() < 0.5 else ''}{wrap}{side}<footer><p>{words(30)}</p></footer><script>if (a < b) document.write('<p>no</p>')</script></body></html>"
+        rows_in.append((k, f"http://h{host}.example.com/{k}", page))
+        want[k] = "\n".join(blocks)
+    got = {x.page_id: x.text for x in html.main_text(spark.createDataFrame(rows_in, "page_id long, url string, html string")).collect()}
+    assert [k for k in want if got[k] != want[k]] == []
+
+
+def test_html_in_linear_time():
+    """Twice the page, about twice the time, however broken it is."""
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        html.extract(page, "body/div.x")
+        return time.perf_counter() - began
+
+    broken = ("<a href=\"x ", "<ul><li>x", "<a x=\"1\" y=\">", "<!", "<a ", "<div>", "<b>", "<div></p>", "<b><div></div>", "<td><th>x", "<p a='", "<dd><ul><b>x", "<!-- ", "</", "<a " + "b" * 30, "&amp", "<table><tr><td>x")
+    for unit in broken:
+        n = 60_000 // len(unit)
+        small, large = min(took(unit * n) for _ in range(2)), took(unit * 4 * n)
+        assert large < 12 * small + 0.3, (unit, small, large)
+    assert html.extract("<p>a < b &lt; c</p><p title='x > y'>d</p>", None) == "a < b < c\nd"
+
+
 # SentencePiece
 
 
