@@ -7,11 +7,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.lineage import cut
+from lodestone.functions.lineage import cut, cut_and_observe
 from lodestone.functions.portable import portable_hash
 from lodestone.sources.graphs import Graph
 
 
+def settled(g: Graph) -> Graph:
+    """The graph with its arcs written to the shared folder, for several passes over them."""
+    return Graph(g.vertices, cut(g.arcs), g.directed)
+
+
+def log_degree(g: Graph) -> DataFrame:
+    """v, score: the natural logarithm of 1 + degree, a projection that orders vertices as their degrees do."""
+    return degrees(g).select("v", F.log1p("deg").alias("score"))
+
+
 def degrees(g: Graph) -> DataFrame:
     """v, deg (arcs out) for every vertex, isolated ones included."""
     out = g.arcs.groupBy("src").agg(F.count("*").alias("deg"))
@@ -39,8 +49,10 @@ def row_offsets(g: Graph) -> DataFrame:
 
 
 def arc_positions(g: Graph) -> DataFrame:
-    """src, dst, position of the arc among its source's arcs."""
-    return g.arcs.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).cast("long").alias("position"))
+    """src, dst, position of the arc among its source's arcs: its place among all arcs less that of the source's first, so that a hub's arcs are ranked in many tasks."""
+    ranked = cut(global_rank(g.arcs.select("src", "dst"), ["src", "dst"]))
+    first = ranked.groupBy("src").agg(F.min("rank").alias("_first"))
+    return ranked.join(first, "src").select("src", "dst", (F.col("rank") - F.col("_first")).cast("long").alias("position"))
 
 
 def global_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
@@ -67,20 +79,23 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-6, max_iter:
     n = g.vertices.count()
     if not n:
         return g.vertices.withColumn("pagerank", F.lit(0.0))
-    parts = int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // VERTICES_PER_PART)
     arcs = g.arcs.select("src", "dst").repartition(parts, "src").persist()
     vertices = degrees(g).repartition(parts, "v").persist()
-    state = vertices.select("v", "deg", F.lit(1.0 / n).alias("pr"))
+    state, dangling = vertices.select("v", "deg", F.lit(1.0 / n).alias("pr")), None
+    lost = F.sum(F.when(F.col("deg") == 0, F.col("pr")).otherwise(0.0))
     try:
+        dangling = state.agg(lost).first()[0]
         for _ in range(max_iter):
-            dangling = state.agg(F.sum(F.when(F.col("deg") == 0, F.col("pr")).otherwise(0.0))).first()[0]
             base = (1 - damping) / n + damping * dangling / n
             sent = arcs.join(state.filter("deg > 0"), F.col("src") == F.col("v")).groupBy("dst").agg(F.sum(F.col("pr") / F.col("deg")).alias("got"))
             joined = state.select("v", "deg", F.col("pr").alias("old")).join(sent, F.col("v") == F.col("dst"), "left")
-            state = cut(joined.select("v", "deg", "old", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("pr")))
-            if tolerance > 0 and state.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] < tolerance:
+            ranked = joined.select("v", "deg", "old", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("pr"))
+            # one job a round: the next round's dangling mass and the change are gathered while the round is written
+            state, seen = cut_and_observe(ranked, dangling=lost, change=F.sum(F.abs(F.col("pr") - F.col("old"))))
+            dangling, state = seen["dangling"], state.drop("old")
+            if tolerance > 0 and seen["change"] < tolerance:
                 break
-            state = state.drop("old")
         return state.select("v", F.col("pr").alias("pagerank"))
     finally:
         arcs.unpersist()
@@ -97,13 +112,28 @@ def triangles(g: Graph) -> DataFrame:
     return two.join(up.select(F.col("src").alias("u"), F.col("dst").alias("w")), ["u", "w"]).select("v", "u", "w")
 
 
+def directed_triangles(g: Graph) -> DataFrame:
+    """t, tri: half the arcs between the ends of t's arcs, rounded down. Triangles are listed without direction, by degree as in `triangles`, and carry which of their arcs are there."""
+    e = g.arcs.filter("src <> dst")
+    sides = e.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("up"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("down"))
+    pairs = cut(sides)
+    deg = pairs.select(F.explode(F.array("lo", "hi")).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
+    ranked = pairs.join(deg.select(F.col("v").alias("lo"), F.col("k").alias("kl")), "lo").join(deg.select(F.col("v").alias("hi"), F.col("k").alias("kh")), "hi")
+    first = F.col("kl") <= F.col("kh")  # ties: lo is less anyway
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    arcs = cut(ranked.select(pick("lo", "hi").alias("a"), pick("hi", "lo").alias("b"), pick("up", "down").alias("ab"), pick("down", "up").alias("ba")))
+    side = lambda v, u: arcs.select(F.col("a").alias(v), F.col("b").alias(u), F.col("ab").alias(v + u), F.col("ba").alias(u + v))
+    three = side("v", "u").join(side("v", "w"), "v").filter("u <> w").join(side("u", "w"), ["u", "w"])
+    ends = [("v", "u", "w"), ("u", "v", "w"), ("w", "v", "u")]
+    counted = [F.struct(F.col(x).alias("t"), (F.col(x + y) * F.col(x + z) * (F.col(y + z) + F.col(z + y))).alias("n")) for x, y, z in ends]
+    return three.select(F.inline(F.array(*counted))).groupBy("t").agg(F.floor(F.sum("n") / 2).alias("tri"))
+
+
 def clustering_coefficient(g: Graph) -> DataFrame:
     """v, clustering: triangles over pairs of neighbours; 0 below two neighbours. A loop counts as a neighbour, not in triangles."""
     d = degrees(g)
     if g.directed:
-        e = g.arcs.filter("src <> dst").select("src", "dst")
-        seen = e.alias("x").join(e.alias("y"), F.col("x.src") == F.col("y.src")).filter("x.dst <> y.dst").join(e.alias("z"), (F.col("x.dst") == F.col("z.src")) & (F.col("y.dst") == F.col("z.dst")))
-        per = seen.groupBy(F.col("x.src").alias("t")).agg(F.floor(F.count("*") / 2).alias("tri"))
+        per = directed_triangles(g)
     else:
         per = triangles(g).select(F.explode(F.array("v", "u", "w")).alias("t")).groupBy("t").agg(F.count("*").alias("tri"))
     joined = d.join(per, F.col("v") == F.col("t"), "left")
@@ -125,8 +155,8 @@ def bfs(g: Graph, sources: DataFrame) -> list[DataFrame]:
         while True:
             reached = frontier.join(arcs, F.col("v") == F.col("src")).groupBy("source", "dst").agg(F.sum("sigma").alias("sigma"))
             fresh = reached.join(seen.withColumnRenamed("v", "dst"), ["source", "dst"], "left_anti")
-            frontier = cut(fresh.select("source", F.col("dst").alias("v"), F.lit(len(levels)).alias("level"), "sigma"))
-            if frontier.isEmpty():
+            frontier, found = cut_and_observe(fresh.select("source", F.col("dst").alias("v"), F.lit(len(levels)).alias("level"), "sigma"), n=F.count("*"))
+            if not found["n"]:
                 return levels
             levels.append(frontier)
             # without direction only the two last levels can be met again
@@ -147,6 +177,7 @@ def betweenness(g: Graph, num_samples: int = 0, seed: int = 42, normalise: bool
     n = g.vertices.count()
     sources = sample_vertices(g, num_samples, seed) if 0 < num_samples < n else g.vertices
     size = min(num_samples, n) if num_samples else n
+    g = settled(g)
     levels, arcs = bfs(g, sources), g.arcs.select("src", "dst")
     below = levels[-1].select("source", "v", "sigma", F.lit(0.0).alias("delta"))
     total = below
@@ -163,6 +194,8 @@ def betweenness(g: Graph, num_samples: int = 0, seed: int = 42, normalise: bool
     return g.vertices.join(per, "v", "left").select("v", (F.coalesce("raw", F.lit(0.0)) / scale).alias("betweenness"))
 
 
+#: Vertices that a part of PageRank's state holds at most.
+VERTICES_PER_PART = 2_000_000
 Extractor = Callable[[Graph], DataFrame]
 
 

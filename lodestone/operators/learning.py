@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.lineage import cut
 from lodestone.operators.graph import kfold
 
-#: Rows that a forest is fitted on at most: the first of a shuffle by the portable hash. Prediction covers all rows.
+#: Rows that a forest is fitted on at most: of more, those with the least hashes of their values. Prediction covers all rows.
 TRAIN_ROWS = 200_000
+#: Classes that `best_split` counts side by side.
+MAX_CLASSES = 1000
 
 
 def gini(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -32,19 +35,33 @@ def majority(df: DataFrame, group: str, label: str) -> DataFrame:
 def best_split(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """feature, threshold, gain of the split x <= threshold with the greatest fall of gini; ties go to the first feature, then the least threshold.
 
-    Rows are counted per feature, value and class first, so that the windows below run over distinct values alone."""
-    long = df.select(F.col(label).alias("label"), F.inline(F.array(*(F.struct(F.lit(k).alias("at"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for k, f in enumerate(features)))))
-    cells = long.groupBy("at", "feature", "x", "label").agg(F.count("*").alias("n"))
-    classes = cells.groupBy("feature", "label").agg(F.sum("n").alias("total"))
-    values = cells.select("at", "feature", "x").distinct()
-    grid = values.join(F.broadcast(classes), "feature").join(cells.select("feature", "x", "label", "n"), ["feature", "x", "label"], "left")
-    left = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("feature", "label").orderBy("x"))
-    counted = grid.select("at", "feature", "x", "total", left.alias("left"))
-    sides = counted.groupBy("at", "feature", "x").agg(F.sum("left").alias("nl"), F.sum(F.col("total") - F.col("left")).alias("nr"), F.sum(F.col("left") * F.col("left")).alias("l2"), F.sum((F.col("total") - F.col("left")) * (F.col("total") - F.col("left"))).alias("r2"), F.sum(F.col("total") * F.col("total")).alias("t2"))
-    after = F.lead("x").over(Window.partitionBy("feature").orderBy("x"))
+    Rows are counted per feature, value and class first. Distinct values are then dealt out by range over all features;
+    class counts are summed within a range and shifted by those of the ranges before, so that no task holds a feature."""
+    classes = [r[0] for r in df.select(label).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    if not classes:
+        return df.sparkSession.createDataFrame([], "feature string, threshold double, gain double")
+    places = range(len(classes))
+    long = df.select(F.col(label).alias("label"), F.inline(F.array(*(F.struct(F.lit(k).alias("at"), F.col(f).cast("double").alias("x")) for k, f in enumerate(features)))))
+    n_of = [F.count_if(F.col("label").eqNullSafe(F.lit(c))).alias(f"n{k}") for k, c in enumerate(classes)]
+    values = long.groupBy("at", "x").agg(*n_of)
+    parts = cut(values.repartitionByRange("at", "x").withColumn("_part", F.spark_partition_id()))
+    sums = [F.sum(f"n{k}").alias(f"s{k}") for k in places]
+    # per range and feature: class counts and the least value; one row per range and the few features in it
+    ranges = parts.groupBy("_part", "at").agg(F.min("x").alias("first"), *sums)
+    over = Window.partitionBy("at").orderBy("_part")
+    before = ranges.select("_part", "at", F.lead("first").over(over).alias("next"), *(F.coalesce(F.sum(f"s{k}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b{k}") for k in places), *(F.sum(f"s{k}").over(Window.partitionBy("at")).alias(f"t{k}") for k in places))
+    inner = Window.partitionBy("_part", "at").orderBy("x")
+    upto = [(F.col(f"b{k}") + F.sum(f"n{k}").over(inner)).cast("double").alias(f"l{k}") for k in places]
+    seen = parts.join(before, ["_part", "at"]).select("at", "x", F.coalesce(F.lead("x").over(inner), F.col("next")).alias("after"), *upto, *(f"t{k}" for k in places))
+    total = lambda f: sum((f(k) for k in places), F.lit(0.0))
+    right = lambda k: F.col(f"t{k}") - F.col(f"l{k}")
+    sides = seen.select("at", ((F.col("x") + F.col("after")) / 2).alias("threshold"), total(lambda k: F.col(f"l{k}")).alias("nl"), total(right).alias("nr"), total(lambda k: F.col(f"l{k}") * F.col(f"l{k}")).alias("l2"), total(lambda k: right(k) * right(k)).alias("r2"), total(lambda k: F.col(f"t{k}") * F.col(f"t{k}")).alias("t2"))
     n = F.col("nl") + F.col("nr")
-    cut = sides.select("at", "feature", ((F.col("x") + after) / 2).alias("threshold"), F.when(F.col("nr") > 0, (F.col("l2") / F.col("nl") + F.col("r2") / F.col("nr")) / n - F.col("t2") / (n * n).cast("double")).alias("gain")).filter("threshold IS NOT NULL")
-    return cut.orderBy(F.round("gain", 12).desc(), "at", "threshold").limit(1).select("feature", "threshold", "gain")
+    split = sides.filter("threshold IS NOT NULL AND nr > 0").select("at", "threshold", ((F.col("l2") / F.col("nl") + F.col("r2") / F.col("nr")) / n - F.col("t2") / (n * n)).alias("gain"))
+    names = F.array(*map(F.lit, features))
+    return split.orderBy(F.round("gain", 12).desc(), "at", "threshold").limit(1).select(F.element_at(names, F.col("at") + 1).alias("feature"), "threshold", "gain")
 
 
 def confusion(pairs: DataFrame, k: int) -> DataFrame:
@@ -139,13 +156,14 @@ class Cart:
 class Forest:
     """Trees on bootstrap samples, fitted one per task; prediction is by hard votes, of ties the lowest class."""
 
-    def __init__(self, trees: int = 100, max_depth: int = 10, min_leaf: int = 5, bootstrap: float = 0.8, features: int | None = None, seed: int = 42) -> None:
+    def __init__(self, trees: int = 100, max_depth: int = 10, min_leaf: int = 5, bootstrap: float | None = 0.8, features: int | None = None, seed: int = 42) -> None:
+        """bootstrap: the share of rows drawn with replacement for a tree; None gives every tree all rows."""
         self.trees, self.max_depth, self.min_leaf, self.bootstrap, self.features, self.seed = trees, max_depth, min_leaf, bootstrap, features, seed
         self.fitted: list[Cart] = []
 
     def fit(self, df: DataFrame, columns: Sequence[str], label: str, k: int) -> Forest:
         """Fits on TRAIN_ROWS rows of df at most."""
-        rows = df.select(*columns, label).limit(TRAIN_ROWS).toPandas()
+        rows = df.select(*columns, label).orderBy(F.xxhash64(*columns, label), *columns, label).limit(TRAIN_ROWS).toPandas()
         x, y = rows[list(columns)].to_numpy(float), rows[label].to_numpy(int)
         spark, me = df.sparkSession, self
         held = spark.sparkContext.broadcast((x, y))
@@ -153,9 +171,10 @@ class Forest:
         def grow(group: pd.DataFrame) -> pd.DataFrame:
             tree = int(group.id.iloc[0])
             xs, ys = held.value
-            seed = (me.seed ^ (tree * 6364136223846793005 + 1)) % 2**63
-            draw = np.random.default_rng(seed).integers(0, len(ys), int(len(ys) * me.bootstrap))
-            return pd.DataFrame({"id": [tree], "tree": [pickle.dumps(Cart(me.max_depth, me.min_leaf, me.features, seed).fit(xs[draw], ys[draw], k))]})
+            rng = np.random.default_rng(np.random.SeedSequence([me.seed, tree]))
+            draw = np.arange(len(ys)) if me.bootstrap is None else rng.integers(0, len(ys), int(len(ys) * me.bootstrap))
+            cart = Cart(me.max_depth, me.min_leaf, me.features, int(rng.integers(2**62))).fit(xs[draw], ys[draw], k)
+            return pd.DataFrame({"id": [tree], "tree": [pickle.dumps(cart)]})
 
         grown = spark.range(self.trees).groupBy("id").applyInPandas(grow, "id long, tree binary").orderBy("id").collect()
         self.fitted, self.columns, self.k = [pickle.loads(r.tree) for r in grown], list(columns), k
@@ -181,9 +200,9 @@ class Forest:
         return dict(zip(self.columns, (total / total.sum() if total.sum() else total).tolist(), strict=True))
 
 
-def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str, k_classes: int, folds: int = 5, seed: int = 42, **forest: int) -> DataFrame:
+def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str, k_classes: int, folds: int = 5, seed: int = 42, **forest: float | None) -> DataFrame:
     """y_true, y_pred of every row, each predicted by the forest of the other folds."""
-    dealt, out = kfold(df, key, folds, seed).persist(), None
+    dealt, out = cut(kfold(df, key, folds, seed)), None
     for f in range(folds):
         model = Forest(seed=seed, **forest).fit(dealt.filter(F.col("fold") != f), columns, label, k_classes)
         part = model.predict(dealt.filter(F.col("fold") == f), [label]).select(F.col(label).cast("long").alias("y_true"), "y_pred")

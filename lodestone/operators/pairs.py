@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a block; a task lays two of them side by side.
+BLOCK_ROWS = 2000
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks for the rows of df: of BLOCK_ROWS at most, and so many that their meetings keep all cores busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(math.ceil(df.count() / BLOCK_ROWS), math.ceil(math.sqrt(2 * cores)))
+
 
-def block_pairs(df: DataFrame, key: str, blocks: int = 8, include_self: bool = False) -> DataFrame:
-    """Columns a and b (structs of df's rows) for a.key < b.key (or <=). Each row goes to `blocks` tasks, so a task holds 2/blocks of the rows."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+def block_pairs(df: DataFrame, key: str, blocks: int | None = None, include_self: bool = False) -> DataFrame:
+    """Columns a and b (structs of df's rows) for a.key < b.key (or <=). Each row goes to `blocks` meetings (by default `block_count`), of which there are blocks * (blocks + 1) / 2 with 2 / blocks of the rows each."""
+    blocks = blocks or block_count(df)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
+    others = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     row = F.struct(*df.columns)
     spread = df.select(row.alias("row"), block.alias("own"), F.explode(others).alias("other"))
     meet = (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("meet")

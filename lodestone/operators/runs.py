@@ -22,13 +22,26 @@ def parse_timings(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").rlike(form)).select(F.trim(F.regexp_extract("value", form, 1)).alias("phase"), F.regexp_extract("value", form, 2).cast("double").alias("ms"))
 
 
+def parse_accuracy(lines: DataFrame) -> DataFrame:
+    """value -> accuracy (a share) of `Accuracy: x %` lines."""
+    form = r"Accuracy:\s*([0-9.]+)\s*%"
+    return lines.filter(F.col("value").rlike(form)).select((F.regexp_extract("value", form, 1).try_cast("double") / 100).alias("accuracy"))
+
+
+def parse_device(lines: DataFrame) -> DataFrame:
+    """value -> device, vertices of lines like `CPU 120` or `GPU: 80`, which say how many vertices a device has taken."""
+    form = r"^\s*(CPU|GPU):?\s+(\d+)"
+    return lines.filter(F.col("value").rlike(form)).select(F.regexp_extract("value", form, 1).alias("device"), F.regexp_extract("value", form, 2).cast("long").alias("vertices"))
+
+
 def format_result(columns: Sequence[str]) -> Column:
     return F.concat(F.lit("[RESULT] "), F.concat_ws(",", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns)))
 
 
 def summary(runs: DataFrame) -> DataFrame:
-    """Per threads and vertices: avg_ms, best_ms, edges (the last run's) and edges per ms (0 without time)."""
-    per = runs.groupBy("threads", "vertices").agg(F.avg("total_ms").alias("avg_ms"), F.min("total_ms").alias("best_ms"), F.max_by("edges", "run").alias("edges"))
+    """Per threads and vertices: avg_ms, best_ms, edges (the last run's), edges per ms (0 without time), and the mean accuracy and f1 of runs that have them."""
+    quality = [F.avg(c).alias(f"avg_{c}") for c in ("accuracy", "f1") if c in runs.columns]
+    per = runs.groupBy("threads", "vertices").agg(F.avg("total_ms").alias("avg_ms"), F.min("total_ms").alias("best_ms"), F.max_by("edges", "run").alias("edges"), *quality)
     return per.withColumn("throughput", F.when(F.col("avg_ms") > 0, F.col("edges") / F.col("avg_ms")).otherwise(0.0))
 
 
@@ -59,7 +72,6 @@ def pivot_modes(runs: DataFrame, modes: Sequence[str]) -> DataFrame:
 
 
 def phase_stack(phases: DataFrame, names: Sequence[str], key: str) -> DataFrame:
-    """key, phase, ms, bottom: the phases one on another in the order given."""
-    long = phases.unpivot(key, list(names), "phase", "ms").withColumn("at", F.array_position(F.array(*map(F.lit, names)), F.col("phase")))
-    w = Window.partitionBy(key).orderBy("at")
-    return long.select(key, "phase", "ms", (F.sum("ms").over(w) - F.col("ms")).alias("bottom"))
+    """key, phase, ms, bottom: the phases one on another in the order given; a run's row holds all of them, so nothing is shuffled."""
+    bottom = [sum((F.col(x) for x in names[:k]), F.lit(0.0)) for k in range(len(names))]
+    return phases.select(key, F.inline(F.array(*(F.struct(F.lit(x).alias("phase"), F.col(x).cast("double").alias("ms"), b.alias("bottom")) for x, b in zip(names, bottom, strict=True)))))

@@ -29,7 +29,7 @@ def smith_waterman(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int
     return best
 
 
-def align_pairs(sequences: DataFrame, blocks: int = 8) -> DataFrame:
+def align_pairs(sequences: DataFrame, blocks: int | None = None) -> DataFrame:
     """a < b, score: of all pairs of sequences (id, s)."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.lineage import cut
 from lodestone.functions.portable import portable_hash_sql, rounded
 from lodestone.operators import graph as G
 from lodestone.operators import learning as L
@@ -24,6 +25,11 @@ n AS (SELECT count(*) AS n FROM vs)"""
 _graph = S.copurchase_graph
 
 
+def _settled(spark: SparkSession, d: str) -> S.Graph:
+    """The graph with its arcs written once, for queries that pass over them several times."""
+    return G.settled(_graph(spark, d))
+
+
 @add(f"WITH {_BASE} SELECT count(*) AS n_vertices, sum(deg)::BIGINT AS n_arcs, count(*) FILTER (deg = 0) AS isolated, max(deg) AS max_degree FROM deg")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return G.graph_stats(_graph(spark, d))
@@ -68,7 +74,7 @@ _TRI = "tri AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a
 
 @add(f"WITH {_BASE}, {_TRI} SELECT count(*) AS triangles FROM tri")
 def triangle_count(spark: SparkSession, d: str) -> DataFrame:
-    return G.triangles(_graph(spark, d)).agg(F.count("*").alias("triangles"))
+    return G.triangles(_settled(spark, d)).agg(F.count("*").alias("triangles"))
 
 
 _CLUSTER = f"{_TRI}, t AS (SELECT v, count(*) AS k FROM (SELECT unnest([x, y, z]) AS v FROM tri) GROUP BY v), cl AS (SELECT deg.v, CASE WHEN deg < 2 THEN 0.0 ELSE coalesce(k, 0) / (deg * (deg - 1) / 2.0::DOUBLE) END AS clustering FROM deg LEFT JOIN t ON deg.v = t.v)"
@@ -76,7 +82,7 @@ _CLUSTER = f"{_TRI}, t AS (SELECT v, count(*) AS k FROM (SELECT unnest([x, y, z]
 
 @add(f"WITH {_BASE}, {_CLUSTER} SELECT v, round(clustering, 9) AS clustering FROM cl")
 def clustering_coefficient(spark: SparkSession, d: str) -> DataFrame:
-    return G.clustering_coefficient(_graph(spark, d)).select("v", rounded(F.col("clustering"), 9).alias("clustering"))
+    return G.clustering_coefficient(_settled(spark, d)).select("v", rounded(F.col("clustering"), 9).alias("clustering"))
 
 
 def _rank_sql(rounds: int = ROUNDS) -> str:
@@ -130,7 +136,7 @@ def _features(g: S.Graph) -> DataFrame:
 
 @add(f"WITH {_BASE}, {_CLUSTER}, {_rank_sql()} SELECT deg.v, round(deg.deg / (n - 1)::DOUBLE, 9) AS degree_centrality, round(pr, 9) AS pagerank, round(clustering, 9) AS clustering FROM deg JOIN p{ROUNDS} p ON p.v = deg.v JOIN cl ON cl.v = deg.v, n")
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(_graph(spark, d))
+    f = _features(_settled(spark, d))
     return f.select("v", *(rounded(F.col(c), 9).alias(c) for c in ("degree_centrality", "pagerank", "clustering")))
 
 
@@ -144,16 +150,37 @@ def label_bins(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Vertex features as z-scores, with labels by degree."""
-    g = _graph(spark, d)
+    g = _settled(spark, d)
     scaled = zscore(_features(g), ["degree_centrality", "pagerank", "clustering"])
     return scaled.join(G.label_bins(G.degrees(g), "deg"), "v")
 
 
+@add(f"WITH {_BASE} SELECT v, round(ln(1 + deg), 9) AS score FROM deg")
+def log_degree_scores(spark: SparkSession, d: str) -> DataFrame:
+    return G.log_degree(_graph(spark, d)).select("v", rounded(F.col("score"), 9).alias("score"))
+
+
+@add(None)
+def end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """From lines to evaluation: graph, four features, z-scores, labels by degree, a forest and its accuracy and macro means on a held-out fifth."""
+    g = _settled(spark, d)
+    features = ["degree_centrality", "pagerank", "clustering", "betweenness"]
+    scaled = zscore(G.extract_features(g, [G.degree_centrality, lambda x: G.pagerank(x, tolerance=0.0, max_iter=ROUNDS), G.clustering_coefficient, lambda x: G.betweenness(x, SOURCES)]), features)
+    data = cut(G.train_test_split(scaled.join(G.label_bins(G.log_degree(g), "score"), "v"), "v"))
+    model = L.Forest(trees=30, max_depth=10).fit(data.filter("NOT is_test"), features, "label", 5)
+    return L.macro(model.predict(data.filter("is_test"), ["label"]).select(F.col("label").alias("y_true"), "y_pred"), 5)
+
+
 @add(f"WITH {_BASE} SELECT v, deg, CASE WHEN deg > 8 THEN 'cpu' ELSE 'gpu' END AS side FROM deg")
 def workload_split(spark: SparkSession, d: str) -> DataFrame:
     return G.workload_split(_graph(spark, d), 8)
 
 
+@add(f"WITH {_BASE} SELECT v, deg, CASE WHEN deg > 32 THEN 'cpu' ELSE 'gpu' END AS side FROM deg")
+def workload_split_default(spark: SparkSession, d: str) -> DataFrame:
+    return G.workload_split(_graph(spark, d))
+
+
 @add(f"""WITH {_BASE}, k AS (SELECT least(n, greatest(100, n // 100)) AS k FROM n), r AS (SELECT v, deg, row_number() OVER (ORDER BY {portable_hash_sql('v', 42)}, v) - 1 AS i FROM deg),
 m AS (SELECT deg, row_number() OVER (ORDER BY deg, v) - 1 AS i FROM r, k WHERE r.i < k) SELECT greatest(4, 2 * deg) AS threshold FROM m, k WHERE i = k // 2""")
 def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -183,17 +210,54 @@ def majority_class(spark: SparkSession, d: str) -> DataFrame:
     return L.majority(table(spark, d, "lineitem"), "l_linenumber", "l_returnflag")
 
 
-@add("""WITH f AS (SELECT 0 AS pos, 'l_quantity' AS feature, l_quantity AS x, l_returnflag AS y FROM lineitem UNION ALL SELECT 1, 'l_discount', l_discount, l_returnflag FROM lineitem UNION ALL SELECT 2, 'l_tax', l_tax, l_returnflag FROM lineitem),
+_SPLIT = """f AS (SELECT 0 AS pos, 'l_quantity' AS feature, l_quantity AS x, l_returnflag AS y FROM lineitem UNION ALL SELECT 1, 'l_discount', l_discount, l_returnflag FROM lineitem UNION ALL SELECT 2, 'l_tax', l_tax, l_returnflag FROM lineitem),
 g AS (SELECT pos, feature, x, c.y, count(*) FILTER (f.y = c.y)::DOUBLE AS n FROM f, (SELECT DISTINCT l_returnflag AS y FROM lineitem) c GROUP BY ALL),
 w AS (SELECT *, sum(n) OVER (PARTITION BY feature, y ORDER BY x) AS l, sum(n) OVER (PARTITION BY feature, y) AS t FROM g),
 s AS (SELECT pos, feature, x, sum(l) AS nl, sum(t - l) AS nr, sum(l * l) AS l2, sum((t - l) * (t - l)) AS r2, sum(t * t) AS t2 FROM w GROUP BY ALL),
-c AS (SELECT *, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM s)
-SELECT feature, round(threshold, 9) AS threshold, round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 9) AS gain FROM c WHERE threshold IS NOT NULL ORDER BY round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 12) DESC, pos, threshold LIMIT 1""")
+c AS (SELECT *, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM s)"""
+_BEST = "b AS (SELECT feature, threshold, (l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2) AS gain FROM c WHERE threshold IS NOT NULL ORDER BY round((l2 / nl + r2 / nr) / (nl + nr) - t2 / power(nl + nr, 2), 12) DESC, pos, threshold LIMIT 1)"
+
+
+@add(f"WITH {_SPLIT}, {_BEST} SELECT feature, round(threshold, 9) AS threshold, round(gain, 9) AS gain FROM b")
 def best_split(spark: SparkSession, d: str) -> DataFrame:
     s = L.best_split(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")
     return s.select("feature", rounded(F.col("threshold"), 9).alias("threshold"), rounded(F.col("gain"), 9).alias("gain"))
 
 
+def _stump(spark: SparkSession, d: str) -> tuple[L.Forest, DataFrame]:
+    """One tree of one split over all features and rows: the class of a line by its quantity, discount and tax."""
+    names = F.array(*map(F.lit, "ANR"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_SPLIT_BY, (F.array_position(names, F.col("l_returnflag")) - 1).cast("long").alias("label"))
+    return L.Forest(trees=1, max_depth=1, bootstrap=None, features=len(_SPLIT_BY)).fit(lines, _SPLIT_BY, "label", 3), lines
+
+
+_SPLIT_BY = ["l_quantity", "l_discount", "l_tax"]
+_SIDE = "CASE feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END <= threshold"
+
+
+@add(f"""WITH {_SPLIT}, {_BEST}, side AS (SELECT lineitem.*, {_SIDE} AS lower FROM lineitem, b), m AS (SELECT lower, l_returnflag, row_number() OVER (PARTITION BY lower ORDER BY count(*) DESC, l_returnflag) AS i FROM side GROUP BY 1, 2)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, strpos('ANR', m.l_returnflag)::BIGINT - 1 AS y_pred, 1.0::DOUBLE AS share FROM side JOIN m USING (lower) WHERE i = 1""")
+def tree_stump(spark: SparkSession, d: str) -> DataFrame:
+    model, lines = _stump(spark, d)
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return model.predict(lines, keys).select(*keys, "y_pred", F.array_max("probabilities").alias("share"))
+
+
+@add(f"WITH {_SPLIT}, {_BEST} SELECT x.feature, (x.feature = b.feature)::INT::DOUBLE AS importance FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) x(feature), b")
+def feature_importances(spark: SparkSession, d: str) -> DataFrame:
+    shares = _stump(spark, d)[0].importances()
+    return spark.createDataFrame(list(shares.items()), "feature string, importance double")
+
+
+@add(f"""WITH {_HASHED} SELECT count(*) AS n, count(*) FILTER (y_true = most) AS right_ones FROM (
+SELECT k.y AS y_true, (SELECT CASE WHEN 2 * count(*) FILTER (o.y = 1) > count(*) THEN 1 ELSE 0 END FROM k o WHERE o.fold <> k.fold) AS most FROM k)""".replace("SELECT count(*) AS n", ", k AS (SELECT doc_id % 3 % 2 AS y, (i >= n // 5)::BIGINT + (i >= 2 * n // 5)::BIGINT + (i >= 3 * n // 5)::BIGINT + (i >= 4 * n // 5)::BIGINT AS fold FROM r) SELECT count(*) AS n", 1))
+def cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Five folds of trees without a useful feature, which fall back on the majority of the other folds."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit(0.0).alias("x"), (F.col("doc_id") % 3 % 2).alias("label"))
+    pairs = L.cross_validate(docs, "doc_id", ["x"], "label", 2, trees=1, bootstrap=None)
+    return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("right_ones"))
+
+
 _PAIRS = "p AS (SELECT quality::BIGINT AS y_true, (n_chars > 1500)::BIGINT AS y_pred FROM labels JOIN documents USING (doc_id)), g AS (SELECT a.k AS y_true, b.k AS y_pred FROM range(2) a(k), range(2) b(k))"
 _CONF = f"{_PAIRS}, c AS (SELECT g.y_true, g.y_pred, count(p.y_true) AS n FROM g LEFT JOIN p ON p.y_true = g.y_true AND p.y_pred = g.y_pred GROUP BY 1, 2)"
 _CLASS = f"""{_CONF}, m AS (SELECT k AS class, sum(n) FILTER (y_true = k AND y_pred = k) AS tp, sum(n) FILTER (y_true = k) AS support, sum(n) FILTER (y_pred = k) AS predicted FROM c, range(2) r(k) GROUP BY k),
@@ -226,8 +290,8 @@ def macro_metrics(spark: SparkSession, d: str) -> DataFrame:
 @add(None)
 def rf_metrics(spark: SparkSession, d: str) -> DataFrame:
     """A forest that tells a vertex's degree class from its PageRank and clustering: accuracy and macro means on a held-out fifth."""
-    g = _graph(spark, d)
-    data = G.train_test_split(G.extract_features(g, [lambda x: G.pagerank(x, tolerance=0.0, max_iter=ROUNDS), G.clustering_coefficient]).join(G.label_bins(G.degrees(g), "deg"), "v"), "v").persist()
+    g = _settled(spark, d)
+    data = cut(G.train_test_split(G.extract_features(g, [lambda x: G.pagerank(x, tolerance=0.0, max_iter=ROUNDS), G.clustering_coefficient]).join(G.label_bins(G.degrees(g), "deg"), "v"), "v"))
     model = L.Forest(trees=30, max_depth=10).fit(data.filter("NOT is_test"), ["pagerank", "clustering"], "label", 5)
     return L.macro(model.predict(data.filter("is_test"), ["label"]).select(F.col("label").alias("y_true"), "y_pred"), 5)
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.portable import rounded
+from lodestone.functions.portable import portable_hash_sql, rounded
 from lodestone.operators import numeric as N
 from lodestone.operators.graph import global_rank, running_sums
 from lodestone.operators.sequences import align_pairs
 from lodestone.plans.tables import Registry, table
+from lodestone.sources.generators import closed_form_vectors as closed_form
+from lodestone.sources.generators import uniform_matrix as uniform_cells
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -297,3 +299,24 @@ def checksum(spark: SparkSession, d: str) -> DataFrame:
     one = N.daxpy(2.5, F.col("l_quantity"), F.col("l_tax"))
     two = F.col("l_quantity") + F.col("l_quantity") + F.col("l_quantity") / 2 + F.col("l_tax")
     return table(spark, d, "lineitem").agg(rounded(F.max(F.abs(one - two)), 9).alias("worst"), rounded(F.sum("l_quantity"), 4).alias("checksum"))
+
+
+@add(f"SELECT id // 40 AS i, id % 40 AS j, round({portable_hash_sql('id', 42)} / 2147483648.0::DOUBLE, 9) AS x FROM range(4000) t(id)")
+def uniform_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return uniform_cells(spark, 100, 40).select("i", "j", rounded(F.col("x"), 9).alias("x"))
+
+
+@add("SELECT id AS i, id * 0.5::DOUBLE AS x, id * 2.0::DOUBLE AS y FROM range(10000) t(id)")
+def closed_form_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return closed_form(spark, 10000)
+
+
+@add(f"SELECT vec_id, CASE WHEN {portable_hash_sql('vec_id', 42)} < 0.5::DOUBLE * 2147483648 THEN 0.0 ELSE embedding[1]::DOUBLE / 0.5 END AS x, embedding[1]::DOUBLE AS same FROM embeddings")
+def dropout(spark: SparkSession, d: str) -> DataFrame:
+    x = F.element_at("embedding", 1).cast("double")
+    return table(spark, d, "embeddings").select("vec_id", N.dropout(F.col("vec_id"), x).alias("x"), N.dropout(F.col("vec_id"), x, training=False).alias("same"))
+
+
+@add(_heat_sql(" UNION ALL ".join(f"SELECT {n}::BIGINT AS step, round(sum(t), 9) AS total FROM h{n}" for n in range(1, 9))))
+def heat_totals(spark: SparkSession, d: str) -> DataFrame:
+    return N.heat_totals(N.heat_grid(spark, 33), 33, 8).select("step", rounded(F.col("total"), 9).alias("total"))

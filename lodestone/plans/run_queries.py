@@ -11,20 +11,20 @@ from lodestone.plans.tables import Registry, table
 
 REGISTRY = Registry()
 add = REGISTRY.add
-_RUNS = """runs AS (SELECT event_id AS run, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END::BIGINT AS threads, event_type AS vertices, value AS total_ms, 100 + user_id AS edges FROM events),
-s AS (SELECT threads, vertices, avg(total_ms) AS avg_ms, min(total_ms) AS best_ms, arg_max(edges, run) AS edges FROM runs GROUP BY 1, 2)"""
+_RUNS = """runs AS (SELECT event_id AS run, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END::BIGINT AS threads, event_type AS vertices, value AS total_ms, 100 + user_id AS edges, (user_id % 101) / 100.0::DOUBLE AS accuracy, (user_id % 51) / 50.0::DOUBLE AS f1 FROM events),
+s AS (SELECT threads, vertices, avg(total_ms) AS avg_ms, min(total_ms) AS best_ms, arg_max(edges, run) AS edges, avg(accuracy) AS avg_accuracy, avg(f1) AS avg_f1 FROM runs GROUP BY 1, 2)"""
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """threads: a power of two by user; vertices: the type of event, as the size of the graph; total_ms: the value."""
     e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("run"), F.element_at(F.array(*(F.lit(x).cast("long") for x in (1, 2, 4, 8))), (F.col("user_id") % 4 + 1).cast("int")).alias("threads"), F.col("event_type").alias("vertices"), F.col("value").alias("total_ms"), (100 + F.col("user_id")).alias("edges"))
+    return e.select(F.col("event_id").alias("run"), F.element_at(F.array(*(F.lit(x).cast("long") for x in (1, 2, 4, 8))), (F.col("user_id") % 4 + 1).cast("int")).alias("threads"), F.col("event_type").alias("vertices"), F.col("value").alias("total_ms"), (100 + F.col("user_id")).alias("edges"), ((F.col("user_id") % 101) / 100.0).alias("accuracy"), ((F.col("user_id") % 51) / 50.0).alias("f1"))
 
 
-@add(f"WITH {_RUNS} SELECT threads, vertices, round(avg_ms, 6) AS avg_ms, best_ms, edges, round(CASE WHEN avg_ms > 0 THEN edges / avg_ms ELSE 0 END, 6) AS throughput FROM s")
+@add(f"WITH {_RUNS} SELECT threads, vertices, round(avg_ms, 6) AS avg_ms, best_ms, edges, round(CASE WHEN avg_ms > 0 THEN edges / avg_ms ELSE 0 END, 6) AS throughput, round(avg_accuracy, 9) AS avg_accuracy, round(avg_f1, 9) AS avg_f1 FROM s")
 def perf_summary(spark: SparkSession, d: str) -> DataFrame:
     s = R.summary(_runs(spark, d))
-    return s.select("threads", "vertices", rounded(F.col("avg_ms")).alias("avg_ms"), "best_ms", "edges", rounded(F.col("throughput")).alias("throughput"))
+    return s.select("threads", "vertices", rounded(F.col("avg_ms")).alias("avg_ms"), "best_ms", "edges", rounded(F.col("throughput")).alias("throughput"), *(rounded(F.col(c), 9).alias(c) for c in ("avg_accuracy", "avg_f1")))
 
 
 @add(f"WITH {_RUNS} SELECT s.threads, s.vertices, round(s.avg_ms, 6) AS avg_ms, round(coalesce(b.avg_ms / s.avg_ms, 0), 6) AS speedup, round(coalesce(b.avg_ms / s.avg_ms, 0) / s.threads, 6) AS efficiency FROM s LEFT JOIN s b ON b.vertices = s.vertices AND b.threads = 1")
@@ -85,3 +85,27 @@ def batch_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Mean accuracy and loss per batch."""
     e = table(spark, d, "events")
     return e.groupBy("event_type").agg(rounded(F.avg((F.col("user_id") % 2 == 0).cast("double")), 9).alias("accuracy"), rounded(F.avg("value")).alias("loss"))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a program's output, one per event: a timing, an accuracy, a device's share or something else, by turns."""
+    e = table(spark, d, "events")
+    tail = F.col("user_id").cast("string")
+    kind = F.col("event_id") % 4
+    line = F.when(kind == 0, F.concat(F.lit("[Timing] "), F.col("event_type"), F.lit(": "), tail, F.lit(".5 ms"))).when(kind == 1, F.concat(F.lit("Accuracy: "), tail, F.lit(".25 %"))).when(kind == 2, F.concat(F.lit("CPU "), tail)).otherwise(F.concat(F.lit("done "), tail))
+    return e.select(line.alias("value"))
+
+
+@add("SELECT event_type AS phase, user_id + 0.5::DOUBLE AS ms FROM events WHERE event_id % 4 = 0")
+def timing_line_parse(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_timings(_log(spark, d))
+
+
+@add("SELECT round((user_id + 0.25::DOUBLE) / 100, 9) AS accuracy FROM events WHERE event_id % 4 = 1")
+def accuracy_line_parse(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_accuracy(_log(spark, d)).select(rounded(F.col("accuracy"), 9).alias("accuracy"))
+
+
+@add("SELECT 'CPU' AS device, user_id::BIGINT AS vertices FROM events WHERE event_id % 4 = 2")
+def device_line_parse(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_device(_log(spark, d))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.portable import portable_hash
-from lodestone.operators.pairs import block_pairs
 
 EDGE_LINE = r"^\s*([+-]?\d+)\s+([+-]?\d+)(?:\s+(\S+))?"
 
@@ -64,11 +63,10 @@ class Graph:
 
     @staticmethod
     def erdos_renyi(spark: SparkSession, n: int, p: float = 0.01, seed: int = 42) -> Graph:
-        """Each pair i < j is drawn by a hash of its own; pairs are dealt out in blocks."""
-        ids = spark.range(n)
-        pairs = block_pairs(ids, "id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+        """Each pair i < j is drawn by a hash of its own, where its lower end is: n * n / 2 draws, of which only the edges are shuffled."""
+        pairs = spark.range(max(0, n - 1)).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("dst"))
         drawn = pairs.filter(portable_hash(F.col("src") * 1000003 + F.col("dst"), seed) < p * 2147483648)
-        return Graph.from_edges(drawn, n=n)
+        return Graph.from_edges(drawn, n=n, checked=True)
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -98,5 +96,4 @@ def copurchase_edges(lineitem: DataFrame, least_quantity: float = 40.0) -> DataF
 def copurchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = lineitem.agg(F.max("l_partkey")).first()[0] + 1
-    g = Graph.from_edges(copurchase_edges(lineitem), n=n, checked=True)
-    return Graph(g.vertices, g.arcs.persist(), g.directed)  # most features read the arcs several times
+    return Graph.from_edges(copurchase_edges(lineitem), n=n, checked=True)
