@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,36 @@ def test_splits_are_exact_and_repeatable(spark):
 def test_workload_limit_moves_the_largest_ids(spark):
     side = {r.v: r.side for r in G.workload_split(star(spark, 5), 4, 3).collect()}
     assert side == {0: "cpu", 1: "gpu", 2: "gpu", 3: "gpu", 4: "cpu", 5: "cpu"}
+
+
+def test_directed_clustering_equals_brute_force(spark):
+    r = random.Random(5)
+    arcs = {(r.randrange(25), r.randrange(25)) for _ in range(160)} | {(0, k) for k in range(1, 25)}
+    g = Graph.from_edges(spark.createDataFrame(sorted(arcs), "src long, dst long"), directed=True)
+    got = {x.v: x.clustering for x in G.clustering_coefficient(g).collect()}
+    for v in range(25):
+        deg = sum(a == v for a, _ in arcs)
+        ends = [b for a, b in arcs if a == v and b != v]
+        found = sum((x, y) in arcs for x in ends for y in ends if x != y) // 2
+        assert got[v] == pytest.approx(found / (deg * (deg - 1) / 2) if deg > 1 else 0.0)
+
+
+def test_hub_positions(spark):
+    arcs = [(0, k) for k in range(1, 300)] + [(k, 0) for k in range(1, 300)] + [(7, 9)]
+    g = Graph.from_edges(spark.createDataFrame(arcs, "src long, dst long"), directed=True)
+    got = {(x.src, x.dst): x.position for x in G.arc_positions(g).collect()}
+    assert got[0, 1] == 0 and got[0, 299] == 298 and got[7, 0] == 0 and got[7, 9] == 1 and len(got) == len(arcs)
+
+
+def test_pagerank_stops_at_its_tolerance(spark):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "src long, dst long"), n=6)
+    rank = {v: 1 / 6 for v in range(6)}
+    near = {0: [1], 1: [0, 2], 2: [1, 3], 3: [2, 4], 4: [3], 5: []}
+    for rounds in range(1, 101):
+        lost = sum(rank[v] for v in near if not near[v])
+        new = {v: 0.15 / 6 + 0.85 * lost / 6 + 0.85 * sum(rank[u] / len(near[u]) for u in near[v]) for v in near}
+        change, rank = sum(abs(new[v] - rank[v]) for v in near), new
+        if change < 1e-4:
+            break
+    got = {x.v: x.pagerank for x in G.pagerank(g, tolerance=1e-4).collect()}
+    assert rounds < 100 and all(got[v] == pytest.approx(rank[v], abs=1e-12) for v in near)

@@ -1,13 +1,17 @@
 import random
+from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import lineage
 from lodestone.operators import learning as L
 from lodestone.operators import numeric as N
 from lodestone.operators import runs as R
 from lodestone.operators.sequences import smith_waterman
+from lodestone.sources import generators
 from lodestone.streaming.results import stream_results
 
 
@@ -112,3 +116,56 @@ def test_result_lines_and_their_stream(spark, tmp_path):
     query = stream_results(spark, str(tmp_path), ["edges"]).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [r.edges for r in spark.table("seen").collect()] == [7.0]
+
+
+def test_blocked_product(spark):
+    r = np.random.default_rng(2)
+    a = {(int(i), int(j)): float(x) for i, j, x in zip(r.integers(0, 300, 900), r.integers(0, 260, 900), r.normal(size=900), strict=True)} | {(i, 130): 1.0 for i in range(300)}
+    b = {(int(i), int(j)): float(x) for i, j, x in zip(r.integers(0, 260, 900), r.integers(0, 150, 900), r.normal(size=900), strict=True)}
+    want = defaultdict(float)
+    by_row = defaultdict(list)
+    for (k, j), x in b.items():
+        by_row[k].append((j, x))
+    for (i, k), x in a.items():
+        for j, y in by_row[k]:
+            want[i, j] += x * y
+    frame = lambda m: spark.createDataFrame([(i, j, x) for (i, j), x in m.items()], "i long, j long, x double")
+    got = {(c.i, c.j): c.x for c in N.matmul(frame(a), frame(b)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert N.matmul(frame(a), frame(b).filter("false")).count() == 0
+
+
+def test_split_over_ranges(spark):
+    """Values of a feature that lie in many ranges, nulls among the labels, and columns without a second value."""
+    r = np.random.default_rng(4)
+    rows = [(float(x), float(y), 3.0, "abc"[int(x > 0.3) + int(y > 0.7)] if r.random() < 0.8 else None) for x, y in r.random((400, 2)).round(2)]
+    got = L.best_split(spark.createDataFrame(rows, "p double, q double, s double, label string"), ["s", "p", "q"], "label").first()
+    best = (0.0, None, None)
+    share = lambda ls: sum(c * c for c in Counter(ls).values()) / len(ls)
+    for f, at in (("p", 0), ("q", 1)):
+        values = sorted({x[at] for x in rows})
+        for low, high in zip(values, values[1:], strict=False):
+            left, right = [x[3] for x in rows if x[at] <= low], [x[3] for x in rows if x[at] > low]
+            gain = (share(left) + share(right)) / len(rows) - share([x[3] for x in rows]) / len(rows)
+            if gain > best[0] + 1e-12:
+                best = (gain, f, (low + high) / 2)
+    assert (got.feature, got.threshold) == best[1:] and got.gain == pytest.approx(best[0])
+    assert L.best_split(spark.createDataFrame([], "p double, label string"), ["p"], "label").count() == 0
+
+
+def test_particles_at_one_place_and_generators(spark):
+    two = N.lennard_jones(spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0), (3, 1.0, 0.0, 0.0)], "id long, x double, y double, z double")).collect()
+    assert {(p.a, p.b): p.energy for p in two} == {(1, 2): None, (1, 3): 0.0, (2, 3): 0.0}
+    made = generators.particles(spark, 50).collect()
+    assert len(made) == 50 and all(0 <= p[c] < 10 for p in made for c in "xyz") and len({(p.x, p.y, p.z) for p in made}) == 50
+    assert {len(s.s) for s in generators.sequences(spark, 5, 30).collect()} == {30} and all(set(s.s) <= set("ACGT") for s in generators.sequences(spark, 5, 30).collect())
+    assert [r["count"] for r in generators.two_classes(spark, 10).groupBy("label").count().collect()] == [5, 5]
+
+
+def test_checkpoint_folder_on_a_cluster():
+    """Without a shared folder, a cluster raises an error instead of writing to its machines' own disks."""
+    session = MagicMock()
+    session.sparkContext.getCheckpointDir.return_value, session.sparkContext.master = None, "spark://host:7077"
+    session.conf.get.return_value = None
+    with pytest.raises(ValueError, match="share"):
+        lineage.checkpoint_dir(session)
