@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.functions.lineage import checkpoint_dir, cut
 
-__all__ = ["ROW", "ascii_lower", "checkpoint_dir", "cut", "keyed", "let", "map_batches", "pieces", "table", "without", "words", "written"]
+__all__ = ["ROW", "ascii_lower", "checkpoint_dir", "cut", "dropped", "keyed", "let", "map_batches", "pieces", "table", "without", "words", "written"]
 
 #: ASCII white space, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -73,6 +73,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: The column of a row's own key, under a name that no table has.
 ROW = "_lodestone_row"
 

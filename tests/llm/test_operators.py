@@ -136,7 +136,9 @@ def test_dense_group_in_blocks(spark, monkeypatch):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.groups(df, 3, 85).collect()), key=str) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 1_000_000 if few else 3)
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (60, 50), (7, 7), (50, 40)]
     got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long"))))
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 50: 40, 60: 40}
