@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontam, minhash, quality, secrets, sentencepiece_table
-from lodestone.llm.common import checkpoint_dir, table
+from lodestone.llm.common import checkpoint_dir, dropped, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            dropped(spark, f"{folder}/{n - 1}")  # read by the stage just written, and by none after it
     return docs
