@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,7 +40,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 #: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -51,7 +52,20 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         held = 0
     if held > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return df.mapInArrow(task, schema)
+
+
+def released() -> None:
+    """Gives what a task has freed back to the machine, as Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def pieces(texts: Sequence[str], limit: int) -> Iterator[tuple[int, int]]:

@@ -30,7 +30,7 @@ SAMPLE_ROWS = 400
 #: Longer texts aren't taken into the sample, which goes through the driver; a rule's cost grows with a text's length as any other's.
 SAMPLE_CHARS = 1_000_000
 #: Characters that a job evaluates for a rule's cost, by repeating the sample.
-COST_CHARS = 8_000_000
+COST_CHARS = 4_000_000
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 

@@ -31,12 +31,12 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from lodestone.llm.common import cut, map_batches, pieces
 
 MARKER = "▁"
-#: Chunks of the broadcast table, which is thus bounded: some 6 MB as sent, 20 MB as a dictionary.
-TABLE_CHUNKS = 100_000
+#: Chunks of the broadcast table, which is thus bounded: some 4 MB as sent, 12 MB as a dictionary.
+TABLE_CHUNKS = 60_000
 #: Longer chunks aren't counted for the table; they are segmented where they stand.
 TABLE_LENGTH = 64
 #: Bytes that a task's memo of other chunks, and a task's counts, may hold before they are begun anew.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 16 << 20
 #: Bytes of an entry of a dictionary besides its characters and ids.
 ENTRY = 180
 #: Characters that are cut into chunks at once, and of the texts whose ids are returned at once.
