@@ -9,6 +9,9 @@ Template: `<s>`, then `[INST] role\\ntext [/INST]` for a turn of any role but as
 Control strings inside a text get a backslash behind their first bracket (and one more if they have some already),
 which `unescape` takes out again. Roles are written URL-encoded, so that they hold neither newline nor bracket.
 
+A conversation is a row of one task, and each reply's example repeats what comes before it, as the method has it: a
+conversation must fit into an executor's memory (some hundreds of MB), and n replies of like length cost n * n / 2 of them.
+
 Edge cases: a null text or role is the empty string; turns with the same number are ordered by role, then text;
 repeated rows are separate turns; a null turn comes first; rows with a null conv_id make one conversation; an empty
 table gives no example; other columns are ignored.
