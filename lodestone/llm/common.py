@@ -39,22 +39,27 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-#: Bytes of rows that go to a Python worker at once.
+#: Bytes of rows that a task works on at once.
 BATCH_BYTES = 2 << 20
 
 
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of `limit` bytes at most; a longer row alone. Slices copy nothing."""
+    for whole in batches:
+        left = [whole]
+        while left:
+            b = left.pop()
+            if b.num_rows <= 1 or b.nbytes <= limit:
+                yield b
+            else:
+                left += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow over batches bounded by their bytes, as texts differ in length a thousandfold."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        held = int(conf.get(name))
-    except ValueError:  # a size with a unit, which the user has set
-        held = 0
-    if held > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
+    """mapInArrow over slices bounded by their bytes, as texts differ in length a thousandfold."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(sliced(batches))
         released()
 
     return df.mapInArrow(task, schema)
