@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, hpylm, html, licenses, minhash, quality, secrets, sentencepiece_table, urls
+from lodestone.llm import chat, codebooks, decontam, hpylm, html, licenses, minhash, quality, secrets, sentencepiece_table, urls, whitening
 from lodestone.llm.common import LOWER, UPPER, table
 
 
@@ -55,6 +55,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_minhash": op2_minhash,
@@ -66,6 +74,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scans": op9_license_scans,
     "op10_url_filters": op10_url_filters,
+    "op11_code_compression": op11_code_compression,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 _SQL1 = r"""
@@ -161,10 +171,34 @@ r AS (SELECT *, CASE {fits} END AS rule FROM p)
 SELECT page_id, host, path, rule, coalesce(CASE rule {acts} END, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
 
 
+def _sql11(parts: int = 4, size: int = 256, rounds: int = 4) -> str:
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT vec_id, p, x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'k': k}}) AS best
+  FROM part JOIN b{r} USING (p) GROUP BY vec_id, p, x)"""
+    mean = """m{r} AS (SELECT p, best.k AS k, i, floor(sum(x[i]) / count(*)) AS v FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL),
+b{n} AS MATERIALIZED (SELECT p, k, coalesce(v, c) AS c FROM b{r} LEFT JOIN (SELECT p, k, list(v ORDER BY i) AS v FROM m{r} GROUP BY p, k) USING (p, k))"""
+    steps = ",\n".join(x for r in range(rounds) for x in (nearest.format(r=r), mean.format(r=r, n=r + 1)))
+    return rf"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: floor(1024.0 * e::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+part AS (SELECT vec_id, p, x[(p * len(x)) // {parts} + 1 : ((p + 1) * len(x)) // {parts}] AS x FROM v, (SELECT unnest(range({parts})) AS p)),
+seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT {size}),
+b0 AS MATERIALIZED (SELECT p, k, x AS c FROM part JOIN seed USING (vec_id)),
+{steps},
+{nearest.format(r=rounds)},
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', best.k::INTEGER)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda e: e::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds}),
+byl AS (SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN coded USING (vec_id) GROUP BY label)
+SELECT v.vec_id, v.label, code, error, label_error, codebooks_sha256
+FROM v JOIN coded USING (vec_id) JOIN byl ON v.label IS NOT DISTINCT FROM byl.label, books"""
+
+
 ORACLES = {
     "op1_chat_formatting": _SQL1,
     "op2_minhash": _SQL2,
     "op8_quality_rules": _SQL8,
     "op9_license_scans": _sql9(),
     "op10_url_filters": _sql10(),
+    "op11_code_compression": _sql11(),
 }
