@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, codebooks, decontam, hpylm, html, licenses, minhash, quality, secrets, sentencepiece_table, urls, whitening
+from lodestone.llm import chat, classifier, codebooks, decontam, hpylm, html, licenses, minhash, quality, secrets, sentencepiece_table, urls, whitening
 from lodestone.llm.common import LOWER, UPPER, table
 
 
@@ -63,6 +63,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_minhash": op2_minhash,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
     "op11_code_compression": op11_code_compression,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 _SQL1 = r"""
