@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +25,10 @@ def portable_hash_sql(v: str, seed: int) -> str:
 def rounded(c: Column, digits: int = 6) -> Column:
     """c to so many digits; -0.0 becomes 0.0."""
     return F.round(c.cast("double"), digits) + F.lit(0.0)
+
+
+def portable_hash_numpy(v: np.ndarray, seed: int) -> np.ndarray:
+    """portable_hash of an array of integers from 0 to 2**32."""
+    g = lambda x: (x * 1103515245 + 12345) % 2147483648
+    v = v.astype(np.int64)
+    return g(g(v + seed) // 7 + v)

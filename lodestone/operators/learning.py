@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.lineage import cut
+from lodestone.operators import forest
 from lodestone.operators.graph import kfold
 
-#: Rows that a forest is fitted on at most: of more, those with the least hashes of their values. Prediction covers all rows.
-TRAIN_ROWS = 200_000
 #: Classes that `best_split` counts side by side.
 MAX_CLASSES = 1000
 
@@ -154,57 +151,47 @@ class Cart:
 
 
 class Forest:
-    """Trees on bootstrap samples, fitted one per task; prediction is by hard votes, of ties the lowest class."""
-
-    def __init__(self, trees: int = 100, max_depth: int = 10, min_leaf: int = 5, bootstrap: float | None = 0.8, features: int | None = None, seed: int = 42) -> None:
-        """bootstrap: the share of rows drawn with replacement for a tree; None gives every tree all rows."""
-        self.trees, self.max_depth, self.min_leaf, self.bootstrap, self.features, self.seed = trees, max_depth, min_leaf, bootstrap, features, seed
-        self.fitted: list[Cart] = []
-
-    def fit(self, df: DataFrame, columns: Sequence[str], label: str, k: int) -> Forest:
-        """Fits on TRAIN_ROWS rows of df at most."""
-        rows = df.select(*columns, label).orderBy(F.xxhash64(*columns, label), *columns, label).limit(TRAIN_ROWS).toPandas()
-        x, y = rows[list(columns)].to_numpy(float), rows[label].to_numpy(int)
-        spark, me = df.sparkSession, self
-        held = spark.sparkContext.broadcast((x, y))
-
-        def grow(group: pd.DataFrame) -> pd.DataFrame:
-            tree = int(group.id.iloc[0])
-            xs, ys = held.value
-            rng = np.random.default_rng(np.random.SeedSequence([me.seed, tree]))
-            draw = np.arange(len(ys)) if me.bootstrap is None else rng.integers(0, len(ys), int(len(ys) * me.bootstrap))
-            cart = Cart(me.max_depth, me.min_leaf, me.features, int(rng.integers(2**62))).fit(xs[draw], ys[draw], k)
-            return pd.DataFrame({"id": [tree], "tree": [pickle.dumps(cart)]})
-
-        grown = spark.range(self.trees).groupBy("id").applyInPandas(grow, "id long, tree binary").orderBy("id").collect()
-        self.fitted, self.columns, self.k = [pickle.loads(r.tree) for r in grown], list(columns), k
+    """Trees on bootstrap samples, grown level by level on all rows; prediction is by hard votes, of ties the lowest class.
+
+    Every row is drawn a Poisson number of times for each tree, by a hash of its key: what draws with replacement come to in a large table."""
+
+    def __init__(self, trees: int = 100, max_depth: int = 10, min_leaf: int = 5, bootstrap: float | None = 0.8, features: int | None = None, seed: int = 42, bins: int = forest.BINS) -> None:
+        """bootstrap: how often a row is drawn for a tree on average; None gives every tree all rows. features: how many are tried in a node (None: the root of their number, rounded down)."""
+        self.trees, self.max_depth, self.min_leaf, self.bootstrap, self.features, self.seed, self.bins = trees, max_depth, min_leaf, bootstrap, features, seed, bins
+        self.nodes: list[dict[int, forest.Node]] = []
+        self.columns: list[str] = []
+        self.k = 0
+
+    def _rules(self, columns: Sequence[str], k: int) -> forest.Rules:
+        f = len(columns)
+        return forest.Rules(k, f, self.max_depth, self.min_leaf, min(f, self.features or max(1, int(f**0.5))), self.bootstrap)
+
+    def _specs(self, folds: int | None = None) -> list[forest.Spec]:
+        return [forest.Spec(f * self.trees + t, forest.tree_seed(self.seed, t), f if folds else -1) for f in range(folds or 1) for t in range(self.trees)]
+
+    def fit(self, df: DataFrame, columns: Sequence[str], label: str, k: int, key: str | None = None) -> Forest:
+        """Fits on all rows with a label (0 to k - 1). key: a column of distinct numbers from 0 on, by which rows are drawn; without one, rows are numbered as they lie."""
+        self.columns, self.k = list(columns), k
+        self.edges = forest.bin_edges(df, columns, self.bins)
+        rows = forest.binned(df, columns, label, self.edges, None if key is None else F.col(key))
+        self.nodes = forest.grow(rows, self._specs(), self._rules(columns, k))
         return self
 
     def predict(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """The kept columns, y_pred and probabilities (the classes' shares of the votes)."""
-        trees, columns, k = self.fitted, self.columns, self.k
-        schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", y_pred long, probabilities array<double>"
-
-        def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                x = p[columns].to_numpy(float)
-                votes = np.zeros((len(p), k))
-                for t in trees:
-                    votes[np.arange(len(p)), t.predict(x)] += 1
-                yield p[list(keep)].assign(y_pred=votes.argmax(1), probabilities=list(votes / len(trees)))
-
-        return df.select(*dict.fromkeys((*keep, *columns))).mapInPandas(vote, schema)
+        return forest.vote(df, keep, self.columns, [(-1, forest.fitted(t, self.edges)) for t in self.nodes], self.k)
 
     def importances(self) -> dict[str, float]:
-        total = sum(t.importance for t in self.fitted)
-        return dict(zip(self.columns, (total / total.sum() if total.sum() else total).tolist(), strict=True))
-
-
-def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str, k_classes: int, folds: int = 5, seed: int = 42, **forest: float | None) -> DataFrame:
-    """y_true, y_pred of every row, each predicted by the forest of the other folds."""
-    dealt, out = cut(kfold(df, key, folds, seed)), None
-    for f in range(folds):
-        model = Forest(seed=seed, **forest).fit(dealt.filter(F.col("fold") != f), columns, label, k_classes)
-        part = model.predict(dealt.filter(F.col("fold") == f), [label]).select(F.col(label).cast("long").alias("y_true"), "y_pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return dict(zip(self.columns, forest.importances(self.nodes, len(self.columns)).tolist(), strict=True))
+
+
+def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str, k_classes: int, folds: int = 5, seed: int = 42, **options: float | None) -> DataFrame:
+    """y_true, y_pred of every row, each predicted by the forest of the other folds. All folds' trees are grown in the same jobs: a tree draws no row of its fold."""
+    model, dealt = Forest(seed=seed, **options), cut(kfold(df, key, folds, seed))
+    edges = forest.bin_edges(dealt, columns, model.bins)
+    rows = forest.binned(dealt, columns, label, edges, F.col(key), F.col("fold"))
+    specs = model._specs(folds)
+    grown = forest.grow(rows, specs, model._rules(columns, k_classes))
+    trees = [(s.without, forest.fitted(t, edges)) for s, t in zip(specs, grown, strict=True)]
+    judged = forest.vote(dealt, [label], columns, trees, k_classes, "fold")
+    return judged.select(F.col(label).cast("long").alias("y_true"), "y_pred")
