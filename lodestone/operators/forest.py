@@ -46,10 +46,11 @@ class Rules(NamedTuple):
 
 
 class Node(NamedTuple):
-    """feature -1: a leaf. `at` is the last bin that goes left, gain the fall of gini, n the drawn rows, label the most frequent class, of ties the first."""
+    """feature -1: a leaf. `at` is the last bin that goes left, upto the first of the node's bins that goes right, gain the fall of gini, n the drawn rows, label the most frequent class, of ties the first."""
 
     feature: int
     at: int
+    upto: int
     gain: float
     n: int
     label: int
@@ -85,9 +86,28 @@ def tried(spec: Spec, heap: int, rules: Rules) -> np.ndarray:
     return np.sort(draw.choice(rules.columns, rules.features, replace=False))
 
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
-    """For every column the upper ends of its bins but the last: midpoints of all neighbouring values where there are no more than `bins`, otherwise quantiles (by mergeable summaries), which are values themselves."""
-    found: list[np.ndarray] = []
+#: The first fields of a leaf.
+NO_SPLIT = (-1, 0, 0, 0.0)
+
+
+class Bins(NamedTuple):
+    """A column's bins: the upper ends of all but the last (values themselves), and, where every value has a bin of its own, these values."""
+
+    edges: np.ndarray
+    values: np.ndarray | None
+
+    def threshold(self, at: int, upto: int) -> float:
+        """What parts the bins up to `at` from those from `upto` on, between which a node has none: the midpoint of two values, or the end of a bin."""
+        if self.values is None:
+            return float(self.edges[at])
+        low, high = float(self.values[at]), float(self.values[min(upto, len(self.values) - 1)])
+        mid = low + (high - low) / 2 if np.isfinite(high - low) else low
+        return mid if low <= mid < high else low
+
+
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> list[Bins]:
+    """For every column: a bin for each value where there are no more than `bins` (and one more for null and NaN), otherwise quantiles, by mergeable summaries."""
+    found: list[Bins] = []
     x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
     shares = [(k + 1) / bins for k in range(bins - 1)]
     measures = [m for k, v in enumerate(x) for m in (F.approx_count_distinct(v).alias(f"n{k}"), F.percentile_approx(v, shares, 10_000).alias(f"q{k}"))]
@@ -99,24 +119,21 @@ def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> list[n
         for r in every.collect():  # approximate counts say that there are few
             values[r.at].add(r.x + 0.0)
     for k in range(len(columns)):
-        if k in values and len(values[k]) <= bins:
+        if k in values and len(values[k]) < bins:
             v = np.array(sorted(values[k]))
-            with np.errstate(all="ignore"):
-                mid = v[:-1] + (v[1:] - v[:-1]) / 2
-            found.append(np.where((mid < v[1:]) & (mid >= v[:-1]), mid, v[:-1]))
+            found.append(Bins(v, v))
         else:
-            q = np.unique(np.array(seen[f"q{k}"] or [], dtype=float))
-            found.append(q)
+            found.append(Bins(np.unique(np.array(seen[f"q{k}"] or [], dtype=float)), None))
     return found
 
 
-def binned(df: DataFrame, columns: Sequence[str], label: str, edges: list[np.ndarray], key: Column | None = None, fold: Column | None = None) -> DataFrame:
-    """key, fold, label and bins (a byte per column), written once. Rows without a label stay out; null and NaN values lie in the last bin. Without a key, rows are numbered."""
+def binned(df: DataFrame, columns: Sequence[str], label: str, bins: list[Bins], key: Column | None = None, fold: Column | None = None) -> DataFrame:
+    """key, fold, label and bins (a byte per column), written once. Rows without a label stay out; null and NaN values lie in a bin beyond all others. Without a key, rows are numbered."""
     rows = df.filter(F.col(label).isNotNull()).select((key if key is not None else F.monotonically_increasing_id()).cast("long").alias("key"), (fold if fold is not None else F.lit(-1)).cast("int").alias("fold"), F.col(label).cast("int").alias("label"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack([np.searchsorted(e, b.column(f"x{k}").to_numpy(zero_copy_only=False).astype(float) + 0.0, side="left") for k, e in enumerate(edges)], axis=1).astype(np.uint8)
+            x = np.stack([np.searchsorted(e.edges, b.column(f"x{k}").to_numpy(zero_copy_only=False).astype(float) + 0.0, side="left") for k, e in enumerate(bins)], axis=1).astype(np.uint8)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("fold"), b.column("label"), packed], ["key", "fold", "label", "bins"])
 
@@ -127,8 +144,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
 
 
-def best_cut(histogram: np.ndarray) -> tuple[float, int, np.ndarray] | None:
-    """(gain, last bin that goes left, class counts to the left) of counts by bin and class; of equal gains the first bin."""
+def best_cut(histogram: np.ndarray) -> tuple[float, int, int, np.ndarray] | None:
+    """(gain, last bin that goes left, the next bin that isn't empty, class counts to the left) of counts by bin and class; of equal gains the first bin."""
     left = histogram.cumsum(axis=0)[:-1].astype(float)
     total = histogram.sum(axis=0).astype(float)
     right = total - left
@@ -140,7 +157,8 @@ def best_cut(histogram: np.ndarray) -> tuple[float, int, np.ndarray] | None:
         gain = ((left**2).sum(axis=1) / nl + (right**2).sum(axis=1) / nr) / n - (total**2).sum() / (n * n)
     gain = np.round(np.where(ok, gain, -1.0), 12)
     at = int(gain.argmax())
-    return (float(gain[at]), at, left[at].astype(np.int64)) if gain[at] > 0 else None
+    upto = at + 1 + int((histogram[at + 1 :].sum(axis=1) > 0).argmax())
+    return (float(gain[at]), at, upto, left[at].astype(np.int64)) if gain[at] > 0 else None
 
 
 def stays_whole(counts: np.ndarray, depth: int, rules: Rules) -> bool:
@@ -154,16 +172,16 @@ def _grow_here(spec: Spec, heap: int, rules: Rules, x: np.ndarray, y: np.ndarray
     while left:
         at, rows = left.pop()
         counts = np.bincount(y[rows], w[rows], rules.classes).astype(np.int64)
-        best: tuple[float, int, int] | None = None
+        best: tuple[int, int, int, float] | None = None
         if not stays_whole(counts, at.bit_length() - 1, rules):
             for f in tried(spec, at, rules).tolist():
                 cells = np.bincount(x[rows, f].astype(np.int64) * rules.classes + y[rows], w[rows], BINS * rules.classes)
                 found = best_cut(cells.reshape(BINS, rules.classes).astype(np.int64))
-                if found and (best is None or found[0] > best[0]):
-                    best = (found[0], f, found[1])
-        yield at, Node(-1 if best is None else best[1], 0 if best is None else best[2], 0.0 if best is None else best[0], int(counts.sum()), int(counts.argmax()))
+                if found and (best is None or found[0] > best[3]):
+                    best = (f, found[1], found[2], found[0])
+        yield at, Node(*(best or NO_SPLIT), int(counts.sum()), int(counts.argmax()))
         if best is not None:
-            goes = x[rows, best[1]] <= best[2]
+            goes = x[rows, best[0]] <= best[1]
             left += [(2 * at + 1, rows[~goes]), (2 * at, rows[goes])]
 
 
@@ -256,20 +274,20 @@ def _cells(rows: DataFrame, slots: list[_Open], tables: dict[int, Table], rules:
 
 
 def _splits(cells: DataFrame, rules: Rules) -> DataFrame:
-    """sf, gain, at, goes_left, counts: the best cut of every node and feature tried (gain 0: none), from the sums over all tasks. A task has counted a cell once, so the only shuffle is by sf."""
+    """sf, gain, at, upto, goes_left, counts: the best cut of every node and feature tried (gain 0: none), from the sums over all tasks. A task has counted a cell once, so the only shuffle is by sf."""
     size = BINS * rules.classes
 
     def best(group: pa.Table) -> pa.Table:
         h = np.zeros(size, dtype=np.int64)
         h[group.column("cell").to_numpy()] = group.column("n").to_numpy()
         h = h.reshape(BINS, rules.classes)
-        gain, at, left = best_cut(h) or (0.0, 0, np.zeros(rules.classes, dtype=np.int64))
+        gain, at, upto, left = best_cut(h) or (0.0, 0, 0, np.zeros(rules.classes, dtype=np.int64))
         longs = pa.list_(pa.int64())
-        return pa.table([group.column("sf").slice(0, 1), pa.array([gain]), pa.array([at], pa.int32()), pa.array([left], longs), pa.array([h.sum(axis=0)], longs)], ["sf", "gain", "at", "goes_left", "counts"])
+        return pa.table([group.column("sf").slice(0, 1), pa.array([gain]), pa.array([at], pa.int32()), pa.array([upto], pa.int32()), pa.array([left], longs), pa.array([h.sum(axis=0)], longs)], ["sf", "gain", "at", "upto", "goes_left", "counts"])
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     summed = cells.repartition(parts, "sf").groupBy("sf", "cell").agg(F.sum("n").alias("n"))
-    return summed.groupBy("sf").applyInArrow(best, "sf long, gain double, at int, goes_left array<long>, counts array<long>")
+    return summed.groupBy("sf").applyInArrow(best, "sf long, gain double, at int, upto int, goes_left array<long>, counts array<long>")
 
 
 def _finish(rows: DataFrame, slots: list[_Open], tables: dict[int, Table], rules: Rules) -> DataFrame:
@@ -299,9 +317,9 @@ def _finish(rows: DataFrame, slots: list[_Open], tables: dict[int, Table], rules
         spec, heap = held.value[1][group.column("slot")[0].as_py()]
         x = np.concatenate([_matrix(c, rules.columns) for c in group.column("bins").chunks])
         found = list(_grow_here(spec, heap, rules, x, group.column("label").to_numpy(), group.column("w").to_numpy()))
-        return pa.table({"tree": pa.array([spec.tree] * len(found), pa.int32()), "heap": pa.array([h for h, _ in found], pa.int64()), **{k: pa.array([getattr(n, k) for _, n in found], t) for k, t in (("feature", pa.int32()), ("at", pa.int32()), ("gain", pa.float64()), ("n", pa.int64()), ("label", pa.int32()))}})
+        return pa.table({"tree": pa.array([spec.tree] * len(found), pa.int32()), "heap": pa.array([h for h, _ in found], pa.int64()), **{k: pa.array([getattr(n, k) for _, n in found], t) for k, t in (("feature", pa.int32()), ("at", pa.int32()), ("upto", pa.int32()), ("gain", pa.float64()), ("n", pa.int64()), ("label", pa.int32()))}})
 
-    return rows.mapInArrow(deal, "slot long, label int, w int, bins binary").groupBy("slot").applyInArrow(grow, "tree int, heap long, feature int, at int, gain double, n long, label int")
+    return rows.mapInArrow(deal, "slot long, label int, w int, bins binary").groupBy("slot").applyInArrow(grow, "tree int, heap long, feature int, at int, upto int, gain double, n long, label int")
 
 
 def grow(rows: DataFrame, specs: Sequence[Spec], rules: Rules, n_rows: int | None = None) -> list[dict[int, Node]]:
@@ -322,9 +340,9 @@ def grow(rows: DataFrame, specs: Sequence[Spec], rules: Rules, n_rows: int | Non
         tables = {t: Table.of(nodes[t], h) for t, h in open_of.items()}
         if sum(map(size, level)) <= FINISH_ROWS and max(map(size, level)) <= NODE_ROWS:
             for r in _finish(rows, level, tables, rules).collect():
-                nodes[r.tree][r.heap] = Node(r.feature, r.at, r.gain, r.n, r.label)
+                nodes[r.tree][r.heap] = Node(r.feature, r.at, r.upto, r.gain, r.n, r.label)
             for o in level:  # a tree that drew no row
-                nodes[o.spec.tree].setdefault(o.heap, Node(-1, 0, 0.0, 0, 0))
+                nodes[o.spec.tree].setdefault(o.heap, Node(*NO_SPLIT, 0, 0))
             break
         below: list[_Open] = []
         step = max(1, CELLS // per)
@@ -338,14 +356,14 @@ def grow(rows: DataFrame, specs: Sequence[Spec], rules: Rules, n_rows: int | Non
                 counts = np.array(mine[0].counts, dtype=np.int64) if mine else np.zeros(rules.classes, dtype=np.int64)
                 depth = o.heap.bit_length() - 1
                 if not mine or mine[0].gain <= 0 or stays_whole(counts, depth, rules):
-                    nodes[o.spec.tree][o.heap] = Node(-1, 0, 0.0, int(counts.sum()), int(counts.argmax()))
+                    nodes[o.spec.tree][o.heap] = Node(*NO_SPLIT, int(counts.sum()), int(counts.argmax()))
                     continue
                 best, features = mine[0], tried(o.spec, o.heap, rules)
-                nodes[o.spec.tree][o.heap] = Node(int(features[best.sf % rules.features]), best.at, best.gain, int(counts.sum()), int(counts.argmax()))
+                nodes[o.spec.tree][o.heap] = Node(int(features[best.sf % rules.features]), best.at, best.upto, best.gain, int(counts.sum()), int(counts.argmax()))
                 left = np.array(best.goes_left, dtype=np.int64)
                 for heap, c in ((2 * o.heap, left), (2 * o.heap + 1, counts - left)):
                     if stays_whole(c, depth + 1, rules):
-                        nodes[o.spec.tree][heap] = Node(-1, 0, 0.0, int(c.sum()), int(c.argmax()))
+                        nodes[o.spec.tree][heap] = Node(*NO_SPLIT, int(c.sum()), int(c.argmax()))
                     else:
                         below.append(_Open(o.spec, heap, c))
         level = below
@@ -371,10 +389,10 @@ class FittedTree(NamedTuple):
         return self.label[at]
 
 
-def fitted(nodes: dict[int, Node], edges: list[np.ndarray]) -> FittedTree:
+def fitted(nodes: dict[int, Node], bins: list[Bins]) -> FittedTree:
     t = Table.of(nodes)
     inner = [nodes[int(h)] for h in t.heap]
-    return FittedTree(t.feature, np.array([edges[n.feature][n.at] if n.feature >= 0 else 0.0 for n in inner]), t.left, t.right, np.array([n.label for n in inner], dtype=np.int64))
+    return FittedTree(t.feature, np.array([bins[n.feature].threshold(n.at, n.upto) if n.feature >= 0 else 0.0 for n in inner]), t.left, t.right, np.array([n.label for n in inner], dtype=np.int64))
 
 
 def importances(trees: Sequence[dict[int, Node]], columns: int) -> np.ndarray:
@@ -410,13 +428,13 @@ def vote(df: DataFrame, keep: Sequence[str], columns: Sequence[str], trees: list
 
 
 def saved(spark: SparkSession, trees: Sequence[dict[int, Node]]) -> DataFrame:
-    """The nodes of a forest as rows: tree, heap, feature, at, gain, n, label."""
+    """The nodes of a forest as rows: tree, heap, feature, at, upto, gain, n, label."""
     rows = [(t, h, *n) for t, nodes in enumerate(trees) for h, n in nodes.items()]
-    return spark.createDataFrame(rows, "tree int, heap long, feature int, at int, gain double, n long, label int")
+    return spark.createDataFrame(rows, "tree int, heap long, feature int, at int, upto int, gain double, n long, label int")
 
 
 def loaded(rows: DataFrame) -> list[dict[int, Node]]:
     trees: dict[int, dict[int, Node]] = {}
     for r in rows.collect():
-        trees.setdefault(r.tree, {})[r.heap] = Node(r.feature, r.at, r.gain, r.n, r.label)
+        trees.setdefault(r.tree, {})[r.heap] = Node(r.feature, r.at, r.upto, r.gain, r.n, r.label)
     return [trees[t] for t in sorted(trees)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.lineage import cut, cut_and_observe
 from lodestone.functions.portable import portable_hash
+from lodestone.operators.centrality import betweenness_raw
 from lodestone.sources.graphs import Graph
 
 
@@ -74,32 +75,53 @@ def degree_centrality(g: Graph, normalise: bool = True) -> DataFrame:
     return both.select("v", (F.col("indeg") / scale).alias("in_degree"), (F.col("deg") / scale).alias("out_degree"), ((F.col("indeg") + F.col("deg")) / (2 * scale if normalise else 1.0)).alias("total_degree"))
 
 
+def dealt_arcs(g: Graph, deg: DataFrame, n_arcs: int, most: int, parts: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(light, heavy, hubs): the arcs of ordinary sources, dealt out by source; those of hubs, dealt out by both ends, so that a hub's arcs lie in all parts; and the hubs (v). No hubs: None.
+
+    most: the greatest degree. A hub has more than HUB_ARCS arcs, or a greater number where more than BROADCAST_HUBS sources could have that many: there are never more hubs than that, and a round may broadcast their state."""
+    least = max(HUB_ARCS, n_arcs // BROADCAST_HUBS)
+    arcs = g.arcs.select("src", "dst")
+    if most <= least:
+        return arcs.repartition(parts, "src"), None, None
+    hubs = cut(deg.filter(F.col("deg") > least).select("v"))
+    named = F.broadcast(hubs.withColumnRenamed("v", "src"))
+    return arcs.join(named, "src", "left_anti").repartition(parts, "src"), arcs.join(named, "src").select("src", "dst").repartition(parts, "src", "dst"), hubs
+
+
 def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-6, max_iter: int = 100) -> DataFrame:
-    """v, pagerank. Vertices without arcs give their mass to all. One shuffle per round: arcs stay dealt out by source."""
-    n = g.vertices.count()
+    """v, pagerank. Vertices without arcs give their mass to all.
+
+    A round is one job and one shuffle: arcs stay where they are dealt out, a hub's over all tasks (its rank is broadcast); what they carry is summed by target in each task, then over all."""
+    stats = degrees(g).agg(F.count("*").alias("n"), F.coalesce(F.sum("deg"), F.lit(0)).alias("arcs"), F.max("deg").alias("most")).first()
+    n = stats.n
     if not n:
         return g.vertices.withColumn("pagerank", F.lit(0.0))
-    parts = max(int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // VERTICES_PER_PART)
-    arcs = g.arcs.select("src", "dst").repartition(parts, "src").persist()
+    parts = max(int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // VERTICES_PER_PART, stats.arcs // ARCS_PER_PART)
     vertices = degrees(g).repartition(parts, "v").persist()
-    state, dangling = vertices.select("v", "deg", F.lit(1.0 / n).alias("pr")), None
-    lost = F.sum(F.when(F.col("deg") == 0, F.col("pr")).otherwise(0.0))
+    light, heavy, hubs = dealt_arcs(g, vertices, stats.arcs, stats.most, parts)
+    kept = [df.persist() for df in (light, heavy) if df is not None]
+    state, lost = vertices.select("v", "deg", F.lit(1.0 / n).alias("pr")), F.sum(F.when(F.col("deg") == 0, F.col("pr")).otherwise(0.0))
     try:
         dangling = state.agg(lost).first()[0]
         for _ in range(max_iter):
             base = (1 - damping) / n + damping * dangling / n
-            sent = arcs.join(state.filter("deg > 0"), F.col("src") == F.col("v")).groupBy("dst").agg(F.sum(F.col("pr") / F.col("deg")).alias("got"))
-            joined = state.select("v", "deg", F.col("pr").alias("old")).join(sent, F.col("v") == F.col("dst"), "left")
+            given = state.filter("deg > 0").select("v", (F.col("pr") / F.col("deg")).alias("share"))
+            sent = kept[0].join(given, F.col("src") == F.col("v")).select("dst", "share")
+            if hubs is not None:
+                sent = sent.unionByName(kept[1].join(F.broadcast(given.join(F.broadcast(hubs), "v")), F.col("src") == F.col("v")).select("dst", "share"))
+            got = sent.groupBy("dst").agg(F.sum("share").alias("got"))
+            joined = state.select("v", "deg", F.col("pr").alias("old")).join(got, F.col("v") == F.col("dst"), "left")
             ranked = joined.select("v", "deg", "old", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("pr"))
-            # one job a round: the next round's dangling mass and the change are gathered while the round is written
+            # the next round's dangling mass and the change are gathered while the round is written
             state, seen = cut_and_observe(ranked, dangling=lost, change=F.sum(F.abs(F.col("pr") - F.col("old"))))
             dangling, state = seen["dangling"], state.drop("old")
             if tolerance > 0 and seen["change"] < tolerance:
                 break
         return state.select("v", F.col("pr").alias("pagerank"))
     finally:
-        arcs.unpersist()
         vertices.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 def triangles(g: Graph) -> DataFrame:
@@ -174,19 +196,11 @@ def bfs_levels(g: Graph, sources: DataFrame) -> DataFrame:
 
 def betweenness(g: Graph, num_samples: int = 0, seed: int = 42, normalise: bool = True, convention: str = "both_ends") -> DataFrame:
     """v, betweenness from all sources (0) or a sample. both_ends keeps pairs counted from either end over the halved factor; 'standard' halves the sum too."""
-    n = g.vertices.count()
-    sources = sample_vertices(g, num_samples, seed) if 0 < num_samples < n else g.vertices
-    size = min(num_samples, n) if num_samples else n
-    g = settled(g)
-    levels, arcs = bfs(g, sources), g.arcs.select("src", "dst")
-    below = levels[-1].select("source", "v", "sigma", F.lit(0.0).alias("delta"))
-    total = below
-    for level in reversed(levels[:-1]):
-        pull = arcs.join(below.select("source", F.col("v").alias("dst"), F.col("sigma").alias("s_below"), "delta"), "dst").select("source", F.col("src").alias("v"), "s_below", "delta")
-        got = level.select("source", "v", "sigma").join(pull, ["source", "v"]).groupBy("source", "v").agg(F.sum(F.col("sigma") / F.col("s_below") * (1 + F.col("delta"))).alias("delta"))
-        below = cut(level.select("source", "v", "sigma").join(got, ["source", "v"], "left").select("source", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        total = total.unionByName(below)
-    per = total.filter("v <> source").groupBy("v").agg(F.sum("delta").alias("raw"))
+    n, g = g.vertices.count(), settled(g)
+    sampled = 0 < num_samples < n
+    sources = global_rank(sample_vertices(g, num_samples, seed), ["v"], "place") if sampled else g.vertices.withColumn("place", F.col("v"))
+    size = num_samples if sampled else n
+    per = betweenness_raw(g, n, sources, size)
     factor = (n - 1) * (n - 2) * (1.0 if g.directed else 0.5)
     scale = factor * size / n if normalise and n > 2 else 1.0
     if convention == "standard" and not g.directed:
@@ -194,8 +208,10 @@ def betweenness(g: Graph, num_samples: int = 0, seed: int = 42, normalise: bool
     return g.vertices.join(per, "v", "left").select("v", (F.coalesce("raw", F.lit(0.0)) / scale).alias("betweenness"))
 
 
-#: Vertices that a part of PageRank's state holds at most.
-VERTICES_PER_PART = 2_000_000
+#: Vertices and arcs that a part of PageRank's state holds on average at most.
+VERTICES_PER_PART, ARCS_PER_PART = 2_000_000, 10_000_000
+#: Arcs beyond which a source is a hub, and hubs whose state is broadcast at most.
+HUB_ARCS, BROADCAST_HUBS = 100_000, 100_000
 Extractor = Callable[[Graph], DataFrame]
 
 

@@ -172,14 +172,14 @@ class Forest:
     def fit(self, df: DataFrame, columns: Sequence[str], label: str, k: int, key: str | None = None) -> Forest:
         """Fits on all rows with a label (0 to k - 1). key: a column of distinct numbers from 0 on, by which rows are drawn; without one, rows are numbered as they lie."""
         self.columns, self.k = list(columns), k
-        self.edges = forest.bin_edges(df, columns, self.bins)
-        rows = forest.binned(df, columns, label, self.edges, None if key is None else F.col(key))
+        self.cuts = forest.bin_edges(df, columns, self.bins)
+        rows = forest.binned(df, columns, label, self.cuts, None if key is None else F.col(key))
         self.nodes = forest.grow(rows, self._specs(), self._rules(columns, k))
         return self
 
     def predict(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """The kept columns, y_pred and probabilities (the classes' shares of the votes)."""
-        return forest.vote(df, keep, self.columns, [(-1, forest.fitted(t, self.edges)) for t in self.nodes], self.k)
+        return forest.vote(df, keep, self.columns, [(-1, forest.fitted(t, self.cuts)) for t in self.nodes], self.k)
 
     def importances(self) -> dict[str, float]:
         return dict(zip(self.columns, forest.importances(self.nodes, len(self.columns)).tolist(), strict=True))
@@ -188,10 +188,10 @@ class Forest:
 def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str, k_classes: int, folds: int = 5, seed: int = 42, **options: float | None) -> DataFrame:
     """y_true, y_pred of every row, each predicted by the forest of the other folds. All folds' trees are grown in the same jobs: a tree draws no row of its fold."""
     model, dealt = Forest(seed=seed, **options), cut(kfold(df, key, folds, seed))
-    edges = forest.bin_edges(dealt, columns, model.bins)
-    rows = forest.binned(dealt, columns, label, edges, F.col(key), F.col("fold"))
+    cuts = forest.bin_edges(dealt, columns, model.bins)
+    rows = forest.binned(dealt, columns, label, cuts, F.col(key), F.col("fold"))
     specs = model._specs(folds)
     grown = forest.grow(rows, specs, model._rules(columns, k_classes))
-    trees = [(s.without, forest.fitted(t, edges)) for s, t in zip(specs, grown, strict=True)]
+    trees = [(s.without, forest.fitted(t, cuts)) for s, t in zip(specs, grown, strict=True)]
     judged = forest.vote(dealt, [label], columns, trees, k_classes, "fold")
     return judged.select(F.col(label).cast("long").alias("y_true"), "y_pred")

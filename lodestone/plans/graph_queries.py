@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.lineage import cut
 from lodestone.functions.portable import portable_hash_sql, rounded
+from lodestone.operators import forest
 from lodestone.operators import graph as G
 from lodestone.operators import learning as L
 from lodestone.operators.numeric import zscore
@@ -101,10 +102,15 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 def _bfs_sql() -> str:
     out = f"s AS (SELECT v FROM vs ORDER BY {portable_hash_sql('v', 42)}, v LIMIT {SOURCES}), f0 AS (SELECT v AS source, v, 1.0::DOUBLE AS sigma FROM s)"
+    return f"{out}, {_levels_sql()}"
+
+
+def _levels_sql() -> str:
+    out = []
     for k in range(1, LEVELS + 1):
         back = " ".join(f"AND NOT EXISTS (SELECT 1 FROM f{j} o WHERE o.source = f.source AND o.v = a.dst)" for j in (k - 1, k - 2) if j >= 0)
-        out += f", f{k} AS MATERIALIZED (SELECT f.source, a.dst AS v, sum(f.sigma) AS sigma FROM f{k - 1} f JOIN arcs a ON a.src = f.v WHERE true {back} GROUP BY 1, 2)"
-    return out
+        out.append(f"f{k} AS MATERIALIZED (SELECT f.source, a.dst AS v, sum(f.sigma) AS sigma FROM f{k - 1} f JOIN arcs a ON a.src = f.v WHERE true {back} GROUP BY 1, 2)")
+    return ", ".join(out)
 
 
 _ALL = " UNION ALL ".join(f"SELECT source, v, {k}::BIGINT AS level, sigma FROM f{k}" for k in range(LEVELS + 1))
@@ -130,6 +136,20 @@ def betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
     return G.betweenness(_graph(spark, d), SOURCES).select("v", rounded(F.col("betweenness"), 6).alias("betweenness"))
 
 
+_SOME = """l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 49),
+e AS (SELECT DISTINCT a.l_partkey % 200 AS src, b.l_partkey % 200 AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey % 200 < b.l_partkey % 200),
+arcs AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+vs AS MATERIALIZED (SELECT unnest(range(200)) AS v), n AS (SELECT 200 AS n), s AS (SELECT v FROM vs), f0 AS (SELECT v AS source, v, 1.0::DOUBLE AS sigma FROM s)"""
+
+
+@add(f"WITH {_SOME}, {_levels_sql()}, {_between_sql()} SELECT vs.v, round(coalesce(raw, 0) / ((n - 1) * (n - 2) * 0.5::DOUBLE), 6) AS betweenness FROM vs LEFT JOIN w ON vs.v = w.v, n")
+def betweenness_all(spark: SparkSession, d: str) -> DataFrame:
+    """From all sources, over a graph of 200 groups of parts, joined where an order holds large quantities of both."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("l_partkey"), "l_quantity")
+    g = S.Graph.from_edges(S.copurchase_edges(lines, 49.0), n=200, checked=True)
+    return G.betweenness(g).select("v", rounded(F.col("betweenness"), 6).alias("betweenness"))
+
+
 def _features(g: S.Graph) -> DataFrame:
     return G.extract_features(g, [G.degree_centrality, lambda x: G.pagerank(x, tolerance=0.0, max_iter=ROUNDS), G.clustering_coefficient])
 
@@ -249,13 +269,76 @@ def feature_importances(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(shares.items()), "feature string, importance double")
 
 
-@add(f"""WITH {_HASHED} SELECT count(*) AS n, count(*) FILTER (y_true = most) AS right_ones FROM (
-SELECT k.y AS y_true, (SELECT CASE WHEN 2 * count(*) FILTER (o.y = 1) > count(*) THEN 1 ELSE 0 END FROM k o WHERE o.fold <> k.fold) AS most FROM k)""".replace("SELECT count(*) AS n", ", k AS (SELECT doc_id % 3 % 2 AS y, (i >= n // 5)::BIGINT + (i >= 2 * n // 5)::BIGINT + (i >= 3 * n // 5)::BIGINT + (i >= 4 * n // 5)::BIGINT AS fold FROM r) SELECT count(*) AS n", 1))
+_LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_LINE_NUMBER = "l_orderkey * 8 + l_linenumber"
+
+
+def _tree_sql(name: str, rows: str, weight: str, depth: int, classes: int = 3, min_leaf: int = 5) -> str:
+    """CTEs up to `name`: all columns of rows (among them _SPLIT_BY and y) and p, the class of the leaf in a tree grown on rows drawn `weight` times."""
+    out = f"{name}0 AS MATERIALIZED (SELECT *, {weight} AS w, 1::BIGINT AS node FROM {rows})"
+    for k in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, {i} AS pos, {f}::DOUBLE AS x, y, w FROM {name}{k} WHERE w > 0" for i, f in enumerate(_SPLIT_BY))
+        out += f""",
+{name}g{k} AS (SELECT node, pos, x, c.y, sum(CASE WHEN f.y = c.y THEN w ELSE 0 END)::DOUBLE AS n FROM ({long}) f, range({classes}) c(y) GROUP BY ALL),
+{name}w{k} AS (SELECT *, sum(n) OVER (PARTITION BY node, pos, y ORDER BY x) AS l, sum(n) OVER (PARTITION BY node, pos, y) AS t FROM {name}g{k}),
+{name}s{k} AS (SELECT node, pos, x, sum(l) AS nl, sum(t - l) AS nr, sum(l * l) AS l2, sum((t - l) * (t - l)) AS r2, sum(t * t) AS t2, max(t) AS most FROM {name}w{k} GROUP BY ALL),
+{name}c{k} AS (SELECT *, nl + nr AS n, (x + lead(x) OVER (PARTITION BY node, pos ORDER BY x)) / 2 AS threshold FROM {name}s{k}),
+{name}q{k} AS (SELECT *, round((l2 / nl + r2 / nr) / n - t2 / (n * n), 12) AS gain FROM {name}c{k} WHERE threshold IS NOT NULL AND n > {min_leaf} AND most < n),
+{name}b{k} AS MATERIALIZED (SELECT node, pos, threshold FROM {name}q{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, pos, threshold) = 1),
+{name}{k + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), CASE WHEN b.pos IS NULL THEN r.node ELSE 2 * r.node + (CASE b.pos {" ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_SPLIT_BY))} END > threshold)::BIGINT END AS node FROM {name}{k} r LEFT JOIN {name}b{k} b USING (node))"""
+    return out + f""",
+{name}m AS (SELECT node, y AS p FROM {name}{depth} WHERE w > 0 GROUP BY node, y QUALIFY row_number() OVER (PARTITION BY node ORDER BY sum(w) DESC, y) = 1),
+{name} AS (SELECT r.*, p FROM {name}{depth} r JOIN {name}m USING (node))"""
+
+
+def _drawn_sql(tree: int, share: float = 0.8, seed: int = 42) -> str:
+    h = portable_hash_sql(_LINE_NUMBER, forest.tree_seed(seed, tree))
+    return f"(SELECT list_sum(list_transform({forest.poisson_steps(share)}, lambda s: (h >= s)::BIGINT)) FROM (SELECT {h} AS h))"
+
+
+_FLAGGED = f"lines AS (SELECT {', '.join(_LINE_KEYS)}, l_quantity, l_discount, l_tax, strpos('ANR', l_returnflag)::BIGINT - 1 AS y FROM lineitem)"
+
+
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, "ANR"))
+    return table(spark, d, "lineitem").select(*_LINE_KEYS, *_SPLIT_BY, F.expr(_LINE_NUMBER).alias("number"), (F.array_position(names, F.col("l_returnflag")) - 1).cast("long").alias("label"))
+
+
+@add(f"WITH {_FLAGGED}, {_tree_sql('t', 'lines', _drawn_sql(0), 4)} SELECT {', '.join(_LINE_KEYS)}, p AS y_pred FROM t")
+def tree_depth_four(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every line by a tree of four levels, grown on a bootstrap sample of all lines."""
+    lines = _flagged(spark, d)
+    model = L.Forest(trees=1, max_depth=4, features=len(_SPLIT_BY)).fit(lines, _SPLIT_BY, "label", 3, "number")
+    return model.predict(lines, _LINE_KEYS).select(*_LINE_KEYS, "y_pred")
+
+
+_VOTES = ", ".join(f"v{t} AS (SELECT {', '.join(_LINE_KEYS)}, p FROM t{t}x)" for t in range(3))
+_BALLOT = " UNION ALL ".join(f"SELECT * FROM v{t}" for t in range(3))
+
+
+@add(f"""WITH {_FLAGGED}, {", ".join(_tree_sql(f"t{t}x", "lines", _drawn_sql(t), 3) for t in range(3))}, {_VOTES},
+n AS (SELECT {", ".join(_LINE_KEYS)}, p, count(*) AS n FROM ({_BALLOT}) GROUP BY ALL)
+SELECT {", ".join(_LINE_KEYS)}, p AS y_pred, round(n / sum(n) OVER (PARTITION BY {", ".join(_LINE_KEYS)}), 9) AS share FROM n QUALIFY row_number() OVER (PARTITION BY {", ".join(_LINE_KEYS)} ORDER BY n DESC, p) = 1""")
+def forest_votes(spark: SparkSession, d: str) -> DataFrame:
+    """The class that most of three trees give a line, and the share of them."""
+    lines = _flagged(spark, d)
+    model = L.Forest(trees=3, max_depth=3, features=len(_SPLIT_BY)).fit(lines, _SPLIT_BY, "label", 3, "number")
+    return model.predict(lines, _LINE_KEYS).select(*_LINE_KEYS, "y_pred", rounded(F.array_max("probabilities"), 9).alias("share"))
+
+
+_FOLDED = f"""lines AS (SELECT l_quantity, l_discount, l_tax, {_LINE_NUMBER} AS number, (l_quantity >= 30)::BIGINT + (l_discount >= 0.06 AND l_linenumber <> 3)::BIGINT AS y FROM lineitem),
+placed AS (SELECT *, row_number() OVER (ORDER BY {portable_hash_sql("number", 42)}, number) - 1 AS i, count(*) OVER () AS n FROM lines),
+folded AS (SELECT * EXCLUDE (i, n), (i >= n // 5)::BIGINT + (i >= 2 * n // 5)::BIGINT + (i >= 3 * n // 5)::BIGINT + (i >= 4 * n // 5)::BIGINT AS fold FROM placed)"""
+_JUDGED = " UNION ALL ".join(f"SELECT y, p FROM f{f}x WHERE fold = {f}" for f in range(5))
+
+
+@add(f"WITH {_FOLDED}, {', '.join(_tree_sql(f'f{f}x', 'folded', f'(fold <> {f})::BIGINT', 2) for f in range(5))} SELECT y AS y_true, p AS y_pred, count(*) AS n FROM ({_JUDGED}) GROUP BY 1, 2")
 def cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Five folds of trees without a useful feature, which fall back on the majority of the other folds."""
-    docs = table(spark, d, "documents").select("doc_id", F.lit(0.0).alias("x"), (F.col("doc_id") % 3 % 2).alias("label"))
-    pairs = L.cross_validate(docs, "doc_id", ["x"], "label", 2, trees=1, bootstrap=None)
-    return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("right_ones"))
+    """Lines by class and by the class that trees of two levels, grown on the four other folds, give them."""
+    label = (F.col("l_quantity") >= 30).cast("long") + ((F.col("l_discount") >= 0.06) & (F.col("l_linenumber") != 3)).cast("long")
+    lines = table(spark, d, "lineitem").select(*_SPLIT_BY, F.expr(_LINE_NUMBER).alias("number"), label.alias("label"))
+    pairs = L.cross_validate(lines, "number", _SPLIT_BY, "label", 3, trees=1, max_depth=2, bootstrap=None, features=len(_SPLIT_BY))
+    return pairs.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
 _PAIRS = "p AS (SELECT quality::BIGINT AS y_true, (n_chars > 1500)::BIGINT AS y_pred FROM labels JOIN documents USING (doc_id)), g AS (SELECT a.k AS y_true, b.k AS y_pred FROM range(2) a(k), range(2) b(k))"

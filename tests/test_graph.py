@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import centrality
 from lodestone.operators import graph as G
 from lodestone.operators.pairs import block_pairs
 from lodestone.sources.graphs import Graph, parse_edge_lines
@@ -144,3 +145,65 @@ def test_pagerank_stops_at_its_tolerance(spark):
             break
     got = {x.v: x.pagerank for x in G.pagerank(g, tolerance=1e-4).collect()}
     assert rounds < 100 and all(got[v] == pytest.approx(rank[v], abs=1e-12) for v in near)
+
+
+def test_hub_arcs_lie_in_all_tasks(spark, monkeypatch):
+    """A star of 400,000 rays beside 4,000 rings: no part of the hub's arcs above twice the median, and the ranks are those of the undivided graph."""
+    rays, rings = 400_000, 4_000
+    star = spark.range(1, rays + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    ring = spark.range(rings).select((F.col("id") + 1).alias("src"), ((F.col("id") + 1) % rings + 1).alias("dst"))
+    g = G.settled(Graph.from_edges(star.unionByName(ring), n=rays + 2, checked=True))
+    monkeypatch.setattr(G, "HUB_ARCS", 1000)
+    light, heavy, hubs = G.dealt_arcs(g, G.degrees(g), 2 * (rays + rings), rays, 16)
+    assert [r.v for r in hubs.collect()] == [0]
+    for part, arcs in ((heavy, rays), (light, rays + 2 * rings)):
+        sizes = sorted(r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 16 and sum(sizes) == arcs and sizes[-1] <= 2 * sizes[8]
+    cut_up = G.pagerank(g, tolerance=0.0, max_iter=3)
+    monkeypatch.setattr(G, "HUB_ARCS", 10**9)
+    whole = G.pagerank(g, tolerance=0.0, max_iter=3)
+    assert cut_up.join(whole.withColumnRenamed("pagerank", "other"), "v").filter(F.abs(F.col("pagerank") - F.col("other")) > 1e-9 * F.col("other")).isEmpty()
+    assert abs(cut_up.agg(F.sum("pagerank")).first()[0] - 1) < 1e-9
+
+
+def brandes(n, arcs):
+    """Plain queues, vertex by vertex."""
+    out, total = [[] for _ in range(n)], [0.0] * n
+    for a, b in arcs:
+        out[a].append(b)
+    for s in range(n):
+        level, sigma, order, before = {s: 0}, dict.fromkeys(range(n), 0.0), [s], {}
+        sigma[s] = 1.0
+        for v in order:
+            for w in out[v]:
+                if w not in level:
+                    level[w] = level[v] + 1
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    sigma[w] += sigma[v]
+                    before.setdefault(w, []).append(v)
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before.get(w, ()):
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                total[w] += delta[w]
+    return total
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("dealt", [False, True])
+def test_betweenness_equals_brute_force(spark, monkeypatch, directed, dealt):
+    """With the graph broadcast, and dealt out with blocks of sources after one another; loops, a separate part and vertices without arcs included."""
+    r = random.Random(4)
+    edges = sorted({(r.randrange(24), r.randrange(24)) for _ in range(40)} | {(3, 3), (30, 31), (31, 32), (32, 30)})
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"), directed=directed, n=35)
+    if dealt:
+        monkeypatch.setattr(centrality, "BROADCAST_ARCS", 0)
+        monkeypatch.setattr(centrality, "BLOCK", 16)
+    arcs = [e for e in edges if e[0] != e[1]]
+    want = brandes(35, arcs if directed else sorted({*arcs, *((b, a) for a, b in arcs)}))
+    got = {x.v: x.betweenness for x in G.betweenness(g, normalise=False).collect()}
+    assert len(got) == 35 and all(abs(got[v] - want[v]) < 1e-9 for v in range(35))
+    few = {x.v: x.betweenness for x in G.betweenness(g, num_samples=7, normalise=False).collect()}
+    assert all(few[v] <= got[v] + 1e-9 for v in range(35))
