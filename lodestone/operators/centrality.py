@@ -14,6 +14,8 @@ from lodestone.sources.graphs import Graph
 
 #: Sources that are walked from together. The memory that a row takes follows this, not the number of sources.
 BLOCK = 1024
+#: What rows are multiplied by in codes of a row and a source.
+STRIDE = 1 << 15
 #: Arcs and vertices up to which a graph is broadcast (some 60 MB).
 BROADCAST_ARCS = 4_000_000
 
@@ -35,8 +37,8 @@ def _summed(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _lists(code: np.ndarray, rows: int, *columns: np.ndarray) -> list[pa.Array]:
-    """Ordered codes (row * BLOCK + source) as a list of sources per row, and values in lists alike."""
-    row, k = np.divmod(code, BLOCK)
+    """Ordered codes (row * STRIDE + source) as a list of sources per row, and values in lists alike."""
+    row, k = np.divmod(code, STRIDE)
     offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32))
     return [pa.ListArray.from_arrays(offsets, pa.array(k.astype(np.int16))), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)]
 
@@ -46,7 +48,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         v, at = np.unique(b.column("v").to_numpy(), return_inverse=True)
         row, k, s = _flat(b, "k", "s")
-        code, total = _summed(at[row] * BLOCK + k, s)
+        code, total = _summed(at[row] * STRIDE + k, s)
         yield pa.RecordBatch.from_arrays([pa.array(v), *_lists(code, len(v), total)], ["v", "k", "s"])
 
 
@@ -55,8 +57,8 @@ def _advance(directed: bool):  # noqa: ANN202
         """What came in less the sources that have been at a vertex already becomes its new level."""
         for b in batches:
             row, k, s = _flat(b, "came", "sums")
-            code, total = _summed(row * BLOCK + k, s)
-            seen, now = ((r * BLOCK + q) for r, q, _ in (_flat(b, "seen"), _flat(b, "k")))
+            code, total = _summed(row * STRIDE + k, s)
+            seen, now = ((r * STRIDE + q) for r, q, _ in (_flat(b, "seen"), _flat(b, "k")))
             fresh = ~np.isin(code, np.concatenate((seen, now)))
             # without direction a level's neighbours lie at most one level off, so only the last level must be remembered
             (past,) = _lists(np.unique(np.concatenate((seen, now)) if directed else now), b.num_rows)
@@ -69,15 +71,15 @@ def _return(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """delta of a level's sources: sigma times what the next level sends; 0 where it sends nothing."""
     for b in batches:
         row, k, s = _flat(b, "k", "s")
-        code = row * BLOCK + k
+        code = row * STRIDE + k
         order = np.argsort(code)
         code, s = code[order], s[order]
         in_row, in_k, x = _flat(b, "came", "sums")
-        got, total = _summed(in_row * BLOCK + in_k, x)
+        got, total = _summed(in_row * STRIDE + in_k, x)
         at = np.searchsorted(got, code)
         at[at == len(got)] = 0
         delta = np.where(got[at] == code, total[at], 0.0) * s if len(got) else np.zeros(len(code))
-        sums = np.bincount(code // BLOCK, delta, b.num_rows)
+        sums = np.bincount(code // STRIDE, delta, b.num_rows)
         k_list, back = _lists(code, b.num_rows, (1 + delta) / s)
         yield pa.RecordBatch.from_arrays([b.column("v"), k_list, back, pa.array(sums)], ["v", "k", "s", "raw"])
 
