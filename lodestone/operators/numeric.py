@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.lineage import cut
 from lodestone.functions.portable import portable_hash
 from lodestone.operators.pairs import block_pairs
+from lodestone.operators.tiles import conv_tiles
 
 
 # Scalars
@@ -153,51 +154,82 @@ def to_cells(df: DataFrame, row: str, values: str) -> DataFrame:
 SIDE = 128
 
 
-def _blocks(cells: DataFrame, row: str, column: str, names: tuple[str, str, str]) -> DataFrame:
-    """Cells (i, j, x) by blocks of SIDE x SIDE: the block's row and column, and its cells."""
+def _blocks(cells: DataFrame, row: str, column: str, names: tuple[str, str], side: str) -> DataFrame:
+    """Cells (i, j, x) by blocks of SIDE x SIDE: the block's row and column, and its cells as three arrays. Cells without a value aren't there."""
     at = lambda c: F.floor(F.col(c) / SIDE).cast("long")
     cell = F.struct((F.col(row) - at(row) * SIDE).cast("int").alias("p"), (F.col(column) - at(column) * SIDE).cast("int").alias("q"), F.col("x").cast("double").alias("x"))
-    return cells.groupBy(at(row).alias(names[0]), at(column).alias(names[1])).agg(F.collect_list(cell).alias(names[2]))
+    blocks = cells.filter("x IS NOT NULL").groupBy(at(row).alias(names[0]), at(column).alias(names[1])).agg(F.collect_list(cell).alias("cells"))
+    return blocks.select(*names, *(F.col(f"cells.{c}").alias(f"{side}_{c}") for c in "pqx"))
+
+
+def _dense(batch: pa.RecordBatch, side: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row's block as a full matrix, and where it has cells."""
+    ends = np.asarray(batch.column(f"{side}_p").offsets)
+    ends = ends - ends[0]
+    p, q, x = (batch.column(f"{side}_{c}").flatten().to_numpy() for c in "pqx")
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        full, there = np.zeros((SIDE, SIDE)), np.zeros((SIDE, SIDE))
+        np.add.at(full, (p[a:b], q[a:b]), x[a:b])
+        there[p[a:b], q[a:b]] = 1
+        yield full, there
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """i, j, x of the product of cells (i, j, x); a cell is there where at least one inner index meets. Blocks of SIDE x SIDE cells are joined on the inner block, multiplied in numpy, and their cells summed: SIDE times fewer products are shuffled than cell by cell, and a popular inner index is spread over its blocks."""
-    joined = _blocks(a, "i", "j", ("bi", "bk", "left")).join(_blocks(b, "i", "j", ("bk", "bj", "right")), "bk")
+    joined = _blocks(a, "i", "j", ("bi", "bk"), "left").join(_blocks(b, "i", "j", ("bk", "bj"), "right"), "bk")
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                full, there = [], []
-                for cells in (r.left, r.right):
-                    dense, mask = np.zeros((SIDE, SIDE)), np.zeros((SIDE, SIDE))
-                    p, q, x = (np.array([c[k] for c in cells]) for k in ("p", "q", "x"))
-                    np.add.at(dense, (p, q), x)
-                    mask[p, q] = 1
-                    full.append(dense)
-                    there.append(mask)
-                i, j = np.nonzero(there[0] @ there[1])
-                yield pd.DataFrame({"i": r.bi * SIDE + i, "j": r.bj * SIDE + j, "x": (full[0] @ full[1])[i, j]})
-
-    parts = joined.select("bi", "bj", "left", "right").mapInPandas(multiply, "i long, j long, x double")
+            for bi, bj, (x, in_x), (y, in_y) in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), _dense(batch, "left"), _dense(batch, "right"), strict=True):
+                i, j = np.nonzero(in_x @ in_y)
+                yield pa.RecordBatch.from_arrays([pa.array(bi * SIDE + i), pa.array(bj * SIDE + j), pa.array((x @ y)[i, j])], ["i", "j", "x"])
+
+    parts = joined.drop("bk").mapInArrow(multiply, "i long, j long, x double")
     return parts.groupBy("i", "j").agg(F.sum("x").alias("x"))
 
 
-def gram(cells: DataFrame, width: int) -> DataFrame:
-    """i >= j, x: dot products of the columns of a tall matrix. Each row sends its own products, which are summed before the shuffle; the result has width**2 cells whatever the rows."""
-    rows = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("r"))
-    left = rows.select("r", F.inline("r")).select("r", F.col("j").alias("p"), F.col("x").alias("xp"))
-    both = left.select("p", "xp", F.inline("r")).filter("j <= p")
-    return both.groupBy("p", "j").agg(F.sum(F.col("xp") * F.col("x")).alias("x")).select(F.col("p").alias("i"), "j", "x")
+def gram(rows: DataFrame, values: str, width: int, about: Sequence[float] | None = None) -> DataFrame:
+    """i >= j, x: dot products of the columns of a tall matrix with an array of `width` numbers in every row, each less `about`; column `width` is all ones, so that x(width, j) is the sum of j and x(width, width) the number of rows.
+
+    Every task sums the products of its rows into one matrix: the shuffle carries width**2 / 2 cells a task, whatever the rows. Null arrays are left out; an array of another length raises."""
+    shift = np.zeros(width) if about is None else np.array(about, dtype=float)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for b in batches:
+            x = b.column("x").drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) - shift
+            x = np.hstack([x, np.ones((len(x), 1))])
+            total += x.T @ x
+        i, j = np.tril_indices(width + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(total[i, j])], ["i", "j", "x"])
+
+    return rows.select(F.col(values).cast("array<double>").alias("x")).mapInArrow(task, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
+
+
+def correlation_rows(rows: DataFrame, values: str, width: int) -> DataFrame:
+    """i >= j, r: Pearson's r of the places of an array, over all rows; null where a place is constant. One pass: products of the differences from some row, which are small where values are large, put right by their means."""
+    some = rows.filter(F.col(values).isNotNull()).select(F.col(values).cast("array<double>").alias("x")).head()
+    if some is None:
+        return rows.sparkSession.createDataFrame([], "i long, j long, r double")
+    sums = gram(rows, values, width, some.x).collect()  # width**2 / 2 cells
+    full = np.zeros((width + 1, width + 1))
+    for c in sums:
+        full[c.i, c.j] = full[c.j, c.i] = c.x
+    n, total = full[width, width], full[width, :width]
+    moments = full[:width, :width] - np.outer(total, total) / n
+    own = np.diag(moments).copy()
+    own[own <= 1e-14 * np.diag(full)[:width]] = np.nan  # what is left of a constant place by rounding
+    with np.errstate(all="ignore"):
+        r = moments / np.sqrt(np.outer(own, own))
+    i, j = np.tril_indices(width)
+    cells = pa.table({"i": pa.array(i.astype(np.int64)), "j": pa.array(j.astype(np.int64)), "r": pa.array(r[i, j], from_pandas=True)})
+    return rows.sparkSession.createDataFrame(cells)
 
 
 def correlation_matrix(cells: DataFrame, width: int) -> DataFrame:
-    """i >= j, r: Pearson's r of the series j, each a column of cells (i: observation, j: series); null where a series is constant."""
-    means = cells.groupBy("j").agg(F.avg("x").alias("mean"))
-    centred = cells.join(means, "j").select("i", "j", (F.col("x") - F.col("mean")).alias("x"))
-    dots = gram(centred, width)
-    own = dots.filter("i = j").select(F.col("i").alias("k"), F.sqrt("x").alias("norm"))
-    scaled = dots.join(own, F.col("i") == F.col("k")).withColumnRenamed("norm", "ni").drop("k").join(own, F.col("j") == F.col("k")).withColumnRenamed("norm", "nj").drop("k")
-    return scaled.select("i", "j", F.try_divide("x", F.col("ni") * F.col("nj")).alias("r"))
+    """correlation_rows of the series j, each a column of cells (i: observation, j: series), all of which must be there."""
+    values = F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda c: c.x)
+    return correlation_rows(cells.groupBy("i").agg(values.alias("v")), "v", width)
 
 
 def distance_matrix(rows: DataFrame, key: str, values: str, blocks: int | None = None) -> DataFrame:
@@ -220,11 +252,8 @@ def max_pool(cells: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def conv2d(cells: DataFrame, kernel: Sequence[Sequence[float]], height: int, width: int) -> DataFrame:
-    """n, h, w, x: cells (n, h, w, x) with zero padding under an odd kernel; every cell sends its products to the cells around it."""
-    reach = len(kernel) // 2
-    taps = F.array(*(F.struct(F.lit(reach - p).alias("dh"), F.lit(reach - q).alias("dw"), F.lit(float(v)).alias("k")) for p, r in enumerate(kernel) for q, v in enumerate(r)))
-    sent = cells.select("n", "h", "w", "x", F.inline(taps)).select("n", (F.col("h") + F.col("dh")).alias("h"), (F.col("w") + F.col("dw")).alias("w"), (F.col("x") * F.col("k")).alias("x"))
-    return sent.filter(F.col("h").between(0, height - 1) & F.col("w").between(0, width - 1)).groupBy("n", "h", "w").agg(F.sum("x").alias("x"))
+    """n, h, w, x: cells (n, h, w, x) with zero padding under an odd kernel, on tiles; images that fit a row need no shuffle, see `tiles.conv_rows`."""
+    return conv_tiles(cells, kernel, height, width)
 
 
 def heat_grid(spark: SparkSession, size: int) -> DataFrame:

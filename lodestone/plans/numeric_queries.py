@@ -9,6 +9,7 @@ from lodestone.functions.portable import portable_hash_sql, rounded
 from lodestone.operators import numeric as N
 from lodestone.operators.graph import global_rank, running_sums
 from lodestone.operators.sequences import align_pairs
+from lodestone.operators.tiles import conv_rows, conv_tiles
 from lodestone.plans.tables import Registry, table
 from lodestone.sources.generators import closed_form_vectors as closed_form
 from lodestone.sources.generators import uniform_matrix as uniform_cells
@@ -86,16 +87,18 @@ def cross_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _adam_sql() -> str:
-    out = "s0 AS (SELECT vec_id, embedding[1]::DOUBLE AS w, embedding[2]::DOUBLE AS g, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM embeddings)"
+    """Each dimension's gradient is the next dimension's value, the last one's the first's."""
+    out = f"{_CELLS}, s0 AS (SELECT a.i, a.j, a.x AS w, b.x AS g, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM cells a JOIN cells b ON a.i = b.i AND b.j = (a.j + 1) % 64)"
     for t in range(1, 6):
-        out += f", t{t} AS (SELECT vec_id, w, g, 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g AS m, 0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * g * g AS v FROM s{t - 1}), s{t} AS (SELECT vec_id, w - 0.001::DOUBLE * (m / (1 - power(0.9::DOUBLE, {t}))) / (sqrt(v / (1 - power(0.999::DOUBLE, {t}))) + 1e-8) AS w, g, m, v FROM t{t})"
-    return f"WITH {out} SELECT vec_id, round(w, 9) AS w FROM s5"
+        out += f", t{t} AS (SELECT i, j, w, g, 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g AS m, 0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * g * g AS v FROM s{t - 1}), s{t} AS (SELECT i, j, w - 0.001::DOUBLE * (m / (1 - power(0.9::DOUBLE, {t}))) / (sqrt(v / (1 - power(0.999::DOUBLE, {t}))) + 1e-8) AS w, g, m, v FROM t{t})"
+    return f"WITH {out} SELECT i AS vec_id, j, round(w, 9) AS w FROM s5"
 
 
 @add(_adam_sql())
 def adam_steps(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("w"), F.element_at("embedding", 2).cast("double").alias("g"))
-    return N.adam(e, "w", "g").select("vec_id", rounded(F.col("w"), 9).alias("w"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.posexplode("embedding").alias("j", "w"))
+    g = F.element_at("embedding", (F.col("j") + 1) % F.size("embedding") + 1)
+    return N.adam(e.select("vec_id", F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"), g.cast("double").alias("g")), "w", "g").select("vec_id", "j", rounded(F.col("w"), 9).alias("w"))
 
 
 @add(f"""WITH {_CELLS}, s AS (SELECT j // 16 AS c, avg(x) AS mean, var_pop(x) AS var FROM cells GROUP BY 1)
@@ -121,7 +124,22 @@ _KERNEL = ((0.0, 0.125, 0.0), (0.25, 0.5, 0.0625), (0.0, -0.125, 1.0))
 s AS (SELECT i AS n, j // 8 + 1 - p AS h, j % 8 + 1 - q AS w, x * v AS x FROM cells, k)
 SELECT n, h, w, round(sum(x), 9) AS x FROM s WHERE h BETWEEN 0 AND 7 AND w BETWEEN 0 AND 7 GROUP BY n, h, w""")
 def conv2d(spark: SparkSession, d: str) -> DataFrame:
-    return N.conv2d(_images(spark, d), _KERNEL, 8, 8).select("n", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"), rounded(F.col("x"), 9).alias("x"))
+    """Every vector as an image of 8 x 8."""
+    images = conv_rows(table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), "embedding"), "embedding", _KERNEL, 8, 8)
+    pixels = images.select("n", F.posexplode("embedding").alias("p", "x"))
+    return pixels.select("n", F.floor(F.col("p") / 8).alias("h"), (F.col("p") % 8).cast("long").alias("w"), rounded(F.col("x"), 9).alias("x"))
+
+
+_PLANE = "plane AS (SELECT l_quantity::BIGINT AS h, round(l_discount * 100)::BIGINT AS w, sum(l_extendedprice) / 1000 AS x FROM lineitem GROUP BY 1, 2)"
+
+
+@add(f"""WITH {_PLANE}, k(p, q, v) AS (VALUES {", ".join(f"({p}, {q}, {v}::DOUBLE)" for p, r in enumerate(_KERNEL) for q, v in enumerate(r))}),
+s AS (SELECT h + 1 - p AS h, w + 1 - q AS w, x * v AS x FROM plane, k)
+SELECT 0::BIGINT AS n, h, w, round(sum(x), 6) AS x FROM s WHERE h BETWEEN 0 AND 63 AND w BETWEEN 0 AND 15 GROUP BY h, w""")
+def conv2d_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Sales by quantity and discount as one image, in tiles of 8 x 8."""
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("h"), F.round(F.col("l_discount") * 100).cast("long").alias("w")).agg((F.sum("l_extendedprice") / 1000).alias("x")).withColumn("n", F.lit(0).cast("long"))
+    return conv_tiles(cells, _KERNEL, 64, 16, tile=8).select("n", "h", "w", rounded(F.col("x")).alias("x"))
 
 
 @add("SELECT b AS bin, count(l_quantity) AS n FROM range(64) r(b) LEFT JOIN lineitem ON l_quantity::BIGINT = b GROUP BY b")
@@ -181,7 +199,7 @@ def matmul(spark: SparkSession, d: str) -> DataFrame:
 @add(f"WITH {_CELLS} SELECT a.j AS i, b.j AS j, round(corr(a.x, b.x), 6) AS r FROM cells a JOIN cells b ON a.i = b.i AND b.j <= a.j GROUP BY 1, 2")
 def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Of the embedding's dimensions, over all vectors."""
-    return N.correlation_matrix(_cells(spark, d), 64).select("i", "j", rounded(F.col("r"), 6).alias("r"))
+    return N.correlation_rows(table(spark, d, "embeddings"), "embedding", 64).select("i", "j", rounded(F.col("r"), 6).alias("r"))
 
 
 @add(f"""WITH {_CELLS}, c AS (SELECT label AS k, j, avg(x) AS x FROM cells JOIN embeddings ON vec_id = i GROUP BY 1, 2)
@@ -251,11 +269,13 @@ def column_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("column", rounded(F.col("total"), 3).alias("total"), rounded(F.col("squares"), 1).alias("squares"), "low", "high")
 
 
-@add("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e)
-SELECT vec_id, round((a - ma) / (sa + 1e-8), 6) AS a, round((b - mb) / (sb + 1e-8), 6) AS b FROM e, s""")
+@add(f"WITH {_CELLS}, s AS (SELECT j, avg(x) AS m, stddev_pop(x) AS d FROM cells GROUP BY j) SELECT i AS vec_id, j, round((x - m) / (d + 1e-8), 6) AS x FROM cells JOIN s USING (j)")
 def zscore_features(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("a"), F.element_at("embedding", 2).cast("double").alias("b"))
-    return N.zscore(e, ["a", "b"]).select("vec_id", rounded(F.col("a")).alias("a"), rounded(F.col("b")).alias("b"))
+    """Of all dimensions, side by side."""
+    names = [f"d{j}" for j in range(64)]
+    e = table(spark, d, "embeddings").select("vec_id", *(F.element_at("embedding", j + 1).cast("double").alias(n) for j, n in enumerate(names)))
+    long = N.zscore(e, names).select("vec_id", F.posexplode(F.array(*names)).alias("j", "x"))
+    return long.select("vec_id", F.col("j").cast("long").alias("j"), rounded(F.col("x")).alias("x"))
 
 
 @add(f"""WITH s AS (SELECT min(l_quantity) AS a, max(l_quantity) - min(l_quantity) AS r, min(l_extendedprice) AS b, max(l_extendedprice) - min(l_extendedprice) AS q FROM lineitem)
@@ -311,10 +331,10 @@ def closed_form_vectors(spark: SparkSession, d: str) -> DataFrame:
     return closed_form(spark, 10000)
 
 
-@add(f"SELECT vec_id, CASE WHEN {portable_hash_sql('vec_id', 42)} < 0.5::DOUBLE * 2147483648 THEN 0.0 ELSE embedding[1]::DOUBLE / 0.5 END AS x, embedding[1]::DOUBLE AS same FROM embeddings")
+@add(f"WITH {_CELLS} SELECT i AS vec_id, j, CASE WHEN {portable_hash_sql('i * 64 + j', 42)} < 0.5::DOUBLE * 2147483648 THEN 0.0 ELSE x / 0.5 END AS x, x AS same FROM cells")
 def dropout(spark: SparkSession, d: str) -> DataFrame:
-    x = F.element_at("embedding", 1).cast("double")
-    return table(spark, d, "embeddings").select("vec_id", N.dropout(F.col("vec_id"), x).alias("x"), N.dropout(F.col("vec_id"), x, training=False).alias("same"))
+    c, place = _cells(spark, d), F.col("i") * 64 + F.col("j")
+    return c.select(F.col("i").alias("vec_id"), "j", N.dropout(place, F.col("x")).alias("x"), N.dropout(place, F.col("x"), training=False).alias("same"))
 
 
 @add(_heat_sql(" UNION ALL ".join(f"SELECT {n}::BIGINT AS step, round(sum(t), 9) AS total FROM h{n}" for n in range(1, 9))))

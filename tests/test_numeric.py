@@ -11,6 +11,7 @@ from lodestone.operators import learning as L
 from lodestone.operators import numeric as N
 from lodestone.operators import runs as R
 from lodestone.operators.sequences import smith_waterman
+from lodestone.operators.tiles import conv_rows, conv_tiles
 from lodestone.sources import generators
 from lodestone.streaming.results import stream_results
 
@@ -169,3 +170,44 @@ def test_checkpoint_folder_on_a_cluster():
     session.conf.get.return_value = None
     with pytest.raises(ValueError, match="share"):
         lineage.checkpoint_dir(session)
+
+
+def test_stencil_inside_rows_and_on_tiles(spark):
+    """Both against sums cell by cell; images of a row need no shuffle."""
+    r = np.random.default_rng(3)
+    images = r.integers(-4, 5, (3, 21, 13)).astype(float)
+    kernel = r.integers(-2, 3, (5, 5)).astype(float).tolist()
+    want = np.zeros_like(images)
+    for n, h, w in np.ndindex(*images.shape):
+        for p, q in np.ndindex(5, 5):
+            a, b = h + p - 2, w + q - 2
+            if 0 <= a < 21 and 0 <= b < 13:
+                want[n, h, w] += kernel[p][q] * images[n, a, b]
+    rows = spark.createDataFrame([(n, images[n].ravel().tolist(), "x") for n in range(3)] + [(3, None, "y")], "n long, v array<double>, k string").repartition(2)
+    got = conv_rows(rows, "v", kernel, 21, 13)
+    assert "Exchange" not in conv_rows(spark.range(5).select(F.array_repeat(F.col("id").cast("double"), 4).alias("v")), "v", kernel, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    found = {x.n: x.v for x in got.collect()}
+    assert found[3] is None and all(np.allclose(np.array(found[n]).reshape(21, 13), want[n]) for n in range(3))
+    cells = spark.createDataFrame([(n, h, w, float(images[n, h, w])) for n, h, w in np.ndindex(*images.shape)], "n long, h long, w long, x double")
+    for tile in (2, 4, 7, 64):
+        assert {(c.n, c.h, c.w): c.x for c in conv_tiles(cells, kernel, 21, 13, tile).collect()} == pytest.approx({i: want[i] for i in np.ndindex(*images.shape)})
+    # cells that aren't there: only where the kernel meets some
+    few = conv_tiles(cells.filter("n = 0 AND h = 10 AND w = 6"), kernel, 21, 13, 4).collect()
+    assert {(c.h, c.w) for c in few} == {(h, w) for h in range(8, 13) for w in range(4, 9)}
+    with pytest.raises(ValueError):
+        conv_tiles(cells, kernel, 21, 13, 1)
+
+
+def test_products_of_tall_matrices(spark):
+    x = np.random.default_rng(8).normal(size=(300, 6)) * [1, 10, 0.1, 5, 1, 0] + [1e6, -3, 0, 1e3, 7, 4]
+    x[:, 4] = x[:, 0] * 2
+    rows = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "v array<double>").repartition(5)
+    got = {(c.i, c.j): c.x for c in N.gram(rows, "v", 6).collect()}
+    ones = np.hstack([x, np.ones((300, 1))])
+    assert all(got[i, j] == pytest.approx((ones.T @ ones)[i, j]) for i in range(7) for j in range(i + 1)) and len(got) == 28
+    r = {(c.i, c.j): c.r for c in N.correlation_rows(rows, "v", 6).collect()}
+    want = np.corrcoef(x[:, :5], rowvar=False)
+    assert len(r) == 21 and all(r[5, j] is None for j in range(6)) and all(abs(r[i, j] - want[i, j]) < 1e-9 for i in range(5) for j in range(i + 1))
+    assert N.correlation_rows(rows.filter("false"), "v", 6).count() == 0
+    plan = N.gram(rows, "v", 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 or plan.count("hashpartitioning") == 1
