@@ -5,7 +5,9 @@ the path of the best one: tags and classes from the body down, digits generalise
 path. Pass two takes from every page the containers with its host's winning path, in page order, or those with the path
 of the page's own best where that path isn't there, and returns their blocks without menus, forms, notices, comments and
 the like. The page itself is a container, as a body without its tag; where that has won on a host, each page has its own
-best. A page whose containers have no score (links make up half of every paragraph) gives all its blocks.
+best. A page whose containers have no score (links make up half of every paragraph) gives all its blocks. Of a header
+inside an article, headings stay and the rest (bylines, dates, buttons) goes. An article that goes on in a node beside
+the best one, of the same tag and another class, is that of the node around both.
 
 Edge cases: null or empty html and pages without text give the empty text; a null URL, or one without
 `://`, belongs to the host ''; ties between paths go to the greater score, then to the path first in order; repeated
@@ -15,6 +17,7 @@ is broken off is read as far as it goes, in time in proportion to the page.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,6 +49,9 @@ _BAD = re.compile(
     r"(?:nav\w*|menu\w*|sidebar\w*|side|aside|rail|footer\w*|foot|header|masthead|topbar|ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus\w*|discussion|feedback"
     r"|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|cookies?|consent|gdpr|notices?|alert\w*|warning|popups?|modal\w*|overlay|subscrib\w*|newsletter\w*|signup|login|forms?|search\w*|breadcrumbs?|paginat\w*|pager|widget\w*|tags|tagcloud|skip|copyright|legal|disclaimer|teaser\w*|paywall|toolbar)"
 )
+#: Bad names that an article may have beside a good one: `legal-text`.
+_EITHER = re.compile(r"legal|warning|teaser")
+_HEADINGS, _FRAMES = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"div", "hgroup", "section", "span", "a", "header"}
 _GOOD = re.compile(r"(?:article|post|entry|content|story|main|body|text|prose)(?:s|body|text|content)?")
 _BREAK = re.compile(r"[-_\d]+")
 _LIST = {"ul", "ol", "dl", "table", "div", "section", "article"}
@@ -65,6 +71,10 @@ class Node:
     score: float = 0.0
     depth: int = 0
     fits: int = 0  # how many steps of the path asked for lead here, -1 beside it
+    inside: bool = False  # in an article
+    heads: bool = False  # in an article's header, of which only headings stay
+    plain: int = 0  # characters outside links, of all that stands below
+    linked: int = 0
 
     def step(self) -> str:
         return ".".join((self.tag, *sorted({re.sub(r"\d+", "#", c) for c in self.classes})))
@@ -84,9 +94,11 @@ def _good(classes: tuple[str, ...]) -> bool:
 def _bad_name(names: str) -> bool:
     for name in names.lower().split():
         parts = [x for x in re.split(r"[-_]+", name) if x]
-        if parts and parts[0] in ("has", "with", "no", "is", "not"):
+        if parts and parts[0] in ("has", "no", "is", "not"):
             continue
-        if any(_BAD.fullmatch(re.sub(r"\d+$", "", p)) for p in parts) and not (len(parts) > 1 and _GOOD.fullmatch(parts[-1])):
+        named = list(itertools.takewhile(lambda p: p not in ("with", "without"), parts))
+        bad = [p for p in (re.sub(r"\d+$", "", p) for p in named) if _BAD.fullmatch(p)]
+        if bad and not (_GOOD.fullmatch(parts[-1]) and all(_EITHER.fullmatch(p) for p in bad)):
             return True
     return False
 
@@ -97,11 +109,13 @@ def _node(tag: str, raw: str, parent: Node) -> Node:
         for m in _ATTRIBUTE.finditer(raw):
             attributes.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
     classes = attributes.get("class", "")
-    whole = tag in ("html", "body", "main", "article")
-    dropped = parent.dropped or tag in _DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES
+    own_header = tag == "header" and parent.inside
+    whole = own_header or tag in ("html", "body", "main", "article")
+    heads = own_header or parent.heads and tag in _FRAMES
+    dropped = parent.dropped or (tag in _DROPPED and not own_header) or (parent.heads and not heads and tag not in _HEADINGS and tag not in _VOID) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES
     dropped = dropped or "display:none" in attributes.get("style", "").replace(" ", "").lower() or (not whole and _bad_name(f"{classes} {attributes.get('id', '')}"))
     main = tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody"
-    return Node(tag, tuple(classes.split()), parent, dropped, main, depth=parent.depth + (tag != "html"))
+    return Node(tag, tuple(classes.split()), parent, dropped, main, depth=parent.depth + (tag != "html"), inside=parent.inside or tag == "article", heads=heads)
 
 
 def parse(html: str) -> Node:
@@ -113,7 +127,8 @@ def parse(html: str) -> Node:
 
     def flush() -> None:
         if words:
-            open_nodes[-1].children.append("".join(words))
+            if not open_nodes[-1].heads:
+                open_nodes[-1].children.append("".join(words))
             words.clear()
 
     def close(k: int) -> None:
@@ -236,11 +251,15 @@ def containers(root: Node, path: str | None = None) -> list[Node]:
     measured, holders = [[0, 0] for _ in order], [-1] * len(order)
     for k, (x, up) in enumerate(order):
         holders[k] = k if x.tag in _CONTAINER else holders[up]
-        measured[k][0] = sum(len(c) - c.count(" ") for c in x.children if isinstance(c, str))
+        measured[k][0] = x.plain = sum(len(c) - c.count(" ") for c in x.children if isinstance(c, str))
     for k in range(len(order) - 1, -1, -1):  # characters, and those in links, of a node's own text, without that of containers in it
         x, up = order[k]
         if x.tag == "a":
             measured[k][1] = measured[k][0]
+            x.plain, x.linked = 0, x.plain + x.linked
+        if up >= 0:
+            order[up][0].plain += x.plain
+            order[up][0].linked += x.linked
         if up >= 0 and x.tag not in _CONTAINER:
             measured[up][0] += measured[k][0]
             measured[up][1] += measured[k][1]
@@ -268,16 +287,23 @@ def best_container(found: list[Node]) -> Node | None:
         if up.main and up.score > 0:
             return up
         up = up.parent
-    while best.parent is not None and best.parent.tag in _CONTAINER - {"body"} and _good(best.parent.classes):
+    while best.parent is not None and best.parent.tag in _CONTAINER and (best.parent.tag not in ("body", "#page") and _good(best.parent.classes) or _goes_on(best)):
         best = best.parent
     return best
 
 
+def _goes_on(x: Node) -> bool:
+    """Whether the article goes on in a node beside x: one of its tag, of another class, with at least half its score."""
+    beside = (c for c in x.parent.children if isinstance(c, Node) and c is not x and c.tag == x.tag)
+    return any(not c.dropped and 2 * c.score >= x.score and c.step() != x.step() for c in beside)
+
+
 def text_under(html: str, path: str) -> str:
-    """The blocks of all containers with the path, in page order; of those with a score, if any has one."""
+    """The blocks of all containers with the path, in page order; without those that are nothing but links, if there are others."""
     n = path.count("/") + 1
     fits = [x for x in reversed(containers(parse(html), path)) if x.fits == n]
-    return "\n".join(block for x in [x for x in fits if x.score > 0] or fits for block in text_blocks(x))
+    told = [x for x in fits if x.score > 0 or (x.plain >= 20 and 5 * x.plain >= x.linked)]
+    return "\n".join(block for x in told or fits for block in text_blocks(x))
 
 
 def extract(html: str, path: str | None) -> str:

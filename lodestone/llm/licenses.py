@@ -6,7 +6,8 @@ and ordered licence rules (the first that fits a place wins; longer rules stand
 
 Edge cases: null or empty texts and texts without a known sentence give no row; repeated sentences are repeated in the
 sequence; rows with a repeated or null doc_id are scanned each on its own; other columns are ignored.
-Short tags (`SPDX-License-Identifier: MIT`) are no sentences and give no row.
+Of full licence texts, the title and its date are known, not every clause. A sentence may name any owner where OWNED
+says so. Short tags (`SPDX-License-Identifier: MIT`) are no sentences and give no row.
 """
 
 from __future__ import annotations
@@ -90,8 +91,29 @@ for _short, _name in _CC.items():
     for _k, _form in enumerate(sorted(_forms - set(SENTENCES.values()))):
         SENTENCES[f"cc{_short.replace('-', '')}4.form{_k}"] = _form
         _cc_rules.append((f"cc-{_short}-4.0", (f"cc{_short.replace('-', '')}4.form{_k}",)))
+SENTENCES |= {
+    "bsd.advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "apache.title": "apache license",
+    "apache2.dated": "version 2 0 january 2004",
+    "gpl.title": "gnu general public license",
+    "lgpl.title": "gnu lesser general public license",
+    "agpl.title": "gnu affero general public license",
+    "gpl2.dated": "version 2 june 1991",
+    "lgpl21.dated": "version 2 1 february 1999",
+    "gpl3.dated": "version 3 29 june 2007",
+    "agpl3.dated": "version 3 19 november 2007",
+    "mpl2.title": "mozilla public license version 2 0",
+}
+#: Sentences that name an owner: what fits the pattern in normal form is the sentence of that identifier.
+OWNED: tuple[tuple[str, str], ...] = (
+    ("^neither the names? .{1,200} may be used to endorse or promote products derived from this software.{0,80}$", "bsd.endorse"),
+    ("^nor the names? .{1,100} may be used to endorse or promote products derived from this software.{0,80}$", "bsd.endorse"),  # of `Example Inc. nor the names`, which is cut
+)
+#: Characters of a sentence that names an owner at most.
+LONGEST_OWNED = 400
 #: Licences by their sentence sequences, in the order in which they are tried; {} stands for sentences in a row.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("bsd-4-clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.advert", "bsd.endorse")),
     ("bsd-3-clause", ("bsd.head", "bsd.source", "bsd.binary", "bsd.endorse")),
     ("bsd-2-clause", ("bsd.head", "bsd.source", "bsd.binary")),
     ("mit", ("mit.grant", "mit.keep", "mit.asis")),
@@ -103,6 +125,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("mpl-2.0", ("mpl2.head", "mpl2.copy")),
     ("mpl-2.0", ("mpl2.head", "mpl2.copy2")),
     *(x for x in _gnu_rules if len(x[1]) > 1),
+    ("apache-2.0", ("apache.title", "apache2.dated")),
+    ("gpl-2.0", ("gpl.title", "gpl2.dated")),
+    ("gpl-3.0", ("gpl.title", "gpl3.dated")),
+    ("lgpl-2.1", ("lgpl.title", "lgpl21.dated")),
+    ("lgpl-3.0", ("lgpl.title", "gpl3.dated")),
+    ("agpl-3.0", ("agpl.title", "agpl3.dated")),
     ("mit", ("mit.notice",)),
     ("mit", ("mit.notice2",)),
     ("apache-2.0", ("apache2.notice",)),
@@ -119,6 +147,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("gpl-3.0-or-later", ("gpl.free",)),
     ("mpl-2.0", ("mpl2.head",)),
     ("mpl-1.1", ("mpl11.notice",)),
+    ("mpl-2.0", ("mpl2.title",)),
     *(x for x in _gnu_rules if len(x[1]) == 1),
     *_cc_rules,
     ("isc", ("isc.grant",)),
@@ -137,6 +166,14 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def owned(c: Column, sentences: Mapping[str, str] = SENTENCES) -> Column:
+    """A sentence in normal form, with known wording for those that name an owner."""
+    for pattern, known in OWNED:
+        if known in sentences:
+            c = F.when(c.rlike(pattern), F.lit(sentences[known])).otherwise(c)
+    return c
+
+
 def fragments(text: Column) -> Column:
     """Sentences: text up to `.`, `!`, `?`, `:` or `;` before white space, or an empty line."""
     marked = F.regexp_replace(text, r"([.!?:;])[ \t\r\n]+|\n[ \t\r]*\n", "$1\x01")
@@ -150,14 +187,14 @@ def sentence_table(spark: SparkSession, sentences: Mapping[str, str]) -> DataFra
 
 def sentence_hits(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES) -> DataFrame:
     """row (a number of the row), doc_id, at, line, sentence_id; line -1: the whole sentence, else one of its lines, where that isn't the sentence itself."""
-    longest, shortest = max(map(len, sentences.values())), min(map(len, sentences.values()))
+    longest, shortest = max(*map(len, sentences.values()), LONGEST_OWNED), min(map(len, sentences.values()))
     numbered = docs.filter("text IS NOT NULL").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     cut = numbered.select("doc_id", "row", F.posexplode(fragments(F.col("text"))).alias("at", "part"))
     lines = F.when(F.instr("part", "\n") > 0, F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
     sized = lambda c: F.length(c) >= shortest
     normed = F.transform(lines, lambda x: F.when(sized(x), normal(x)).otherwise(""))
     split = cut.filter(sized("part")).select("row", "doc_id", "at", normed.alias("all")).select("row", "doc_id", "at", F.col("all")[0].alias("whole"), F.posexplode("all").alias("line", "sentence"))
-    near = split.filter(((F.col("line") == 0) | (F.col("sentence") != F.col("whole"))) & F.length("sentence").between(shortest, longest))
+    near = split.filter(((F.col("line") == 0) | (F.col("sentence") != F.col("whole"))) & F.length("sentence").between(shortest, longest)).withColumn("sentence", owned(F.col("sentence"), sentences))
     return near.join(F.broadcast(sentence_table(docs.sparkSession, sentences)), "sentence").select("row", "doc_id", "at", (F.col("line") - 1).alias("line"), "sentence_id")
 
 

@@ -139,6 +139,7 @@ FROM b"""
 
 
 def _sql9() -> str:
+    owners = " ".join(f"WHEN regexp_matches(plain, '{p}') THEN '{licenses.SENTENCES[k]}'" for p, k in licenses.OWNED)
     known = ", ".join(f"('{s}', '{k}')" for k, s in licenses.SENTENCES.items())
     sequence, found, rest = [], [], "seq"
     for n, (name, ids) in enumerate(licenses.RULES):
@@ -153,8 +154,9 @@ cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?:;])[ \t\r\n]+|\n
 part AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM cut),
 line AS (SELECT doc_id, pos, -1 AS line, part AS piece, part FROM part
          UNION ALL SELECT doc_id, pos, unnest(range(len(string_split(part, chr(10))))) AS line, unnest(string_split(part, chr(10))) AS piece, part FROM part WHERE contains(part, chr(10))),
-normed AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS sentence, part FROM line),
-hits AS (SELECT doc_id, pos, line, sentence_id FROM normed JOIN known USING (sentence) WHERE line = -1 OR sentence <> trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+normed AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS plain, part FROM line),
+told AS (SELECT *, CASE {owners} ELSE plain END AS sentence FROM normed),
+hits AS (SELECT doc_id, pos, line, sentence_id FROM told JOIN known USING (sentence) WHERE line = -1 OR plain <> trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
 seqs AS (SELECT doc_id, count(*) AS n_sentences, string_agg(sentence_id, ',' ORDER BY pos, line, sentence_id) AS sentence_ids,
                 string_agg(',' || sentence_id || ',', '' ORDER BY pos, line, sentence_id) AS seq FROM hits GROUP BY doc_id),
 {", ".join(sequence)}
