@@ -10,6 +10,7 @@ from lodestone.functions.portable import portable_hash_sql, rounded
 from lodestone.operators import forest
 from lodestone.operators import graph as G
 from lodestone.operators import learning as L
+from lodestone.operators.endtoend import analyse
 from lodestone.operators.numeric import zscore
 from lodestone.plans.tables import Registry, table
 from lodestone.sources import graphs as S
@@ -183,12 +184,7 @@ def log_degree_scores(spark: SparkSession, d: str) -> DataFrame:
 @add(None)
 def end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """From lines to evaluation: graph, four features, z-scores, labels by degree, a forest and its accuracy and macro means on a held-out fifth."""
-    g = _settled(spark, d)
-    features = ["degree_centrality", "pagerank", "clustering", "betweenness"]
-    scaled = zscore(G.extract_features(g, [G.degree_centrality, lambda x: G.pagerank(x, tolerance=0.0, max_iter=ROUNDS), G.clustering_coefficient, lambda x: G.betweenness(x, SOURCES)]), features)
-    data = cut(G.train_test_split(scaled.join(G.label_bins(G.log_degree(g), "score"), "v"), "v"))
-    model = L.Forest(trees=30, max_depth=10).fit(data.filter("NOT is_test"), features, "label", 5)
-    return L.macro(model.predict(data.filter("is_test"), ["label"]).select(F.col("label").alias("y_true"), "y_pred"), 5)
+    return analyse(lambda: _graph(spark, d), trees=30, samples=SOURCES, rounds=ROUNDS, tolerance=0.0).metrics()
 
 
 @add(f"WITH {_BASE} SELECT v, deg, CASE WHEN deg > 8 THEN 'cpu' ELSE 'gpu' END AS side FROM deg")
