@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -282,9 +283,8 @@ def heat_steps(grid: DataFrame, size: int, steps: int) -> DataFrame:
     return grid
 
 
-def lennard_jones(particles: DataFrame, blocks: int | None = None) -> DataFrame:
-    """a < b, energy, fx, fy, fz: of every pair of particles (id, x, y, z), the force on a; null where both are at one place."""
-    pairs = block_pairs(particles, "id", blocks)
+def _energies(pairs: DataFrame) -> DataFrame:
+    """a, b, energy, fx, fy, fz of pairs of particles (a, b), the force on a; null where both are at one place."""
     d = {c: F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"}
     r2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
     near = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *(d[c].alias(f"d{c}") for c in "xyz"), F.try_divide(F.lit(1.0), r2).alias("i2")).withColumn("i6", F.col("i2") * F.col("i2") * F.col("i2"))
@@ -292,8 +292,50 @@ def lennard_jones(particles: DataFrame, blocks: int | None = None) -> DataFrame:
     return near.select("a", "b", (4 * F.col("i6") * (F.col("i6") - 1)).alias("energy"), *((pull * F.col(f"d{c}")).alias(f"f{c}") for c in "xyz"))
 
 
-def forces(particles: DataFrame, blocks: int | None = None) -> DataFrame:
-    """id, fx, fy, fz: the sum over all partners, equal and opposite on both of a pair."""
-    pairs = lennard_jones(particles, blocks)
+def lennard_jones(particles: DataFrame, blocks: int | None = None) -> DataFrame:
+    """a < b, energy, fx, fy, fz: of every pair of particles (id, x, y, z), the force on a; null where both are at one place."""
+    return _energies(block_pairs(particles, "id", blocks))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """id, fx, fy, fz: sums of equal and opposite forces on both of a pair."""
     both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("id"), "fx", "fy", "fz"), F.struct(F.col("b").alias("id"), (-F.col("fx")).alias("fx"), (-F.col("fy")).alias("fy"), (-F.col("fz")).alias("fz")))))
     return both.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"))
+
+
+def forces(particles: DataFrame, blocks: int | None = None) -> DataFrame:
+    """id, fx, fy, fz: the sum over all partners, equal and opposite on both of a pair."""
+    return _both_ways(lennard_jones(particles, blocks))
+
+
+#: Particles of a cell of space that a task lays beside another cell's at most.
+CELL_ROWS = 2000
+
+
+def near_pairs(particles: DataFrame, cutoff: float) -> DataFrame:
+    """a < b (structs of particles): those no farther apart than the cutoff, which are in the same cell of space or in neighbouring ones. A cell of more than CELL_ROWS particles is shared out: its rows meet others in parts, so that no task holds all of them."""
+    at = F.struct(*(F.floor(F.col(c) / cutoff).cast("long").alias(f"c{c}") for c in "xyz"))
+    placed = particles.select(F.struct("id", *"xyz").alias("p"), at.alias("cell"))
+    shares = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("shares"))
+    own = placed.join(shares, "cell").select(F.col("p").alias("a"), "cell", F.pmod(F.xxhash64("p.id"), F.col("shares")).cast("int").alias("share"))
+    steps = F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"d{c}") for c, d in zip("xyz", step, strict=True))) for step in itertools.product((-1, 0, 1), repeat=3)))
+    around = placed.select("p", "cell", F.explode(steps).alias("d")).select(F.col("p").alias("b"), F.struct(*((F.col(f"cell.c{c}") + F.col(f"d.d{c}")).alias(f"c{c}") for c in "xyz")).alias("cell"))
+    sent = around.join(shares, "cell").select("b", "cell", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    r2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"), F.lit(0.0))
+    return own.join(sent, ["cell", "share"]).filter((F.col("a.id") < F.col("b.id")) & (r2 <= cutoff * cutoff)).select("a", "b")
+
+
+def lennard_jones_near(particles: DataFrame, cutoff: float) -> DataFrame:
+    """One row: pairs no farther apart than the cutoff, their energy, and left_out, a bound on how much all other pairs together could add or take: beyond 2^(1/6), where the curve only rises towards 0, a pair has at most the depth at the cutoff."""
+    if cutoff < 2 ** (1 / 6):
+        raise ValueError("the cutoff must lie beyond the curve's lowest point")
+    n = particles.count()
+    total = _energies(near_pairs(particles, cutoff)).agg(F.count("*").alias("pairs"), F.coalesce(F.sum("energy"), F.lit(0.0)).alias("energy"))
+    depth = 4 * (cutoff**-6 - cutoff**-12)
+    return total.select("pairs", "energy", ((F.lit(n * (n - 1) / 2) - F.col("pairs")) * depth).alias("left_out"))
+
+
+def forces_near(particles: DataFrame, cutoff: float) -> DataFrame:
+    """id, fx, fy, fz of every particle: the sum over partners no farther than the cutoff; 0 without any."""
+    pairs = _energies(near_pairs(particles, cutoff))
+    return particles.select("id").join(_both_ways(pairs), "id", "left").select("id", *(F.coalesce(f"f{c}", F.lit(0.0)).alias(f"f{c}") for c in "xyz"))

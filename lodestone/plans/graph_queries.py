@@ -360,6 +360,11 @@ def per_class_metrics(spark: SparkSession, d: str) -> DataFrame:
     return L.per_class(_predicted(spark, d), 2).select("class", *(rounded(F.col(c), 9).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
+@add(f"WITH {_CLASS} SELECT class, printf('%d %.4f %.4f %.4f %d', class, precision, recall, f1, support) AS line FROM z")
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    return L.format_report(L.per_class(_predicted(spark, d), 2))
+
+
 @add(f"WITH {_CLASS} SELECT (SELECT round(avg((y_true = y_pred)::INT), 9) FROM p) AS accuracy, round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1 FROM z")
 def macro_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = L.macro(_predicted(spark, d), 2)

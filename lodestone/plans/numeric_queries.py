@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.portable import portable_hash_sql, rounded
 from lodestone.operators import numeric as N
 from lodestone.operators.graph import global_rank, running_sums
-from lodestone.operators.sequences import align_pairs
+from lodestone.operators.sequences import align_above, align_pairs
 from lodestone.operators.tiles import conv_rows, conv_tiles
 from lodestone.plans.tables import Registry, table
 from lodestone.sources.generators import closed_form_vectors as closed_form
@@ -226,6 +226,25 @@ def lj_energy(spark: SparkSession, d: str) -> DataFrame:
     return N.lennard_jones(_particles(spark, d)).agg(rounded(F.sum("energy"), 6).alias("energy"))
 
 
+_CUTOFF = 3.5
+
+
+@add(f"""WITH {_SPOTS}, {_PAIR}, n AS (SELECT count(*) AS n FROM p), t AS (SELECT count(*) AS pairs, coalesce(sum(4 * i2 * i2 * i2 * (i2 * i2 * i2 - 1)), 0) AS energy FROM e WHERE dx * dx + dy * dy + dz * dz <= {_CUTOFF * _CUTOFF}::DOUBLE)
+SELECT pairs, round(energy, 6) AS energy, round((n * (n - 1) / 2 - pairs) * {4 * (_CUTOFF**-6 - _CUTOFF**-12)!r}::DOUBLE, 6) AS left_out FROM t, n""")
+def lj_energy_near(spark: SparkSession, d: str) -> DataFrame:
+    """Of pairs within a cutoff, found cell by cell."""
+    e = N.lennard_jones_near(_particles(spark, d), _CUTOFF)
+    return e.select("pairs", rounded(F.col("energy"), 6).alias("energy"), rounded(F.col("left_out"), 6).alias("left_out"))
+
+
+@add(f"""WITH {_SPOTS}, {_PAIR}, f AS (SELECT a, b, dx, dy, dz, 24 * i2 * i2 * i2 * i2 * (2 * i2 * i2 * i2 - 1) AS s FROM e WHERE dx * dx + dy * dy + dz * dz <= {_CUTOFF * _CUTOFF}::DOUBLE),
+g AS (SELECT id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM p UNION ALL SELECT a, s * dx, s * dy, s * dz FROM f UNION ALL SELECT b, -s * dx, -s * dy, -s * dz FROM f)
+SELECT id, round(sum(x), 6) + 0.0 AS fx, round(sum(y), 6) + 0.0 AS fy, round(sum(z), 6) + 0.0 AS fz FROM g GROUP BY id""")
+def lj_forces_near(spark: SparkSession, d: str) -> DataFrame:
+    f = N.forces_near(_particles(spark, d), _CUTOFF)
+    return f.select("id", *(rounded(F.col(c), 6).alias(c) for c in ("fx", "fy", "fz")))
+
+
 @add(f"""WITH {_SPOTS}, {_PAIR}, f AS (SELECT a, b, dx, dy, dz, 24 * i2 * i2 * i2 * i2 * (2 * i2 * i2 * i2 - 1) AS s FROM e),
 g AS (SELECT a AS id, s * dx AS x, s * dy AS y, s * dz AS z FROM f UNION ALL SELECT b, -s * dx, -s * dy, -s * dz FROM f)
 SELECT id, round(sum(x), 6) + 0.0 AS fx, round(sum(y), 6) + 0.0 AS fy, round(sum(z), 6) + 0.0 AS fz FROM g GROUP BY id""")
@@ -291,6 +310,12 @@ def smith_waterman(spark: SparkSession, d: str) -> DataFrame:
     return align_pairs(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("s")))
 
 
+@add(None)
+def smith_waterman_above(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the benchmark's items whose alignment scores at least four fifths of the shorter's best."""
+    return align_above(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("s")), 0.8)
+
+
 @add(f"WITH {_CELLS} SELECT i AS vec_id, CAST(min(j) AS BIGINT) AS argmax FROM cells JOIN (SELECT i AS m, max(x) AS top FROM cells GROUP BY i) ON i = m AND x = top GROUP BY i")
 def argmax_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", N.argmax(F.col("embedding")).cast("long").alias("argmax"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.lineage import checkpoint_dir
 from lodestone.functions.portable import rounded
 from lodestone.operators import runs as R
 from lodestone.plans.tables import Registry, table
+from lodestone.sources.logs import read_runs, write_runs
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -27,6 +31,14 @@ def perf_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.select("threads", "vertices", rounded(F.col("avg_ms")).alias("avg_ms"), "best_ms", "edges", rounded(F.col("throughput")).alias("throughput"), *(rounded(F.col(c), 9).alias(c) for c in ("avg_accuracy", "avg_f1")))
 
 
+@add(f"WITH {_RUNS} SELECT run, threads, vertices, total_ms, edges, accuracy, f1 FROM runs")
+def runs_as_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The runs, written as CSV in the shared folder and read back."""
+    runs, path = _runs(spark, d), f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    write_runs(runs, path)
+    return read_runs(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema))
+
+
 @add(f"WITH {_RUNS} SELECT s.threads, s.vertices, round(s.avg_ms, 6) AS avg_ms, round(coalesce(b.avg_ms / s.avg_ms, 0), 6) AS speedup, round(coalesce(b.avg_ms / s.avg_ms, 0) / s.threads, 6) AS efficiency FROM s LEFT JOIN s b ON b.vertices = s.vertices AND b.threads = 1")
 def speedup_efficiency(spark: SparkSession, d: str) -> DataFrame:
     s = R.efficiency(_runs(spark, d))

@@ -10,7 +10,7 @@ from lodestone.functions import lineage
 from lodestone.operators import learning as L
 from lodestone.operators import numeric as N
 from lodestone.operators import runs as R
-from lodestone.operators.sequences import smith_waterman
+from lodestone.operators.sequences import align_above, smith_waterman
 from lodestone.operators.tiles import conv_rows, conv_tiles
 from lodestone.sources import generators
 from lodestone.streaming.results import stream_results
@@ -211,3 +211,39 @@ def test_products_of_tall_matrices(spark):
     assert N.correlation_rows(rows.filter("false"), "v", 6).count() == 0
     plan = N.gram(rows, "v", 6)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 or plan.count("hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("crowd", [2000, 7])
+def test_pairs_within_a_cutoff(spark, monkeypatch, crowd):
+    """The same pairs as of all with all, with cells shared out or not; the bound holds what is left out."""
+    monkeypatch.setattr(N, "CELL_ROWS", crowd)
+    r = np.random.default_rng(6)
+    spots = np.vstack([r.normal(size=(60, 3)) * 4, r.normal(size=(60, 3)) * 0.6 + 9, [[9, 9, 9]] * 2])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(spots)], "id long, x double, y double, z double")
+    d = np.sqrt(((spots[:, None] - spots[None]) ** 2).sum(axis=2))
+    want = {(i, j) for i in range(122) for j in range(i + 1, 122) if d[i, j] <= 2.5}
+    assert sorted((p.a.id, p.b.id) for p in N.near_pairs(df, 2.5).collect()) == sorted(want)
+    apart = df.filter("id < 120")
+    near, whole = N.lennard_jones_near(apart, 2.5).first(), N.lennard_jones(apart).agg(F.sum("energy")).first()[0]
+    assert near.pairs == sum(j < 120 for _, j in want) and abs(whole - near.energy) <= near.left_out < 0.01 * 120 * 120
+    wide = {f.id: (f.fx, f.fy, f.fz) for f in N.forces_near(apart, 100.0).collect()}
+    assert all(wide[f.id] == pytest.approx((f.fx, f.fy, f.fz)) for f in N.forces(apart).collect()) and len(wide) == 120
+    assert N.lennard_jones_near(df.filter("false"), 2.5).first().energy == 0
+    with pytest.raises(ValueError):
+        N.lennard_jones_near(df, 1.0)
+
+
+@pytest.mark.parametrize("share", [0.6, 0.8, 0.95])
+def test_seeds_miss_no_alignment(spark, share):
+    """Against the alignment of all pairs: mutated copies, pieces of others, common and short sequences."""
+    r = __import__("random").Random(11)
+    texts = ["".join(r.choices("abcd", k=n)) for n in (60, 45, 33, 20, 12, 7, 3, 2, 1)]
+    for t in texts[:5]:
+        for rate in (0.02, 0.05, 0.1, 0.2):
+            texts.append("".join("" if r.random() < rate / 2 else r.choice("abcd") if r.random() < rate else c for c in t))
+        texts += [t[3:25], t[::-1], "aaaa" + t[10:30] + "bb"]
+    texts += ["a" * 30, "a" * 25 + "b", "ab" * 12, "é" * 9, "", None, "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string").repartition(3)
+    want = {(a, b, smith_waterman(x, y)) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and x and y and smith_waterman(x, y) >= 2 * min(len(x), len(y)) * share - 1e-9}
+    got = [tuple(p) for p in align_above(df, share).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
