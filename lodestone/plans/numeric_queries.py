@@ -312,8 +312,9 @@ def smith_waterman(spark: SparkSession, d: str) -> DataFrame:
 
 @add(None)
 def smith_waterman_above(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of the benchmark's items whose alignment scores at least four fifths of the shorter's best."""
-    return align_above(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("s")), 0.8)
+    """Pairs of the parts' names and types whose alignment scores at least nine tenths of the shorter's best."""
+    parts = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_type").alias("s")).agg(F.min("p_partkey").alias("id"))
+    return align_above(parts, 0.9)
 
 
 @add(f"WITH {_CELLS} SELECT i AS vec_id, CAST(min(j) AS BIGINT) AS argmax FROM cells JOIN (SELECT i AS m, max(x) AS top FROM cells GROUP BY i) ON i = m AND x = top GROUP BY i")
