@@ -158,7 +158,7 @@ def from_every_source(g: Graph, n: int, sources: DataFrame, n_sources: int) -> D
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["v", "raw"])
 
-    parts = min(n_sources, 2 * spark.sparkContext.defaultParallelism)
+    parts = max(1, min(n_sources, 2 * spark.sparkContext.defaultParallelism))
     return sources.select("v").repartition(parts, "v").mapInArrow(task, "v long, raw double").groupBy("v").agg(F.sum("raw").alias("raw"))
 
 

@@ -127,9 +127,10 @@ def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> list[B
     return found
 
 
-def binned(df: DataFrame, columns: Sequence[str], label: str, bins: list[Bins], key: Column | None = None, fold: Column | None = None) -> DataFrame:
-    """key, fold, label and bins (a byte per column), written once. Rows without a label stay out; null and NaN values lie in a bin beyond all others. Without a key, rows are numbered."""
-    rows = df.filter(F.col(label).isNotNull()).select((key if key is not None else F.monotonically_increasing_id()).cast("long").alias("key"), (fold if fold is not None else F.lit(-1)).cast("int").alias("fold"), F.col(label).cast("int").alias("label"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)))
+def binned(df: DataFrame, columns: Sequence[str], label: str, bins: list[Bins], classes: int, key: Column | None = None, fold: Column | None = None) -> DataFrame:
+    """key, fold, label and bins (a byte per column), written once. Rows without a label stay out, one that isn't from 0 to classes - 1 raises; null keys count as 0; null and NaN values lie in a bin beyond all others. Without a key, rows are numbered."""
+    known = F.when(F.col(label).between(0, classes - 1), F.col(label).cast("int")).otherwise(F.raise_error(F.lit(f"labels must be from 0 to {classes - 1}")).cast("int"))
+    rows = df.filter(F.col(label).isNotNull()).select(F.coalesce(key if key is not None else F.monotonically_increasing_id(), F.lit(0)).cast("long").alias("key"), (fold if fold is not None else F.lit(-1)).cast("int").alias("fold"), known.alias("label"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -173,7 +173,7 @@ class Forest:
         """Fits on all rows with a label (0 to k - 1). key: a column of distinct numbers from 0 on, by which rows are drawn; without one, rows are numbered as they lie."""
         self.columns, self.k = list(columns), k
         self.cuts = forest.bin_edges(df, columns, self.bins)
-        rows = forest.binned(df, columns, label, self.cuts, None if key is None else F.col(key))
+        rows = forest.binned(df, columns, label, self.cuts, k, None if key is None else F.col(key))
         self.nodes = forest.grow(rows, self._specs(), self._rules(columns, k))
         return self
 
@@ -189,7 +189,7 @@ def cross_validate(df: DataFrame, key: str, columns: Sequence[str], label: str,
     """y_true, y_pred of every row, each predicted by the forest of the other folds. All folds' trees are grown in the same jobs: a tree draws no row of its fold."""
     model, dealt = Forest(seed=seed, **options), cut(kfold(df, key, folds, seed))
     cuts = forest.bin_edges(dealt, columns, model.bins)
-    rows = forest.binned(dealt, columns, label, cuts, F.col(key), F.col("fold"))
+    rows = forest.binned(dealt, columns, label, cuts, k_classes, F.col(key), F.col("fold"))
     specs = model._specs(folds)
     grown = forest.grow(rows, specs, model._rules(columns, k_classes))
     trees = [(s.without, forest.fitted(t, cuts)) for s, t in zip(specs, grown, strict=True)]

@@ -292,7 +292,7 @@ def _drawn_sql(tree: int, share: float = 0.8, seed: int = 42) -> str:
     return f"(SELECT list_sum(list_transform({forest.poisson_steps(share)}, lambda s: (h >= s)::BIGINT)) FROM (SELECT {h} AS h))"
 
 
-_FLAGGED = f"lines AS (SELECT {', '.join(_LINE_KEYS)}, l_quantity, l_discount, l_tax, strpos('ANR', l_returnflag)::BIGINT - 1 AS y FROM lineitem)"
+_FLAGGED = f"lines AS MATERIALIZED (SELECT row_number() OVER () AS i, {', '.join(_LINE_KEYS)}, l_quantity, l_discount, l_tax, strpos('ANR', l_returnflag)::BIGINT - 1 AS y FROM lineitem)"
 
 
 def _flagged(spark: SparkSession, d: str) -> DataFrame:
@@ -308,13 +308,13 @@ def tree_depth_four(spark: SparkSession, d: str) -> DataFrame:
     return model.predict(lines, _LINE_KEYS).select(*_LINE_KEYS, "y_pred")
 
 
-_VOTES = ", ".join(f"v{t} AS (SELECT {', '.join(_LINE_KEYS)}, p FROM t{t}x)" for t in range(3))
+_VOTES = ", ".join(f"v{t} AS (SELECT i, {', '.join(_LINE_KEYS)}, p FROM t{t}x)" for t in range(3))
 _BALLOT = " UNION ALL ".join(f"SELECT * FROM v{t}" for t in range(3))
 
 
 @add(f"""WITH {_FLAGGED}, {", ".join(_tree_sql(f"t{t}x", "lines", _drawn_sql(t), 3) for t in range(3))}, {_VOTES},
-n AS (SELECT {", ".join(_LINE_KEYS)}, p, count(*) AS n FROM ({_BALLOT}) GROUP BY ALL)
-SELECT {", ".join(_LINE_KEYS)}, p AS y_pred, round(n / sum(n) OVER (PARTITION BY {", ".join(_LINE_KEYS)}), 9) AS share FROM n QUALIFY row_number() OVER (PARTITION BY {", ".join(_LINE_KEYS)} ORDER BY n DESC, p) = 1""")
+n AS (SELECT i, {", ".join(_LINE_KEYS)}, p, count(*) AS n FROM ({_BALLOT}) GROUP BY ALL)
+SELECT {", ".join(_LINE_KEYS)}, p AS y_pred, round(n / sum(n) OVER (PARTITION BY i), 9) AS share FROM n QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, p) = 1""")
 def forest_votes(spark: SparkSession, d: str) -> DataFrame:
     """The class that most of three trees give a line, and the share of them."""
     lines = _flagged(spark, d)

@@ -93,6 +93,10 @@ def test_odd_values_and_tables(spark):
     assert all(t[1].feature == -1 and t[1].label == 1 for t in flat.nodes) and set(flat.importances().values()) == {0.0}
     none = L.Forest(trees=2).fit(df.filter("false"), ["x", "y"], "label", 2)
     assert [t[1] for t in none.nodes] == [T.Node(*T.NO_SPLIT, 0, 0)] * 2 and {r.y_pred for r in none.predict(df, ["x"]).collect()} == {0}
+    with pytest.raises(Exception, match="labels must be"):
+        L.Forest(trees=1).fit(df, ["x", "y"], "label", 1)
+    gaps = df.withColumn("key", F.when(F.col("y") > 1, F.col("y")).cast("long"))
+    assert L.Forest(trees=1, min_leaf=1).fit(gaps, ["x", "y"], "label", 2, "key").nodes[0][1].n > 0
     with pytest.raises(ValueError):
         T.grow(df, [T.Spec(0, 1)], T.Rules(2, 2, 61, 5, 1, None), 1)
 
@@ -127,6 +131,4 @@ def test_forest_tells_degree_classes_of_a_grown_graph(spark):
     data = G.train_test_split(labelled, "v")
     model = L.Forest(trees=30).fit(data.filter("NOT is_test"), features, "label", 5, "v")
     held_out = model.predict(data.filter("is_test"), ["label"]).select(F.col("label").alias("y_true"), "y_pred")
-    got = L.macro(held_out, 5).first()
-    print(got)
-    assert got.macro_f1 > 0.6
+    assert L.macro(held_out, 5).first().macro_f1 > 0.6

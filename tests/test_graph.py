@@ -62,7 +62,7 @@ def test_loops_count_as_neighbours_only(spark):
 def test_empty_and_negative(spark):
     g = graph(spark, [])
     assert G.degrees(g).count() == 0 and G.pagerank(g).count() == 0 and G.graph_stats(g).first().n_vertices == 0
-    assert G.adaptive_threshold(g).count() == 0
+    assert G.adaptive_threshold(g).count() == 0 and G.betweenness(g).count() == 0
     with pytest.raises(ValueError):
         graph(spark, [(-1, 2)])
     with pytest.raises(ValueError):
