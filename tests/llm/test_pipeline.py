@@ -35,7 +35,7 @@ def test_pipeline(spark):
     assert 0 < len(out) < len(docs) and len({r.doc_id for r in out}) == len(out)
     assert all(r.n_tokens == len(r.ids) and r.ids[0] == 1 and r.ids[-1] == 2 for r in out)
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "benchmark decontamination", "secret redaction", "token ids"]
-    assert "pipeline" in entry.queries() and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in entry.queries() and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def brute_pipeline(docs, items):
