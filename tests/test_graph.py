@@ -114,6 +114,11 @@ def test_workload_limit_moves_the_largest_ids(spark):
     assert side == {0: "cpu", 1: "gpu", 2: "gpu", 3: "gpu", 4: "cpu", 5: "cpu"}
 
 
+def test_workload_has_no_limit_unless_one_is_given(spark):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1)], "src long, dst long"), n=1_000_002, checked=True)
+    assert {r.side: r["count"] for r in G.workload_split(g).groupBy("side").count().collect()} == {"gpu": 1_000_002}
+
+
 def test_directed_clustering_equals_brute_force(spark):
     r = random.Random(5)
     arcs = {(r.randrange(25), r.randrange(25)) for _ in range(160)} | {(0, k) for k in range(1, 25)}
