@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -303,9 +304,83 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"))
 
 
+#: Particles of a block of `met`; a task lays a tile of TILE_ROWS of them beside another block.
+PARTICLES, TILE_ROWS = 4000, 128
+_POINTS = ("id", "x", "y", "z")
+
+
+def _meet(p: list[np.ndarray], q: list[np.ndarray]) -> tuple[float, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of two blocks (ids, x, y, z), but for those of one id or at one place: energy, number, forces on either block's particles (3 x rows) and the pairs that those have."""
+    energy, on_p, on_q, n_p, n_q = 0.0, np.zeros((3, len(p[0]))), np.zeros((3, len(q[0]))), np.zeros(len(p[0]), np.int64), np.zeros(len(q[0]), np.int64)
+    for at in range(0, len(p[0]), TILE_ROWS):
+        tile = slice(at, at + TILE_ROWS)
+        d = [u[tile, None] - v[None] for u, v in zip(p[1:], q[1:], strict=True)]
+        r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        there = (p[0][tile, None] != q[0][None]) & (r2 != 0)
+        i2 = np.divide(1.0, r2, out=np.zeros_like(r2), where=there)
+        i6 = i2 * i2 * i2
+        energy += float((4 * i6 * (i6 - 1)).sum())
+        pull = 24 * i2 * i6 * (2 * i6 - 1)
+        n_p[tile] = there.sum(1)
+        n_q += there.sum(0)
+        for k in range(3):
+            if not there.all():
+                d[k][~there] = 0.0
+            force = pull * d[k]
+            on_p[k, tile] = force.sum(1)
+            on_q[k] -= force.sum(0)
+    return energy, int(n_p.sum()), on_p, on_q, n_p, n_q
+
+
+def _met(particles: DataFrame, blocks: int | None, work: Callable[[list[np.ndarray], list[np.ndarray] | None], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `work` makes of every two blocks of particles (id, x, y, z), or of one with itself (None). A row holds a block, so that pairs are formed in numpy and none is shuffled."""
+    spark = particles.sparkSession
+    rows = particles.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in "xyz")).dropna()
+    if blocks is None:
+        blocks = max(math.ceil(rows.count() / PARTICLES), math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    own = F.pmod(F.xxhash64(*_POINTS), F.lit(blocks)).cast("long")
+    packed = rows.groupBy(own.alias("own")).agg(F.collect_list(F.struct(*_POINTS)).alias("p")).select("own", *(F.col(f"p.{c}").alias(c) for c in _POINTS))
+    sent = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"), "own", *_POINTS)
+    meet = F.least("own", "other") * blocks + F.greatest("own", "other")
+    pairs = sent.select(meet.alias("meet"), (F.col("own") == F.col("other")).alias("alone"), *_POINTS).repartition(min(1000, blocks * (blocks + 1) // 2), "meet").groupBy("meet", "alone").agg(F.collect_list(F.struct(*_POINTS)).alias("sides"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                sides = b.column("sides")[i].values
+                held = [[sides.field(c)[k].values.to_numpy() for c in _POINTS] for k in range(len(sides))]
+                if b.column("alone")[i].as_py():
+                    yield work(held[0], None)
+                elif len(held) == 2:  # the other block may be empty
+                    yield work(*held)
+
+    return pairs.filter(F.col("alone") | (F.size("sides") == 2)).mapInArrow(run, schema)
+
+
+def energy(particles: DataFrame, blocks: int | None = None) -> DataFrame:
+    """One row, energy: of all pairs of particles (id, x, y, z) but those at one place; null without any."""
+
+    def work(p: list[np.ndarray], q: list[np.ndarray] | None) -> pa.RecordBatch:
+        e, n, *_ = _meet(p, p if q is None else q)
+        return pa.RecordBatch.from_arrays([pa.array([(e / 2 if q is None else e) if n else None], pa.float64())], ["energy"])
+
+    return _met(particles, blocks, work, "energy double").agg(F.sum("energy").alias("energy"))
+
+
 def forces(particles: DataFrame, blocks: int | None = None) -> DataFrame:
-    """id, fx, fy, fz: the sum over all partners, equal and opposite on both of a pair."""
-    return _both_ways(lennard_jones(particles, blocks))
+    """id, fx, fy, fz: the sum over all partners, equal and opposite on both of a pair; null where all are at one place. A particle alone has no row."""
+
+    def work(p: list[np.ndarray], q: list[np.ndarray] | None) -> pa.RecordBatch:
+        _, _, on_p, on_q, n_p, n_q = _meet(p, p if q is None else q)
+        if q is not None:
+            p, on_p, n_p = [np.concatenate((p[0], q[0]))], np.hstack((on_p, on_q)), np.concatenate((n_p, n_q))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (p[0], n_p, *on_p)], ["id", "n", "fx", "fy", "fz"])
+
+    sums = _met(particles, blocks, work, "id long, n long, fx double, fy double, fz double").groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("n"), *(F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"))
+    ids = particles.select("id").dropna().distinct()
+    if ids.limit(2).count() < 2:
+        ids = ids.limit(0)
+    return ids.join(sums, F.col("id") == F.col("_id"), "left").select("id", *(F.when(F.col("n") > 0, F.col(f"f{c}")).alias(f"f{c}") for c in "xyz"))
 
 
 #: Particles of a cell of space that a task lays beside another cell's at most.

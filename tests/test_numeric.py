@@ -59,6 +59,24 @@ def test_forces_balance(spark):
     assert len(f) == 6 and sum(r.fx for r in f) == pytest.approx(0, abs=1e-9)
 
 
+def test_energy_and_forces_by_blocks_form_no_row_per_pair(spark):
+    r = random.Random(3)
+    rows = [(i, r.uniform(0, 9), r.uniform(0, 9), r.uniform(0, 9)) for i in range(300)] + [(300, 1.0, 1.0, 1.0), (301, 1.0, 1.0, 1.0), (302, None, 1.0, 1.0), (5, 20.0, 20.0, 20.0)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    pairs = N.lennard_jones(p)
+    one = {f.id: (f.fx, f.fy, f.fz) for f in N._both_ways(pairs).collect()}
+    for blocks in (1, 3, None):
+        assert N.energy(p, blocks).first()[0] == pytest.approx(pairs.agg(F.sum("energy")).first()[0])
+        two = {f.id: (f.fx, f.fy, f.fz) for f in N.forces(p, blocks).collect()}
+        assert two.keys() == one.keys() and two.pop(302) == (None,) * 3 and all(two[k] == pytest.approx(one[k]) for k in two)
+    spot = p.filter("id IN (300, 301)")
+    assert N.energy(spot).first()[0] is None and [f.fx for f in N.forces(spot).collect()] == [None, None]
+    assert N.forces(p.filter("id = 1")).count() == 0 and N.energy(p.filter("false")).first()[0] is None
+    # 40,000 particles in all have 800 million pairs, of which none may become a row
+    many = spark.range(40_000).select("id", (F.col("id") % 40 * 1.5).alias("x"), (F.floor(F.col("id") / 40) % 40 * 1.5).alias("y"), (F.floor(F.col("id") / 1600) * 1.5).alias("z"))
+    assert "Join" not in N.energy(many, 10)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_smith_waterman_by_table():
     def slow(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
