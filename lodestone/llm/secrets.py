@@ -5,12 +5,13 @@ characters (kind cnn), which stays if the network's calibrated probability reach
 base match and goes on beyond it is a candidate as a whole. The network sees the candidate and the characters around
 it; a long one in several windows, of which the likeliest counts.
 
-`fit` trains it on labelled findings: TABLE_ROWS of either label at most from the table itself (base matches in their
-surroundings are secrets, runs that `harmless` knows for words, hosts and names are not; those with the least hashes are
-taken, from all rows), and TRAIN_ROWS that `labelled_findings` makes from a seed, for kinds that the table doesn't hold.
-A part of either is kept back: one half calibrates the probabilities and sets the threshold, the highest that still
-finds RECALL of the secrets of each kind of source; the other half reports what that is worth. The weights (some tens
-of kB) travel with the tasks.
+`fit` trains it on labelled findings: all distinct ones of the table itself (base matches in their surroundings are
+secrets, runs that `harmless` knows for words, hosts and names are not), and TRAIN_ROWS that `labelled_findings` makes
+from a seed, for kinds that the table doesn't hold. Embedding and convolution are learnt from the latter; the logistic
+unit over them from both, by Newton's method, whose gradient and Hessian tasks sum over all of the table's findings.
+Those of either label weigh as much together as the made ones. A part of either is kept back: one half calibrates the
+probabilities and sets the threshold, the highest that still finds RECALL of the secrets of each kind of source; the
+other half reports what that is worth. The weights (some tens of kB) travel with the tasks.
 
 Edge cases: a null text is the empty text, which has no spans; repeated rows are scanned each on its own; an empty
 table gives no rows; other columns are ignored (`redact` keeps them all). Texts are scanned whole, whatever their length.
@@ -18,12 +19,10 @@ table gives no rows; other columns are ignored (`redact` keeps them all). Texts
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import random
 import re
 import string
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lodestone.llm.common import cut, map_batches
+from lodestone.operators.graph import global_rank
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -46,9 +46,9 @@ _PART, _PLAIN = re.compile("[A-Za-z0-9]+"), re.compile("[A-Z]?[a-z]+[0-9]{0,4}|[
 _MUTE = re.compile("[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{6}")
 REPLACEMENT = "[SECRET]"
 
-TRAIN_ROWS, CALIBRATION_ROWS, TABLE_ROWS, EPOCHS, RECALL, SEED = 3000, 1500, 2000, 5, 0.98, 7
-#: Of the table's findings, parts of five that train; and how often one of a small table is repeated in training at most.
-TRAIN_PARTS, REPEATS = 3, 20
+TRAIN_ROWS, CALIBRATION_ROWS, EPOCHS, RECALL, SEED = 3000, 1500, 5, 0.98, 7
+#: Of the table's findings, parts of five that train; what one of a small table weighs in training at most; and steps of Newton's method at most.
+TRAIN_PARTS, REPEATS, NEWTON = 3, 20, 30
 BEFORE, WITHIN, AFTER = 24, 56, 8
 WIDTH = BEFORE + WITHIN + AFTER
 EMBED, TAPS, FILTERS = 8, 5, 24
@@ -150,7 +150,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], np.ndarray]:
         value = r.choice((
             lambda: run(_ALNUM, 20, 44), lambda: run(_B64, 24, 60) + r.choice(("", "=", "==")), lambda: "ghp_" + run(_ALNUM, 36), lambda: "xoxb-" + run(string.digits, 11) + "-" + run(_ALNUM, 24),
             lambda: "sk_live_" + run(_ALNUM, 24), lambda: "eyJ" + run(_ALNUM, 20, 40) + "." + run(_ALNUM + "_-", 30, 60) + "." + run(_ALNUM + "_-", 20, 43),
-            lambda: "AIza" + run(_ALNUM + "_-", 35), lambda: run(_HEX, 32, 64), lambda: run(_UP, 20, 32), lambda: "glpat-" + run(_ALNUM + "_-", 20), lambda: "SG." + run(_ALNUM, 22) + "." + run(_ALNUM, 43),
+            lambda: "AIza" + run(_ALNUM + "_-", 35), lambda: run(_HEX, 32, 64), lambda: run(_HEX, 16, 31), lambda: run(string.digits, 16, 24), lambda: run(_UP, 20, 32), lambda: "glpat-" + run(_ALNUM + "_-", 20), lambda: "SG." + run(_ALNUM, 22) + "." + run(_ALNUM, 43),
         ))()
         lead = r.choice(("key: ", "key=", "Authorization: Bearer ", "secret ", "token is ", "export API=", "credentials = \"", "pwd: ", "auth ", "use ", "")) if r.random() < 0.7 else ""
         return prose(4) + " " + lead, value, r.choice(("\" ", " ", "\n", ", ", ". ")) + prose(2)
@@ -178,44 +178,127 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], np.ndarray]:
     return made, labels
 
 
-def table_findings(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Windows and labels of up to TABLE_ROWS distinct findings of either label: base matches, and harmless runs. Those with the least hashes are taken; a task sends no more than that."""
-
-    def least(found: dict[int, str]) -> dict[int, str]:
-        return {h: found[h] for h in sorted(found)[:TABLE_ROWS]}
+def table_findings(docs: DataFrame) -> DataFrame:
+    """window, label, part (0 to 4): all distinct findings of a table of either label, base matches and harmless runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[int, str]] = [{}, {}]
         for b in batches:
+            found: set[tuple[str, int]] = set()
             for t in b.column("text").to_pylist():
                 base = base_spans(t or "")
-                found = [(window(t, s, e), 1) for s, e, _ in base]
-                found += [(window(t, s, e), 0) for s, e, _ in other_candidates(t or "", base) if harmless(t[s:e])]
-                for w, label in found:
-                    kept[label][int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=7).digest())] = w
-            kept = [least(k) if len(k) > 2 * TABLE_ROWS else k for k in kept]
-        rows = [(h, w, label) for label, k in enumerate(kept) for h, w in least(k).items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["hash", "window", "label"])
+                found.update((window(t, s, e), 1) for s, e, _ in base)
+                found.update((window(t, s, e), 0) for s, e, _ in other_candidates(t or "", base) if harmless(t[s:e]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["window", "label"])
+
+    every = map_batches(docs.select("text"), run, "window string, label long").distinct()
+    return every.withColumn("part", F.crc32(F.col("window").cast("binary")) % 5)
+
+
+def _pooled(findings: DataFrame, net: Network) -> DataFrame:
+    """label, part, x: the findings' features under the network's convolution, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                x = net.features(encode(b.column("window").to_pylist()))[0].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column("label"), b.column("part"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["label", "part", "x"])
+
+    return cut(map_batches(findings, run, "label long, part long, x array<float>"))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of weighted rows in one line; the last of x is 1."""
+    z = x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    loss = weight @ (np.logaddexp(0, z) - y * z)
+    return np.concatenate(([loss], x.T @ (weight * (p - y)), ((x.T * (weight * p * (1 - p))) @ x).ravel()))
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.hstack((x, np.ones((len(x), 1))))
+
+
+def _optimum(rows: DataFrame, made: np.ndarray, made_labels: np.ndarray, weights: Sequence[float], start: np.ndarray, onto: np.ndarray | None = None) -> np.ndarray:
+    """The least of the logistic loss over all rows (label, x), weighted by label, those of `made`, and half the squared distance from `start`; with `onto`, over x's product with it alone. A step of Newton's is a job, in which every task sums its rows' gradient and Hessian; a step that makes the loss greater is halved."""
+    size = len(start)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + size + size * size)
+            for b in batches:
+                x, y = _with_one(b.column("x").flatten().to_numpy().reshape(len(b), -1).astype(np.float64)), b.column("label").to_numpy()
+                total += _logistic(x if onto is None else _with_one((x @ onto)[:, None]), y, np.where(y == 1, weights[1], weights[0]), w)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "x"])
+
+        total = _logistic(made, made_labels, np.ones(len(made)), w)
+        for r in map_batches(rows.select("label", "x"), run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # size**2 numbers
+            total[r.i] += r.x
+        total[0] += (w - start) @ (w - start) / 2
+        total[1 : 1 + size] += w - start
+        total[1 + size :] += np.eye(size).ravel()
+        return total
+
+    w, now = start, sums(start)
+    for _ in range(NEWTON):
+        step = np.linalg.solve(now[1 + size :].reshape(size, size), now[1 : 1 + size])
+        gain = step @ now[1 : 1 + size]
+        if gain <= 1e-6 * (1 + now[0]):
+            break
+        ahead = sums(w - step)
+        while ahead[0] > now[0] and np.abs(step).max() > 1e-9:
+            step = step / 2
+            ahead = sums(w - step)
+        w, now = w - step, ahead
+    return w
+
+
+def _scores(rows: DataFrame, net: Network) -> DataFrame:
+    """label, part, p: the network's probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = b.column("x").flatten().to_numpy().reshape(len(b), -1).astype(np.float64) @ net.weights + net.intercept
+            p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("part"), pa.array(p)], ["label", "part", "p"])
+
+    return map_batches(rows, run, "label long, part long, p double")
+
 
-    every = cut(map_batches(docs.select("text"), run, "hash long, window string, label long").distinct())
-    taken = [r for label in (0, 1) for r in every.filter(F.col("label") == label).orderBy("hash", "window").limit(TABLE_ROWS).collect()]
-    return [r.window for r in taken], np.array([r.label for r in taken], dtype=np.float64)
+def _table_recall(scores: DataFrame, n: int) -> float:
+    """_at_recall of n scores (p) of a table, less what rounding of stored features may take."""
+    k = int((1 - RECALL) * n)
+    return global_rank(scores.select("p"), ["p"]).filter(F.col("rank") == k).first().p * (1 - 1e-5) if n else 1.0
 
 
 def fit(docs: DataFrame) -> Network:
     """The network for a table, and in its report the recall and the share of harmless runs found on findings that neither trained nor calibrated it."""
-    texts, labels = table_findings(docs)
-    part = np.array([zlib.crc32(w.encode()) % 5 for w in texts], dtype=np.int64)  # of equal windows, one is there
+    none = np.empty((0, WIDTH), dtype=np.int64)
+    net = train(none, np.empty(0), none, np.empty(0))
+    rows = _pooled(table_findings(docs), net)
+    counts = {(r.label, r.part): r["count"] for r in rows.groupBy("label", "part").count().collect()}
+    if not counts:
+        net.report = {"secrets": 0, "recall": None, "harmless": 0, "false": None}
+        return net
+    amount = lambda y, parts: sum(counts.get((y, k), 0) for k in parts)
+    weights = lambda parts, made: [min(float(REPEATS), made / 2 / max(1, amount(y, parts))) for y in (0, 1)]
+    learn, held = range(TRAIN_PARTS), (TRAIN_PARTS,)
+    texts, labels = labelled_findings(TRAIN_ROWS, SEED)
+    made = np.concatenate([net.features(c)[0] for c in np.array_split(encode(texts), 4)])
+    head = _optimum(rows.filter(F.col("part") < TRAIN_PARTS), _with_one(made), labels, weights(learn, TRAIN_ROWS), np.append(net.weights, net.intercept))
+    net.weights, net.intercept = head[:-1], float(head[-1])
+    texts, labels = labelled_findings(CALIBRATION_ROWS, SEED + 1)
     codes = encode(texts)
-    rest = np.arange(len(texts)) if not len(texts) else np.flatnonzero(part >= TRAIN_PARTS)
-    sets = [np.flatnonzero(part < TRAIN_PARTS), rest[part[rest] == TRAIN_PARTS], rest[part[rest] > TRAIN_PARTS]]
-    net = train(codes[sets[0]], labels[sets[0]], codes[sets[1]], labels[sets[1]])
-    # however few a table's secrets are, RECALL of all that were taken must be found, those that trained included
-    net.threshold = min(net.threshold, _at_recall(net.probabilities(codes[labels == 1]), RECALL))
-    found = net.probabilities(codes[sets[2]]) >= net.threshold
-    truth = labels[sets[2]] == 1
-    net.report = {"secrets": int(truth.sum()), "recall": float(found[truth].mean()) if truth.any() else None, "harmless": int((~truth).sum()), "false": float(found[~truth].mean()) if (~truth).any() else None}
+    net.scale, net.shift = _optimum(rows.filter(F.col("part") == TRAIN_PARTS), _with_one(net.logits(codes)[:, None]), labels, weights(held, CALIBRATION_ROWS), np.array([1.0, 0.0]), head).tolist()
+    scores = cut(_scores(rows, net))
+    secret = scores.filter("label = 1")
+    # however few a table's secrets are, RECALL of all must be found, those that trained included
+    net.threshold = min(_at_recall(net.probabilities(codes)[labels == 1], RECALL), _table_recall(secret.filter(F.col("part") == TRAIN_PARTS), amount(1, held)), _table_recall(secret, amount(1, range(5))))
+    found = {r.label: r.found for r in scores.filter(F.col("part") > TRAIN_PARTS).groupBy("label").agg(F.avg((F.col("p") >= net.threshold).cast("double")).alias("found")).collect()}
+    rest = range(TRAIN_PARTS + 1, 5)
+    net.report = {"secrets": amount(1, rest), "recall": found.get(1), "harmless": amount(0, rest), "false": found.get(0)}
     return net
 
 

@@ -358,6 +358,15 @@ def test_recall_on_tables_of_any_size(spark, size):
     assert net.report["false"] in (None, 0.0)
 
 
+def test_all_findings_of_a_table_count(spark):
+    """None is left out of training, calibration and threshold, however many there are."""
+    texts = spark.range(9000).select(F.concat(F.lit("see token="), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24), F.lit(" in example-words/of-some-length"), "id").alias("text"))
+    found = secrets.table_findings(texts).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in found}[0] >= 9000 and {r.label: r["count"] for r in found}[1] >= 9000
+    net = secrets.fit(texts)
+    assert net.report["secrets"] > 1500 and net.report["recall"] >= 0.97 and net.report["false"] <= 0.01
+
+
 def test_letters_alone_may_be_a_key():
     assert not secrets.harmless("XJQWPLMZKQNRTVBYHCGDFSWXLKQPZMNR") and not secrets.harmless("a/bcdfghjkl/eins")
     assert secrets.harmless("some-words/OfSome_Length.html12")
