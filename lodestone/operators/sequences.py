@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,12 +31,50 @@ def smith_waterman(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int
     return best
 
 
+#: Cells of an anti-diagonal, over all pairs, that are filled at once.
+CELLS = 1 << 16
+
+
+def smith_waterman_many(a: Sequence[str], b: Sequence[str], match: int = 2, mismatch: int = -1, gap: int = -1) -> np.ndarray:
+    """smith_waterman of every pair of a and b; the tables of pairs of like lengths are filled side by side. Shorter sequences are filled up with what matches nothing, which can't raise a score."""
+    lengths = [(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    out, order, at = np.zeros(len(lengths), dtype=np.int64), sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True), 0
+    while at < len(order):
+        some = order[at : at + max(1, CELLS // max(1, lengths[order[at]][0]))]
+        at += len(some)
+        n, m = lengths[some[0]][0], max(lengths[k][1] for k in some)
+        if not n or not m:
+            continue
+        x, y = np.full((n, len(some)), 0xFFFFFFFF, np.uint32), np.full((m, len(some)), 0xFFFFFFFE, np.uint32)
+        for p, k in enumerate(some):
+            x[: lengths[k][0], p], y[m - lengths[k][1] :, p] = np.frombuffer(a[k].encode("utf-32-le"), np.uint32), np.frombuffer(b[k].encode("utf-32-le"), np.uint32)[::-1]
+        kind = np.int16 if max(n, m) * max(map(abs, (match, mismatch, gap))) < 30000 else np.int64
+        before, last, now = (np.zeros((n + 1, len(some)), dtype=kind) for _ in range(3))
+        best = np.zeros(len(some), dtype=kind)
+        hit, miss, step = kind(match), kind(mismatch), kind(gap)
+        for d in range(2, n + m + 1):
+            low, high = max(1, d - m), min(n, d - 1)
+            same = np.where(x[low - 1 : high] == y[m - d + low : m - d + high + 1], hit, miss)
+            same += before[low - 1 : high]
+            skip = np.maximum(last[low - 1 : high], last[low : high + 1])
+            skip += step
+            np.maximum(same, skip, out=same)
+            np.maximum(same, 0, out=now[low : high + 1])
+            now[low - 1] = 0  # of older diagonals
+            if high < n:
+                now[high + 1] = 0
+            np.maximum(best, now[low : high + 1].max(0), out=best)
+            before, last, now = last, now, before
+        out[some] = best
+    return out
+
+
 def align_pairs(sequences: DataFrame, blocks: int | None = None) -> DataFrame:
     """a < b, score: of all pairs of sequences (id, s)."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"a": p.a, "b": p.b, "score": [smith_waterman(x, y) for x, y in zip(p.sa, p.sb, strict=True)]})
+            yield pd.DataFrame({"a": p.a, "b": p.b, "score": smith_waterman_many(p.sa.tolist(), p.sb.tolist())})
 
     pairs = block_pairs(sequences.select("id", "s"), "id", blocks).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.s").alias("sa"), F.col("b.s").alias("sb"))
     return pairs.mapInPandas(score, "a long, b long, score long")
@@ -90,6 +128,6 @@ def align_above(sequences: DataFrame, share: float = 0.8) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"a": p.a, "b": p.b, "score": [smith_waterman(x, y) for x, y in zip(p.sa, p.sb, strict=True)], "n": [min(len(x), len(y)) for x, y in zip(p.sa, p.sb, strict=True)]})
+            yield pd.DataFrame({"a": p.a, "b": p.b, "score": smith_waterman_many(p.sa.tolist(), p.sb.tolist()), "n": [min(len(x), len(y)) for x, y in zip(p.sa, p.sb, strict=True)]})
 
     return both.select("a", "b", "sa", "sb").mapInPandas(score, "a long, b long, score long, n long").filter(F.col("score") >= 2 * F.col("n") * share - 1e-9).drop("n")

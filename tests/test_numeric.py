@@ -77,6 +77,19 @@ def test_energy_and_forces_by_blocks_form_no_row_per_pair(spark):
     assert "Join" not in N.energy(many, 10)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_alignments_side_by_side_equal_one_by_one(monkeypatch):
+    from lodestone.operators import sequences
+
+    r = random.Random(8)
+    some = ["", "a", "\U0001f600b", *("".join(r.choices("abc ", k=r.randint(1, 60))) for _ in range(40))]
+    a, b = [x for x in some for _ in some], some * len(some)
+    want = [sequences.smith_waterman(x, y) for x, y in zip(a, b, strict=True)]
+    monkeypatch.setattr(sequences, "smith_waterman", None)  # no table of its own for each pair
+    for cells in (1, 500, 1 << 16):
+        monkeypatch.setattr(sequences, "CELLS", cells)
+        assert sequences.smith_waterman_many(a, b).tolist() == want
+
+
 def test_smith_waterman_by_table():
     def slow(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
