@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import centrality
 from lodestone.operators import graph as G
 from lodestone.operators.pairs import block_pairs
-from lodestone.sources.graphs import Graph, parse_edge_lines
+from lodestone.sources.graphs import Graph, copurchase_edges, parse_edge_lines
 
 
 def graph(spark, edges, directed=False, n=None):
@@ -119,6 +119,14 @@ def test_workload_has_no_limit_unless_one_is_given(spark):
     assert {r.side: r["count"] for r in G.workload_split(g).groupBy("side").count().collect()} == {"gpu": 1_000_002}
 
 
+def test_copurchases_gather_an_order_once(spark):
+    lines = spark.createDataFrame([(1, 5, 50.0), (1, 5, 50.0), (1, 3, 50.0), (1, 9, 1.0), (2, 3, 50.0), (2, 5, 50.0), (None, 1, 50.0), (None, 2, 50.0), (3, None, 50.0), (3, 7, 50.0)], "l_orderkey long, l_partkey long, l_quantity double")
+    edges = copurchase_edges(lines)
+    assert [tuple(r) for r in edges.collect()] == [(3, 5)]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(") <= 2  # of orders, of edges
+
+
 def test_directed_clustering_equals_brute_force(spark):
     r = random.Random(5)
     arcs = {(r.randrange(25), r.randrange(25)) for _ in range(160)} | {(0, k) for k in range(1, 25)}
