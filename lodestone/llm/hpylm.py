@@ -16,8 +16,10 @@ Work is dealt out by numpy blobs, so that what is shuffled is each chunk's disti
 1. `chunks`: some million tokens at a time become places in the chunk's list of distinct words; written as Parquet.
 2. `vocabulary`: words get numbers, small ones for frequent words, which squeeze well, and their counts.
 3. `requests`: each chunk sends its distinct triples, with their training counts, to the part of the middle word u2. A
-   part therefore has the restaurants of its words and of all contexts that end in them whole. A word with more tokens
-   than PER_PART is dealt out by classes of the word before it, and has a restaurant for each class.
+   part therefore has the restaurants of its words and of all contexts that end in them whole. The contexts of a word with
+   more tokens than PER_PART are dealt out by classes of the word before it. They still share the one restaurant of that
+   word, which is seated dish by dish where the root's are: parts send their customers of its dishes there and are told
+   c - d t. The model is the same whatever the size; only where a restaurant is seated depends on it.
 4. A part seats its customers, a job per sweep. Between sweeps, `root` sums the customers of the root exactly over all
    parts, seats them and tells the parts. A part's likelihoods for the grid are summed by Spark.
 5. `replies`: a part computes the averaged probability of each triple that a chunk has asked for; `score_chunks` puts them
@@ -38,6 +40,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,8 @@ BURN_IN, SAMPLES, SHARES, SEED = 3, 3, 2, 11
 CHUNK, PER_PART, PARTS_TO_WORDS = 2_000_000, 1_000_000, 4
 #: Dishes of up to so many customers draw their tables from the exact distribution; larger ones from its saddle-point form.
 EXACT = 256
+#: Dishes of up to so many customers weigh their tables without logarithms.
+PLAIN = 8
 #: The grid from which each level's discount and strength are drawn.
 DISCOUNTS = tuple(round(0.1 * k, 2) for k in range(1, 10)) + (0.95,)
 STRENGTHS = (0.1, 1.0, 10.0, 100.0)
@@ -74,7 +79,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of 1-, 4- or 8-byte items, byte by byte transposed, which squeezes well."""
     parts = [np.array([len(arrays)], "<i8").tobytes()]
     for a in map(np.ascontiguousarray, arrays):
-        parts += [np.array([a.itemsize, len(a)], "<i8").tobytes(), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""]
+        parts += [np.array([a.itemsize, len(a)], "<i8").tobytes(), *(np.ascontiguousarray(a.view(np.uint8)[k :: a.itemsize]).data for k in range(a.itemsize if len(a) else 0))]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
@@ -83,7 +88,10 @@ def _unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     for kind in kinds:
         size, n = np.frombuffer(raw, "<i8", 2, at)
         at += 16
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel() if n else np.empty(0, kind))
+        cells, planes = np.empty((n, size), np.uint8), np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n)
+        for k in range(size):
+            cells[:, k] = planes[k]
+        out.append(cells.view(kind).ravel() if n else np.empty(0, kind))
         at += int(size * n)
     return out
 
@@ -94,6 +102,17 @@ def _shortened(x: np.ndarray, bits: int) -> np.ndarray:
     return (x.astype("<f4").view("<u4") + np.uint32(1 << (rest - 1))) & np.uint32(0xFFFFFFFF << rest & 0xFFFFFFFF)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct items in order, by sorting (np.unique hashes large arrays, which takes many times as long)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _order(to: np.ndarray, parts: int) -> np.ndarray:
+    """Order of rows by their part; small numbers are sorted by digits."""
+    return np.argsort(to.astype(np.uint16) if parts <= 1 << 16 else to, kind="stable")
+
+
 def _tasks(df: DataFrame, keys: int) -> int:
     return max(keys, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -103,10 +122,23 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "part", "kind", "body"])
 
 
+def _some(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield _messages(rows)
+
+
+def _places(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each item stands among others in order; -1: nowhere."""
+    if not len(among):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return np.where(among[at] == x, at, -1)
+
+
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of keys by part, and bounds of parts."""
     to = (mix(keys.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
+    order = _order(to, parts)
     return order, np.searchsorted(to[order], np.arange(parts + 1))
 
 
@@ -146,7 +178,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             nonlocal number
             number += 1
             flat = np.concatenate(found)
-            words, places, counts = np.unique(flat, return_inverse=True, return_counts=True)
+            coded = pa.array(flat).dictionary_encode()
+            words, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            counts = np.bincount(places)
             order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which squeeze better
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -178,7 +212,7 @@ class Deal:
     classes: np.ndarray
 
     def keys(self, u2: np.ndarray, u1: np.ndarray) -> np.ndarray:
-        """The parent restaurant of each context: its middle word and the class of the first word."""
+        """What each context is dealt out by: its middle word and, of hot ones, the class of the first word."""
         key = u2.astype(np.uint64) << np.uint64(_CLASS_BITS)
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, u2), len(self.hot) - 1)
@@ -225,7 +259,7 @@ class Chunk:
         all_numbers = np.append(np.uint32(BEGIN), numbers.astype(np.uint32))
         u2, u1 = (all_numbers[x] for x in np.divmod(context, base))
         part = deal.part(deal.keys(u2, u1))
-        order = np.argsort(part, kind="stable")
+        order = _order(part, deal.parts)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.u1, self.u2, self.w = u1[order], u2[order], numbers[w[order]].astype(np.uint32)
@@ -325,11 +359,17 @@ def requests(stored: DataFrame, words: DataFrame, deal: Deal, word_parts: int) -
 
 
 def _log_gamma(z: np.ndarray) -> np.ndarray:
-    z, low = np.asarray(z, np.float64), 0.0
+    out = np.array(z, np.float64)
+    k = np.flatnonzero(out < 8)
+    small, low = out[k], np.ones(len(k))
     for _ in range(8):  # up to where the series is exact enough
-        low = low + np.where(z < 8, np.log(z), 0)
-        z = np.where(z < 8, z + 1, z)
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - low
+        low = np.where(small < 8, low * small, low)
+        small = np.where(small < 8, small + 1, small)
+    out[k] = small
+    over = 1 / out
+    out = (out - 0.5) * np.log(out) - out + 0.5 * np.log(2 * np.pi) + over * (1 / 12 - over * over * (1 / 360 - over * over / 1260))
+    out[k] -= np.log(low)
+    return out
 
 
 @lru_cache(maxsize=len(DISCOUNTS) + 2)
@@ -406,6 +446,18 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: floa
         n = int(c[order[x]])
         if n > EXACT:
             break
+        if n == 2:  # one table or two
+            k = order[x:y]
+            two = (strength + discount * (others[k] + 1)) * p[k]
+            out[k] += 1 - discount < rng.random(len(k)) * (1 - discount + two)
+            continue
+        if n <= PLAIN:  # no weight is out of range
+            ways = np.exp(_seatings(discount)[n, 1 : n + 1])
+            for at in range(x, y, 100_000 // n + 1):
+                k = order[at : min(y, at + 100_000 // n + 1)]
+                cum = np.cumsum(ways * np.cumprod((strength + discount * (others[k, None] + np.arange(n))) * p[k, None], axis=1), axis=1)
+                out[k] = 1 + (cum < rng.random((len(k), 1)) * cum[:, -1:]).sum(1)
+            continue
         for at in range(x, y, 100_000 // n + 1):
             k = order[at : min(y, at + 100_000 // n + 1)]
             logs = _seatings(discount)[n, 1 : n + 1] + np.cumsum(np.log((strength + discount * (others[k, None] + np.arange(n))) * p[k, None]), axis=1)
@@ -455,11 +507,12 @@ def log_likelihoods(dishes: tuple[np.ndarray, np.ndarray], tables: np.ndarray, c
     (pairs, n), (ts, nt), (cs, nc) = (np.unique(x, return_counts=True) for x in (dishes[0].astype(np.int64) << 32 | dishes[1].astype(np.int64), tables[tables > 0], customers[customers > 0]))
     c, t = pairs >> 32, pairs & 0xFFFFFFFF
     out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
+    closed = [float((nc * (_log_gamma(s + cs) - _log_gamma(np.full(1, s + 1)))).sum()) for s in STRENGTHS]
     for i, d in enumerate(DISCOUNTS):
         seats = float((n * log_seatings(c, t, d)).sum())
         for j, s in enumerate(STRENGTHS):
             opened = float((nt * ((ts - 1) * np.log(d) + _log_gamma(s / d + ts) - _log_gamma(np.full(1, s / d + 1)))).sum())
-            out[i, j] = seats + opened - float((nc * (_log_gamma(s + cs) - _log_gamma(np.full(1, s + 1)))).sum())
+            out[i, j] = seats + opened - closed[j]
     return out
 
 
@@ -475,21 +528,25 @@ class Merged:
 
     def __init__(self, bodies: list[bytes], deal: Deal) -> None:
         read = [_unpack(body, "<u4", "<u4", "<u4", "<u4", "<u4") for body in bodies]
-        u2, u1 = (np.concatenate([np.repeat(r[k], r[2]) for r in read]).astype(np.uint64) for k in (0, 1))
-        w, n = (np.concatenate([r[k] for r in read]) for k in (3, 4))
+        u2, u1, times, w, n = (np.concatenate(x) for x in zip(*read, strict=True))
         self.lengths = [len(r[3]) for r in read]
-        contexts, of = np.unique(u2 << np.uint64(32) | u1, return_inverse=True)
+        contexts, of = np.unique(u2.astype(np.uint64) << np.uint64(32) | u1, return_inverse=True)
+        of = np.repeat(of, times)
         keys, self.place = np.unique(of.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
         self.context, w = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
         self.c = np.bincount(self.place, weights=n).astype(np.int64)  # training customers; 0 for triples of held-out texts alone
-        parents, self.parent = np.unique(deal.keys((contexts >> np.uint64(32)).astype(np.int64), (contexts & np.uint64(0xFFFFFFFF)).astype(np.int64)), return_inverse=True)
+        middle = (contexts >> np.uint64(32)).astype(np.int64)
+        cuts = np.append(True, middle[1:] != middle[:-1])
+        parents, self.parent = middle[cuts], np.cumsum(cuts) - 1
         self.words, self.word = np.unique(w, return_inverse=True)
         self.n_contexts, self.n_parents = len(contexts), len(parents)
+        hot = _places(parents, deal.hot)
         pair = self.parent[self.context] << 32 | self.word
-        pairs = np.unique(pair[self.c > 0])
+        pairs = _distinct(pair[(self.c > 0) | (hot >= 0)[self.parent][self.context]])  # a shared restaurant may have customers elsewhere
         self.pair = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))  # the dish one level up, -1 where it has no customers
         self.pair[pairs[self.pair] != pair if len(pairs) else slice(None)] = -1
         self.pair_parent, self.pair_word = pairs >> 32, pairs & 0xFFFFFFFF
+        self.pair_hot = hot[self.pair_parent]
 
     def static(self) -> bytes:
         """What the sweeps need: dishes of one customer have one table for good and are but counted."""
@@ -498,17 +555,25 @@ class Merged:
         customers, times = np.unique(np.bincount(self.context, weights=self.c, minlength=self.n_contexts).astype("<u4"), return_counts=True)
         return _pack(
             count(self.context[one], self.n_contexts), count(self.pair[one], len(self.pair_word)), self.context[many].astype("<u4"), self.pair[many].astype("<u4"), self.c[many].astype("<u4"),
-            self.pair_parent.astype("<u4"), self.pair_word.astype("<u4"), customers, times.astype("<u4"), np.array([self.n_parents, len(self.words)], "<u4"),
+            self.pair_parent.astype("<u4"), self.pair_word.astype("<u4"), (self.pair_hot + 1).astype("<u4"), customers, times.astype("<u4"), np.array([self.n_parents, len(self.words)], "<u4"),
         )
 
 
+class Whole(NamedTuple):
+    """Customers and tables of the shared restaurants, by their place among the hot words."""
+
+    customers: np.ndarray
+    tables: np.ndarray
+
+
 class Part:
-    """A part's seating: tables of dishes with two customers or more (t3) and of their parents' dishes (t2)."""
+    """A part's seating: tables of dishes with two customers or more (t3) and of their parents' dishes (t2); those of dishes of shared restaurants (hot: which, otherwise -1) are 0 here."""
 
     def __init__(self, static: bytes) -> None:
-        self.ones3, self.ones2, self.context, self.pair, c3, self.parent, self.word, self.customers, self.times, sizes = (x.astype(np.int64) for x in _unpack(static, *["<u4"] * 10))
+        self.ones3, self.ones2, self.context, self.pair, c3, self.parent, self.word, hot, self.customers, self.times, sizes = (x.astype(np.int64) for x in _unpack(static, *["<u4"] * 11))
         self.c3, (self.n_parents, self.n_words) = c3, sizes.tolist()
-        self.t3, self.t2 = np.ones(len(c3), np.int64), np.ones(len(self.word), np.int64)
+        self.hot, self.own = hot - 1, hot == 0
+        self.t3, self.t2 = np.ones(len(c3), np.int64), self.own.astype(np.int64)
 
     def tables3(self) -> np.ndarray:
         return self.ones3 + np.bincount(self.context, weights=self.t3, minlength=len(self.ones3)).astype(np.int64)
@@ -516,17 +581,39 @@ class Part:
     def tables2(self) -> np.ndarray:
         return np.bincount(self.parent, weights=self.t2, minlength=self.n_parents).astype(np.int64)
 
-    def c2(self) -> np.ndarray:
+    def dishes2(self) -> np.ndarray:
+        """Customers of the parents' dishes from the contexts of this part."""
         return self.ones2 + np.bincount(self.pair, weights=self.t3, minlength=len(self.word)).astype(np.int64)
 
+    def c2(self) -> np.ndarray:
+        """The same, 0 for dishes that are seated elsewhere."""
+        return np.where(self.own, self.dishes2(), 0)
+
+    def shared(self, words: np.ndarray, word_parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The dishes of shared restaurants in the order of the parts of words, and bounds."""
+        k = np.flatnonzero(~self.own)
+        order, bounds = _dealt(words[self.word[k]], word_parts)
+        return k[order], bounds
+
     def root_customers(self) -> np.ndarray:
         return np.bincount(self.word, weights=self.t2, minlength=self.n_words).astype("<u4")
 
-    def sweep(self, p0: np.ndarray, level2: tuple[float, float], level3: tuple[float, float], rng: np.random.Generator) -> None:
-        """Seats all customers of every dish anew, in SHARES shares of each level, so that dishes see most others' new tables."""
-        c2 = self.c2()
+    def parents(self, level2: tuple[float, float], x2: np.ndarray | None, whole: Whole | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the parents' dishes, c - d t and the restaurant's weight on the root, both over theta + C. x2: c - d t of shared restaurants' dishes."""
+        c2, t2 = self.c2(), self.tables2()
         own = np.bincount(self.parent, weights=c2, minlength=self.n_parents)
-        p2 = (c2 - level2[0] * self.t2 + (level2[1] + level2[0] * self.tables2()[self.parent]) * p0[self.word]) / (level2[1] + own[self.parent])
+        customers, tables, x = own[self.parent], t2[self.parent], c2 - level2[0] * self.t2
+        if whole is not None and not self.own.all():
+            k = np.flatnonzero(~self.own)
+            customers, tables, x = customers.astype(np.float64), tables.astype(np.float64), x.astype(np.float64)
+            customers[k], tables[k], x[k] = whole.customers[self.hot[k]], whole.tables[self.hot[k]], x2[k]
+        over = level2[1] + customers
+        return x / over, (level2[1] + level2[0] * tables) / over
+
+    def sweep(self, p0: np.ndarray, level2: tuple[float, float], level3: tuple[float, float], rng: np.random.Generator, x2: np.ndarray | None = None, whole: Whole | None = None) -> None:
+        """Seats all customers of every dish anew, in SHARES shares of each level, so that dishes see most others' new tables."""
+        here, above = self.parents(level2, x2, whole)
+        p2 = here + above * p0[self.word]
         turn = rng.integers(0, SHARES, len(self.c3))
         for share in range(SHARES):
             k = np.flatnonzero(turn == share)
@@ -539,7 +626,7 @@ class Part:
 
     def likelihoods(self) -> np.ndarray:
         c2 = self.c2()
-        level2 = log_likelihoods((c2, self.t2), self.tables2(), np.bincount(self.parent, weights=c2, minlength=self.n_parents).astype(np.int64))
+        level2 = log_likelihoods((c2[self.own], self.t2[self.own]), self.tables2(), np.bincount(self.parent, weights=c2, minlength=self.n_parents).astype(np.int64))
         level3 = log_likelihoods((self.c3, self.t3), self.tables3(), np.repeat(self.customers, self.times))
         return np.concatenate((level2.ravel(), level3.ravel()))
 
@@ -549,55 +636,89 @@ def root_probability(x: np.ndarray, level: tuple[float, float], customers: float
     return (x + (level[1] + level[0] * tables) / (v + 1)) / (level[1] + customers)
 
 
-def probabilities(m: Merged, p: Part, p0: np.ndarray, level2: tuple[float, float], level3: tuple[float, float]) -> np.ndarray:
+def probabilities(m: Merged, p: Part, p0: np.ndarray, level2: tuple[float, float], level3: tuple[float, float], x2: np.ndarray | None = None, whole: Whole | None = None) -> np.ndarray:
     """p(w | u1 u2) of all triples of m in the seating p."""
-    c2, t2, t3 = p.c2(), p.tables2(), p.tables3()
-    own2 = np.bincount(p.parent, weights=c2, minlength=p.n_parents)
+    t2, t3 = p.tables2(), p.tables3()
+    own2 = np.bincount(p.parent, weights=p.c2(), minlength=p.n_parents)
     own3 = np.bincount(m.context, weights=m.c, minlength=m.n_contexts)
     parent = m.parent[m.context]
-    p2 = (level2[1] + level2[0] * t2[parent]) / (level2[1] + own2[parent]) * p0[m.word]
+    p2 = ((level2[1] + level2[0] * t2) / (level2[1] + own2))[parent] * p0[m.word]
     known = np.flatnonzero(m.pair >= 0)
-    p2[known] += (c2[m.pair[known]] - level2[0] * p.t2[m.pair[known]]) / (level2[1] + own2[parent[known]])
+    here, above = p.parents(level2, x2, whole)
+    p2[known] = (here + above * p0[p.word])[m.pair[known]]
     tables = np.minimum(m.c, 1)
     tables[m.c > 1] = p.t3
     return (m.c - level3[0] * tables + (level3[1] + level3[0] * t3[m.context]) * p2) / (level3[1] + own3[m.context])
 
 
 def merge(asked: DataFrame, deal: Deal, word_parts: int) -> DataFrame:
-    """kind 0: a part's dishes; kind 2: its words; kind 6 (chunk: the asking part): its words, to the parts of words, with a table for each context of one word."""
+    """kind 0: a part's dishes; kind 2: its words; kind 6 (chunk: the asking part): its words, to the parts of words, with a table for each context of one word; kind 9: dishes of shared restaurants (their place among the hot words, word and first customers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _parts_of(batches):
             m = Merged([body for *_, body in rows], deal)
-            yield _messages([(None, part, 0, m.static()), (None, part, 2, _pack(m.words.astype("<u4")))])
+            static = m.static()
+            p = Part(static)
+            yield _messages([(None, part, 0, static), (None, part, 2, _pack(m.words.astype("<u4")))])
             order, bounds = _dealt(m.words, word_parts)
-            here = np.bincount(m.pair_word, minlength=len(m.words)).astype("<u4")
-            yield _messages([(part, p, 6, _pack(m.words[order[bounds[p] : bounds[p + 1]]].astype("<u4"), here[order[bounds[p] : bounds[p + 1]]])) for p in np.flatnonzero(np.diff(bounds)).tolist()])
+            here = p.root_customers()
+            yield _messages([(part, q, 6, _pack(m.words[order[bounds[q] : bounds[q + 1]]].astype("<u4"), here[order[bounds[q] : bounds[q + 1]]])) for q in np.flatnonzero(np.diff(bounds)).tolist()])
+            k, bounds = p.shared(m.words, word_parts)
+            cells = (m.pair_hot[k].astype("<u4"), m.words[m.pair_word[k]].astype("<u4"), p.dishes2()[k].astype("<u4"))
+            yield from _some([(part, q, 9, _pack(*(x[bounds[q] : bounds[q + 1]] for x in cells))) for q in np.flatnonzero(np.diff(bounds)).tolist()])
 
     return map_batches(_by_part(asked, deal.parts), run, _MESSAGE)
 
 
-def root(told: DataFrame, word_parts: int, number: int, level: tuple[float, float], tables: float, v: int) -> DataFrame:
-    """Seats the root. kind 7 (chunk: the part of words): to parts, c - d t of their words; kind 5: a part's customers, tables and likelihoods. From kind 6 and, after a sweep, kind 8."""
+def root(told: DataFrame, word_parts: int, number: int, level: tuple[float, float], tables: float, v: int, level2: tuple[float, float], whole: Whole, was: tuple[tuple[float, float], tuple[float, float]]) -> DataFrame:
+    """Seats the dishes of shared restaurants, whose words are here, and then the root. kind 7 (chunk: the part of words): to parts, c - d t of their words; kind 13: of their dishes of shared restaurants; kind 12: what the next call takes on; kind 5: a part's customers and tables of the root and of each shared restaurant and, in burn-in, likelihoods. From kinds 6 and 9 and, after a sweep, 8, 11 and 12.
+
+    whole, was: the shared restaurants, and the root's level and sums, as the call before has left them."""
+    n_hot = len(whole.tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _parts_of(batches):
             asked = {chunk: _unpack(body, "<u4", "<u4") for chunk, kind, body in rows if kind == 6}
             now = {chunk: x[1] for chunk, x in asked.items()} | {chunk: _unpack(body, "<u4")[0] for chunk, kind, body in rows if kind == 8}
-            _, where = np.unique(np.concatenate([x[0] for x in asked.values()]), return_inverse=True)
+            words, where = np.unique(np.concatenate([x[0] for x in asked.values()]), return_inverse=True)
             c = np.bincount(where, weights=np.concatenate([now[k] for k in asked])).astype(np.int64)
-            t = draw_tables(c, np.full(len(c), max(0.0, tables - 1)), np.full(len(c), 1 / (v + 1)), *level, np.random.default_rng((SEED, 1, part, number)))
+            rng = np.random.default_rng((SEED, 1, part, number))
+            before = next((_unpack(body, "<u4", "<u4") for _, kind, body in rows if kind == 12), None)
+            shared = {chunk: _unpack(body, "<u4", "<u4", "<u4") for chunk, kind, body in rows if kind == 9}
+            c2 = t2 = hot = np.empty(0, np.int64)
+            if shared:
+                last = {chunk: x[2] for chunk, x in shared.items()} | {chunk: _unpack(body, "<u4")[0] for chunk, kind, body in rows if kind == 11}
+                dishes, at2 = np.unique(np.concatenate([x[0].astype(np.uint64) << np.uint64(32) | x[1] for x in shared.values()]), return_inverse=True)
+                hot, w = (dishes >> np.uint64(32)).astype(np.int64), np.searchsorted(words, dishes & np.uint64(0xFFFFFFFF))
+                c2 = np.bincount(at2, weights=np.concatenate([last[k] for k in shared])).astype(np.int64)
+                t2 = np.minimum(c2, 1)
+                if before is not None:
+                    p0 = root_probability(before[1].view("<f4").astype(np.float64), was[0], *was[1], v)
+                    t2 = draw_tables(c2, np.maximum(whole.tables[hot] - np.minimum(before[0], c2), 0), p0[w], *level2, rng)
+                c += np.bincount(w, weights=t2, minlength=len(words)).astype(np.int64)
+                x2, at = _shortened(c2 - level2[0] * t2, 12), 0
+                for chunk, x in shared.items():
+                    yield _messages([(part, chunk, 13, _pack(x2[at2[at : at + len(x[0])]]))])
+                    at += len(x[0])
+            t = draw_tables(c, np.full(len(c), max(0.0, tables - 1)), np.full(len(c), 1 / (v + 1)), *level, rng)
             x, at = _shortened(c - level[0] * t, 16), 0
-            for chunk, words in asked.items():
-                yield _messages([(part, chunk, 7, _pack(x[where[at : at + len(words[0])]]))])
-                at += len(words[0])
-            pairs, n = np.unique(c[c > 0] << 32 | t[c > 0], return_counts=True)
-            seats = [float((n * log_seatings(pairs >> 32, pairs & 0xFFFFFFFF, d)).sum()) for d in DISCOUNTS]
-            yield _messages([(None, part, 5, _pack(np.array([c.sum(), t.sum(), *seats], "<f8")))])
+            for chunk, mine in asked.items():
+                yield _messages([(part, chunk, 7, _pack(x[where[at : at + len(mine[0])]]))])
+                at += len(mine[0])
+            if shared and number < BURN_IN + SAMPLES:
+                yield _messages([(None, part, 12, _pack(t2.astype("<u4"), x))])
+            seats = [_seats(*dishes) for dishes in ((c, t), (c2, t2))] if number < BURN_IN else np.zeros((2, len(DISCOUNTS)))
+            yield _messages([(None, part, 5, _pack(np.concatenate(([c.sum(), t.sum()], *seats, *(np.bincount(hot, x, n_hot) for x in (c2, t2))))))])
 
     return map_batches(_by_part(told, word_parts), run, _MESSAGE)
 
 
+def _seats(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log of the weighted number of ways to seat all dishes, for each discount of the grid."""
+    pairs, n = np.unique(c[c > 0] << 32 | t[c > 0], return_counts=True)
+    return np.array([float((n * log_seatings(pairs >> 32, pairs & 0xFFFFFFFF, d)).sum()) for d in DISCOUNTS])
+
+
 def sums(messages: DataFrame, kind: int, n: int) -> np.ndarray:
     """Sums of n numbers over all parts."""
 
@@ -613,7 +734,7 @@ def sums(messages: DataFrame, kind: int, n: int) -> np.ndarray:
 
 
 def _told(rows: list[tuple[int, int, bytes]], kind: int, words: int, order: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """c - d t in the root of a part's words."""
+    """c - d t of a part's words in the root, or of its dishes in shared restaurants."""
     out = np.zeros(words)
     for q, k, body in rows:
         if k == kind:
@@ -621,8 +742,8 @@ def _told(rows: list[tuple[int, int, bytes]], kind: int, words: int, order: np.n
     return out
 
 
-def sweep_parts(rows: DataFrame, parts: int, number: int, levels: Sequence[tuple[float, float]], root_sums: tuple[float, float], v: int, word_parts: int) -> DataFrame:
-    """One sweep over all parts. kind 1: a part's seating, and those of samples before it; kind 8: its customers of the root, to the parts of words; kind 4, in burn-in: its likelihoods."""
+def sweep_parts(rows: DataFrame, parts: int, number: int, levels: Sequence[tuple[float, float]], root_sums: tuple[float, float], v: int, word_parts: int, whole: Whole) -> DataFrame:
+    """One sweep over all parts. kind 1: a part's seating, and those of samples before it; kind 8: its customers of the root, to the parts of words; kind 11: those of shared restaurants; kind 4, in burn-in: its likelihoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, mine in _parts_of(batches):
@@ -630,26 +751,24 @@ def sweep_parts(rows: DataFrame, parts: int, number: int, levels: Sequence[tuple
             before = [x for _, kind, body in mine if kind == 1 for x in _unpack(body, *["<u4"] * 2 * max(1, number - BURN_IN))]
             if before:
                 p.t3, p.t2 = before[-2].astype(np.int64), before[-1].astype(np.int64)
-            order, bounds = _word_order(mine, word_parts)
+            words = _unpack(next(body for _, kind, body in mine if kind == 2), "<u4")[0]
+            (order, bounds), (dishes, cuts) = _dealt(words, word_parts), p.shared(words, word_parts)
             p0 = root_probability(_told(mine, 7, p.n_words, order, bounds), levels[0], *root_sums, v)
-            p.sweep(p0, levels[1], levels[2], np.random.default_rng((SEED, 2, part, number)))
+            p.sweep(p0, levels[1], levels[2], np.random.default_rng((SEED, 2, part, number)), _told(mine, 13, len(p.word), dishes, cuts), whole)
             kept = [*(before if number > BURN_IN else ()), p.t3.astype("<u4"), p.t2.astype("<u4")]
             yield _messages([(None, part, 1, _pack(*kept))])
             here = p.root_customers()[order]
             yield _messages([(part, q, 8, _pack(here[bounds[q] : bounds[q + 1]])) for q in np.flatnonzero(np.diff(bounds)).tolist()])
+            here = p.dishes2()[dishes].astype("<u4")
+            yield from _some([(part, q, 11, _pack(here[cuts[q] : cuts[q + 1]])) for q in np.flatnonzero(np.diff(cuts)).tolist()])
             if number < BURN_IN:
                 yield _messages([(None, part, 4, _pack(p.likelihoods()))])
 
     return map_batches(_by_part(rows, parts), run, _MESSAGE)
 
 
-def _word_order(rows: list[tuple[int, int, bytes]], word_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a part's words (kind 2), the order by the parts of words, and bounds."""
-    return _dealt(_unpack(next(body for _, kind, body in rows if kind == 2), "<u4")[0], word_parts)
-
-
-def replies(rows: DataFrame, deal: Deal, word_parts: int, samples: Sequence[tuple[Sequence[tuple[float, float]], tuple[float, float]]], v: int) -> DataFrame:
-    """kind 1: to chunks, the averaged probability of each triple asked for, to 12 bits of precision. Samples are (levels, sums of the root); the root's words come as kind 70, 71 and so on."""
+def replies(rows: DataFrame, deal: Deal, word_parts: int, samples: Sequence[tuple[Sequence[tuple[float, float]], tuple[float, float], Whole]], v: int) -> DataFrame:
+    """kind 1: to chunks, the averaged probability of each triple asked for, to 12 bits of precision. Samples are (levels, sums of the root, shared restaurants); the root's words come as kind 70, 71 and so on, dishes of shared restaurants as kind 130, 131 and so on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, mine in _parts_of(batches):
@@ -657,12 +776,13 @@ def replies(rows: DataFrame, deal: Deal, word_parts: int, samples: Sequence[tupl
             m = Merged([body for _, body in asked], deal)
             p = Part(m.static())
             seated = _unpack(next(body for _, kind, body in mine if kind == 1), *["<u4"] * 2 * SAMPLES)
-            order, bounds = _dealt(m.words, word_parts)
+            (order, bounds), (dishes, cuts) = _dealt(m.words, word_parts), p.shared(m.words, word_parts)
             whole = np.zeros(len(m.c))
-            for s, (levels, root_sums) in enumerate(samples):
+            for s, (levels, root_sums, shared) in enumerate(samples):
                 p.t3, p.t2 = (x.astype(np.int64) for x in seated[2 * s : 2 * s + 2])
                 p0 = root_probability(_told(mine, 70 + s, p.n_words, order, bounds), levels[0], *root_sums, v)
-                whole += probabilities(m, p, p0, levels[1], levels[2]) / len(samples)
+                x2 = _told(mine, 130 + s, len(p.word), dishes, cuts)
+                whole += probabilities(m, p, p0, levels[1], levels[2], x2, shared) / len(samples)
             bits, at = _shortened(whole, 12), 0
             for (chunk, _), n in zip(asked, m.lengths, strict=True):
                 yield _messages([(chunk, part, 1, _pack(bits[m.place[at : at + n]]))])
@@ -734,30 +854,35 @@ def score(docs: DataFrame) -> DataFrame:
     there = bool(n_tokens)
     asked, numbered = (spark.read.schema(one).parquet(f"{folder}/asked/kind={k}").withColumn("kind", F.lit(k)).select("chunk", "part", "kind", "body") if there else spark.createDataFrame([], _MESSAGE) for k in (0, 10))
     merged = written(merge(asked, deal, word_parts), "merged")
-    levels, tables, seated, samples, roots = list(START), float(v_all), None, [], []
+    levels, tables, seated, rooted, samples, roots = list(START), float(v_all), None, None, [], []
+    whole, was = Whole(np.zeros(len(numbers)), np.zeros(len(numbers))), (START[0], (0.0, 0.0))
     for number in range(BURN_IN + SAMPLES + 1):
-        told = merged.filter("kind = 6")
+        told = merged.filter("kind IN (6, 9)")
         if seated is not None:
-            told = told.unionByName(seated.filter("kind = 8"))
-        rooted = written(root(told, word_parts, number, levels[0], tables, v_all), f"root{number}")
-        customers, tables, *seats = sums(rooted, 5, 2 + len(DISCOUNTS))
+            told = told.unionByName(seated.filter("kind IN (8, 11)")).unionByName(rooted.filter("kind = 12"))
+        rooted = written(root(told, word_parts, number, levels[0], tables, v_all, levels[1], whole, was), f"root{number}")
+        if number and number - 1 <= BURN_IN:
+            dropped(f"root{number - 1}")
+        customers, tables, *rest = sums(rooted, 5, 2 + 2 * len(DISCOUNTS) + 2 * len(numbers))
+        seats, (shared_customers, shared_tables) = np.array(rest[: 2 * len(DISCOUNTS)]).reshape(2, -1), np.array(rest[2 * len(DISCOUNTS) :]).reshape(2, -1)
+        whole, was = Whole(shared_customers, shared_tables), (levels[0], (customers, tables))
         if number > BURN_IN:
-            samples.append((tuple(levels), (customers, tables)))
-            roots.append(rooted.filter("kind = 7").withColumn("kind", F.lit(69 + len(samples))))
+            samples.append((tuple(levels), (customers, tables), whole))
+            again = F.when(F.col("kind") == 7, 69 + len(samples)).otherwise(129 + len(samples))
+            roots.append(rooted.filter("kind IN (7, 13)").withColumn("kind", again))
         if number == BURN_IN + SAMPLES:
             break
-        rows = merged.filter("kind IN (0, 2)").unionByName(rooted.filter("kind = 7"))
+        rows = merged.filter("kind IN (0, 2)").unionByName(rooted.filter("kind IN (7, 13)"))
         if seated is not None:
             rows = rows.unionByName(seated.filter("kind = 1"))
-        seated = written(sweep_parts(rows, parts, number, levels, (customers, tables), v_all, word_parts), f"sweep{number}")
+        seated = written(sweep_parts(rows, parts, number, levels, (customers, tables), v_all, word_parts, whole), f"sweep{number}")
         if number:
             dropped(f"sweep{number - 1}")
-        if number <= BURN_IN:
-            dropped(f"root{number}")
         if number < BURN_IN and n_all:  # samples share the levels that burn-in has led to
-            whole = log_likelihoods((np.empty(0, np.int64), np.empty(0, np.int64)), np.array([int(tables)]), np.array([int(customers)])) + np.array(seats)[:, None]
-            logs = sums(seated, 4, 2 * whole.size).reshape(2, *whole.shape)
-            levels = [draw_grid(x, rng) for x in (whole, *logs)]
+            none = np.empty(0, np.int64)
+            of_root, of_shared = (log_likelihoods((none, none), np.array(t, np.int64), np.array(c, np.int64)) + s[:, None] for t, c, s in (([tables], [customers], seats[0]), (shared_tables, shared_customers, seats[1])))
+            level2, level3 = sums(seated, 4, 2 * of_root.size).reshape(2, *of_root.shape)
+            levels = [draw_grid(x, rng) for x in (of_root, level2 + of_shared, level3)]
     rows = asked.unionByName(seated.filter("kind = 1"))
     for r in roots:
         rows = rows.unionByName(r.select(rows.columns))

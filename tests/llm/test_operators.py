@@ -186,6 +186,18 @@ def test_lm_learns_and_does_not_depend_on_parts(spark, monkeypatch):
     assert means[0] == pytest.approx(means[1], rel=0.08)
 
 
+def test_lm_model_does_not_change_with_size(spark, monkeypatch):
+    """Contexts of a hot word that are dealt out by classes share its one restaurant: scores of unseen text stay what they are without hot words."""
+    df, means = spark.createDataFrame(chain_texts(60), "doc_id long, text string"), []
+    monkeypatch.setattr(hpylm, "BURN_IN", 1)
+    monkeypatch.setattr(hpylm, "SAMPLES", 1)
+    for per_part in (hpylm.PER_PART, 20):  # with 20, all words are hot, and the beginning too
+        monkeypatch.setattr(hpylm, "PER_PART", per_part)
+        unseen = [r for r in hpylm.score(df).collect() if r.held_out]
+        means.append(sum(r.score for r in unseen) / sum(r.n_tokens for r in unseen))
+    assert means[0] == pytest.approx(means[1], rel=0.02)
+
+
 def asked_for(texts, held, numbers):
     """A chunk's request for the triples of tokenised texts, all of them in one part."""
     c, flat = hpylm.Chunk.__new__(hpylm.Chunk), [x for t in texts for x in t]
