@@ -220,3 +220,21 @@ def test_betweenness_equals_brute_force(spark, monkeypatch, directed, dealt):
     assert len(got) == 35 and all(abs(got[v] - want[v]) < 1e-9 for v in range(35))
     few = {x.v: x.betweenness for x in G.betweenness(g, num_samples=7, normalise=False).collect()}
     assert all(few[v] <= got[v] + 1e-9 for v in range(35))
+
+
+def test_splits_sort_no_rows(spark, monkeypatch):
+    """Folds and splits are those of the ranks, at any size, but rows are neither sorted nor shuffled; equal and null keys are ranked."""
+    for n in (0, 1, 3, 7, 1000):
+        df = spark.range(n).select((F.col("id") * 37 + 5).alias("k"))
+        ranks = {r.k: r["rank"] for r in G.hash_rank(df, "k", 42).collect()}
+        folds, split = G.kfold(df, "k"), G.train_test_split(df, "k")
+        assert {r.k: r.fold for r in folds.collect()} == {k: sum(r >= f * n // 5 for f in range(1, 5)) for k, r in ranks.items()}
+        assert {r.k: r.is_test for r in split.collect()} == {k: r >= n - int(n * 0.2) for k, r in ranks.items()}
+        for out in (folds, split):
+            assert "Exchange" not in out._jdf.queryExecution().toString()
+    for most in (G.PLACE_ROWS, 0):  # with 0, all rows are ranked
+        monkeypatch.setattr(G, "PLACE_ROWS", most)
+        for keys in ([None] * 6 + [4, 9, 12, 15], [3] * 10, list(range(10))):
+            df = spark.createDataFrame([(k,) for k in keys], "k long")
+            assert sorted(r.fold for r in G.kfold(df, "k").collect()) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+            assert sum(r.is_test for r in G.train_test_split(df, "k").collect()) == 2
