@@ -80,7 +80,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     parts = [np.array([len(arrays)], "<i8").tobytes()]
     for a in map(np.ascontiguousarray, arrays):
         parts += [np.array([a.itemsize, len(a)], "<i8").tobytes(), *(np.ascontiguousarray(a.view(np.uint8)[k :: a.itemsize]).data for k in range(a.itemsize if len(a) else 0))]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
 def _unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
@@ -181,7 +181,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             coded = pa.array(flat).dictionary_encode()
             words, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
             counts = np.bincount(places)
-            order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which squeeze better
+            order = np.lexsort((words, -counts))  # frequent words get small numbers, and of equal ones hashes rise: both squeeze better
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             known = np.array([i is not None for i in ids], np.uint8)
@@ -659,6 +659,7 @@ def merge(asked: DataFrame, deal: Deal, word_parts: int) -> DataFrame:
             m = Merged([body for *_, body in rows], deal)
             static = m.static()
             p = Part(static)
+            del m.place, m.context, m.pair, m.word, m.c
             yield _messages([(None, part, 0, static), (None, part, 2, _pack(m.words.astype("<u4")))])
             order, bounds = _dealt(m.words, word_parts)
             here = p.root_customers()
