@@ -222,6 +222,36 @@ def test_betweenness_equals_brute_force(spark, monkeypatch, directed, dealt):
     assert all(few[v] <= got[v] + 1e-9 for v in range(35))
 
 
+@pytest.mark.parametrize("pairs", [0, 10**9])
+def test_levels_are_broadcast_or_merged(spark, monkeypatch, pairs):
+    """Levels of few pairs go to the arcs, larger ones are merged with arcs that lie in order; both give the same."""
+    r = random.Random(5)
+    edges = sorted({tuple(sorted(r.sample(range(30), 2))) for _ in range(50)})
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"), n=30)
+    monkeypatch.setattr(centrality, "BROADCAST_ARCS", 0)
+    monkeypatch.setattr(centrality, "BROADCAST_PAIRS", pairs)
+    want = brandes(30, sorted({*edges, *((b, a) for a, b in edges)}))
+    got = {x.v: x.betweenness for x in G.betweenness(g, normalise=False).collect()}
+    assert all(abs(got[v] - want[v]) < 1e-9 for v in range(30))
+
+
+def test_arcs_are_written_once_and_not_sorted_again(spark):
+    """A settled graph is not written again, its arcs are a table; arcs that are kept in order take no sort to be joined."""
+    g = G.settled(star(spark, 50))
+    assert G.settled(g) is g and "parquet" in g.arcs._jdf.queryExecution().executedPlan().toString()
+    light, _, _ = G.dealt_arcs(g, G.degrees(g), 100, 50, 4)
+    light.persist()
+    try:
+        assert light.count() == 100
+        state = G.cut(G.sorted_by(G.degrees(g), 4, "v"))
+        plan = light.join(state.hint("merge"), F.col("src") == F.col("v"))._jdf.queryExecution().executedPlan()
+        assert "SortMergeJoin" in plan.toString()
+        above = plan.toString().split("InMemoryTableScan")[0]
+        assert "Sort [" not in above and "Exchange" not in above
+    finally:
+        light.unpersist()
+
+
 def test_splits_sort_no_rows(spark, monkeypatch):
     """Folds and splits are those of the ranks, at any size, but rows are neither sorted nor shuffled; equal and null keys are ranked."""
     for n in (0, 1, 3, 7, 1000):
