@@ -64,6 +64,8 @@ DISCOUNTS = tuple(round(0.1 * k, 2) for k in range(1, 10)) + (0.95,)
 STRENGTHS = (0.1, 1.0, 10.0, 100.0)
 #: Where sampling begins: (discount, strength) of the root, of contexts of one word and of two.
 START = ((0.8, 10.0), (0.8, 1.0), (0.8, 1.0))
+#: How hard messages are squeezed: those that lie on disk when most does (triples, numbered chunks, dishes), and the others.
+HARD, QUICK = 6, 1
 END, BEGIN = np.uint64(0xE0D), 0
 _CHUNKS = "chunk long, n_docs long, n_tokens long, body binary"
 _MESSAGE = "chunk long, part int, kind int, body binary"
@@ -75,12 +77,12 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % 7 == 2
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = QUICK) -> bytes:
     """Arrays of 1-, 4- or 8-byte items, byte by byte transposed, which squeezes well."""
     parts = [np.array([len(arrays)], "<i8").tobytes()]
     for a in map(np.ascontiguousarray, arrays):
         parts += [np.array([a.itemsize, len(a)], "<i8").tobytes(), *(np.ascontiguousarray(a.view(np.uint8)[k :: a.itemsize]).data for k in range(a.itemsize if len(a) else 0))]
-    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def _unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
@@ -237,7 +239,7 @@ class Chunk:
         self.train = np.repeat(~self.held, self.lengths)
 
     def renumbered(self, numbers: np.ndarray, counts: np.ndarray) -> bytes:
-        return _pack(self.doc_ids, self.known_ids.astype("u1"), self.lengths.astype("<u4"), self.held.astype("u1"), self.tokens.astype("<u4"), numbers.astype("<u4"), counts.astype("<u8"))
+        return _pack(self.doc_ids, self.known_ids.astype("u1"), self.lengths.astype("<u4"), self.held.astype("u1"), self.tokens.astype("<u4"), numbers.astype("<u4"), counts.astype("<u8"), level=HARD)
 
     def triples(self, numbers: np.ndarray, deal: Deal) -> None:
         """Sets u1, u2 and w (numbers) of the distinct triples, bounds of parts, training counts, and each token's triple."""
@@ -345,7 +347,7 @@ def requests(stored: DataFrame, words: DataFrame, deal: Deal, word_parts: int) -
                 x = slice(c.bounds[p], c.bounds[p + 1])
                 u1, u2 = c.u1[x], c.u2[x]
                 cuts = np.flatnonzero(np.append(True, (u2[1:] != u2[:-1]) | (u1[1:] != u1[:-1])))
-                out.append((number, p, 0, _pack(u2[cuts], u1[cuts], np.diff(np.append(cuts, len(u1))).astype("<u4"), c.w[x], c.counts[x].astype("<u4"))))
+                out.append((number, p, 0, _pack(u2[cuts], u1[cuts], np.diff(np.append(cuts, len(u1))).astype("<u4"), c.w[x], c.counts[x].astype("<u4"), level=HARD)))
                 if len(out) >= 64:
                     yield _messages(out)
                     out = []
@@ -555,7 +557,7 @@ class Merged:
         customers, times = np.unique(np.bincount(self.context, weights=self.c, minlength=self.n_contexts).astype("<u4"), return_counts=True)
         return _pack(
             count(self.context[one], self.n_contexts), count(self.pair[one], len(self.pair_word)), self.context[many].astype("<u4"), self.pair[many].astype("<u4"), self.c[many].astype("<u4"),
-            self.pair_parent.astype("<u4"), self.pair_word.astype("<u4"), (self.pair_hot + 1).astype("<u4"), customers, times.astype("<u4"), np.array([self.n_parents, len(self.words)], "<u4"),
+            self.pair_parent.astype("<u4"), self.pair_word.astype("<u4"), (self.pair_hot + 1).astype("<u4"), customers, times.astype("<u4"), np.array([self.n_parents, len(self.words)], "<u4"), level=HARD,
         )
 
 

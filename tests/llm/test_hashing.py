@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from lodestone.llm import hpylm
 from lodestone.llm.hashing import PIECE, combine, hashes_of, word_hashes
 
 
@@ -20,3 +21,13 @@ def test_combine_needs_all_words():
     h = word_hashes(b"a b c d")
     assert len(combine(h, (0, 1, 2))) == 2 and not len(combine(h, range(5)))
     assert combine(h, (0, 2))[0] == combine(word_hashes(b"a x c"), (0, 2))[0] != combine(word_hashes(b"c x a"), (0, 2))[0]
+
+
+def test_only_what_lies_on_disk_at_the_peak_is_squeezed_hard():
+    """Messages come back whole at either level; those of sweeps, roots and replies take the quick one."""
+    rng = np.random.default_rng(3)
+    arrays = rng.integers(0, 50, 20_000).astype("<u4"), rng.integers(0, 2**40, 3_000).astype("<u8"), np.empty(0, "<u4")
+    quick, hard = hpylm._pack(*arrays), hpylm._pack(*arrays, level=hpylm.HARD)
+    assert hpylm.QUICK < hpylm.HARD and quick == hpylm._pack(*arrays, level=hpylm.QUICK) and len(hard) <= len(quick)
+    for body in (quick, hard):
+        assert all((a == b).all() for a, b in zip(arrays, hpylm._unpack(body, "<u4", "<u8", "<u4"), strict=True))
