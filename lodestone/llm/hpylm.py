@@ -64,7 +64,7 @@ DISCOUNTS = tuple(round(0.1 * k, 2) for k in range(1, 10)) + (0.95,)
 STRENGTHS = (0.1, 1.0, 10.0, 100.0)
 #: Where sampling begins: (discount, strength) of the root, of contexts of one word and of two.
 START = ((0.8, 10.0), (0.8, 1.0), (0.8, 1.0))
-#: How hard messages are squeezed: those that lie on disk when most does (triples, numbered chunks, dishes), and the others.
+#: How hard messages are squeezed: dishes, which every sweep shuffles, and the others (triples are sent as differences, which leaves little to squeeze).
 HARD, QUICK = 6, 1
 END, BEGIN = np.uint64(0xE0D), 0
 _CHUNKS = "chunk long, n_docs long, n_tokens long, body binary"
@@ -104,10 +104,57 @@ def _shortened(x: np.ndarray, bits: int) -> np.ndarray:
     return (x.astype("<f4").view("<u4") + np.uint32(1 << (rest - 1))) & np.uint32(0xFFFFFFFF << rest & 0xFFFFFFFF)
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """The distinct items in order, by sorting (np.unique hashes large arrays, which takes many times as long)."""
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct items in order, and where each item stands among them, as np.unique has it: item and index are sorted as one number, in a fraction of argsort's time."""
+    n = len(x)
+    x, bits = x.astype(np.uint64), np.uint64(n.bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    fits = not n or int(x.max()) >> (64 - n.bit_length()) == 0
+    both = np.sort((x << bits if fits else x & ~low) | np.arange(n, dtype=np.uint64))
+    at = (both & low).astype(np.int64)
+    ordered = both >> bits if fits else x[at]
+    if not fits and (ordered[1:] < ordered[:-1]).any():  # items that differ in their last bits alone
+        return np.unique(x, return_inverse=True)
+    new = np.append(True, ordered[1:] != ordered[:-1])[:n]
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def _steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo 2**32; where first is true, items themselves."""
+    x = x.astype("<u4")
+    return np.where(first, x, np.diff(x, prepend=np.uint32(0)))
+
+
+def _climbed(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The items back from `_steps`."""
+    x = np.cumsum(steps.astype(np.uint64))
+    starts = np.flatnonzero(first)
+    before = x[starts] - steps[starts]
+    return (x - np.repeat(before, np.diff(np.append(starts, len(x))))).astype("<u4")
+
+
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    """Whether an item is the first of its run, for runs of these lengths, none of them empty."""
+    first = np.zeros(int(lengths.sum()), bool)
+    first[np.cumsum(lengths.astype(np.int64)) - lengths] = True
+    return first
+
+
+def pack_triples(u2: np.ndarray, u1: np.ndarray, w: np.ndarray, counts: np.ndarray) -> bytes:
+    """Triples whose contexts stand together, and their counts: middle words, the words before each of them and the words after each context, all as differences, which are small where they rise."""
+    new2 = np.append(True, u2[1:] != u2[:-1])[: len(u2)]
+    new = new2 | np.append(True, u1[1:] != u1[:-1])[: len(u1)]
+    run = lambda x: np.diff(np.append(np.flatnonzero(x), len(x))).astype("<u4")
+    return _pack(_steps(u2[new2], np.arange(new2.sum()) == 0), run(new2[new]), _steps(u1[new], new2[new]), run(new), _steps(w, new), counts.astype("<u4"))
+
+
+def unpack_triples(body: bytes) -> tuple[np.ndarray, ...]:
+    """u2, u1 and number of triples of every context; w and count of every triple."""
+    d2, contexts, d1, times, dw, counts = _unpack(body, *["<u4"] * 6)
+    u2 = np.repeat(_climbed(d2, np.arange(len(d2)) == 0), contexts)
+    return u2, _climbed(d1, _begins(contexts)), times, _climbed(dw, _begins(times)), counts
 
 
 def _order(to: np.ndarray, parts: int) -> np.ndarray:
@@ -180,10 +227,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             nonlocal number
             number += 1
             flat = np.concatenate(found)
-            coded = pa.array(flat).dictionary_encode()
-            words, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-            counts = np.bincount(places)
-            order = np.lexsort((words, -counts))  # frequent words get small numbers, and of equal ones hashes rise: both squeeze better
+            words, places = _ranked(flat)
+            order = np.argsort(-np.bincount(places), kind="stable")  # frequent words get small numbers, and of equal ones hashes rise: both squeeze better
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             known = np.array([i is not None for i in ids], np.uint8)
@@ -230,37 +275,39 @@ class Chunk:
     """A chunk's tokens and its distinct triples, in the order in which they are dealt to parts."""
 
     def __init__(self, body: bytes, numbered: bool = False) -> None:
-        """body: as `chunks` packs it, with hashes of words, or as `renumbered`, with their numbers and training counts."""
+        """body: as `chunks` packs it, with hashes of words, or as `numbered`, with their numbers and training counts."""
         doc_ids, known, lengths, held, tokens, *words = _unpack(body, "<i8", "u1", "<u4", "u1", "<u4", *(("<u4", "<u8") if numbered else ("<u8",)))
         self.doc_ids, self.known_ids, self.lengths, self.held = doc_ids, known.astype(bool), lengths.astype(np.int64), held.astype(bool)
-        self.tokens, self.words = tokens.astype(np.int64), words[0]
+        self.tokens, self.words = tokens.astype(np.int64), np.cumsum(words[0], dtype=np.int64) if numbered else words[0]
         self.known_counts = words[1].astype(np.int64) if numbered else None
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
 
-    def renumbered(self, numbers: np.ndarray, counts: np.ndarray) -> bytes:
-        return _pack(self.doc_ids, self.known_ids.astype("u1"), self.lengths.astype("<u4"), self.held.astype("u1"), self.tokens.astype("<u4"), numbers.astype("<u4"), counts.astype("<u8"), level=HARD)
+    def numbered(self, numbers: np.ndarray, counts: np.ndarray) -> bytes:
+        """Gives words their numbers, in whose order they stand from now on, and packs the chunk."""
+        order = np.argsort(numbers)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.tokens, self.words, self.known_counts = rank[self.tokens], numbers[order], counts[order]
+        return _pack(self.doc_ids, self.known_ids.astype("u1"), self.lengths.astype("<u4"), self.held.astype("u1"), self.tokens.astype("<u4"), np.diff(self.words, prepend=0).astype("<u4"), self.known_counts.astype("<u8"))
 
     def triples(self, numbers: np.ndarray, deal: Deal) -> None:
         """Sets u1, u2 and w (numbers) of the distinct triples, bounds of parts, training counts, and each token's triple."""
-        n, base = len(self.tokens), len(self.words) + 1
+        n, bits = len(self.tokens), (len(self.words) + 1).bit_length()
         u2, u1 = np.zeros(n, np.int64), np.zeros(n, np.int64)  # places from 1; 0 is the beginning
         u2[1:] = self.tokens[:-1] + 1
         u2[self.starts] = 0
         u1[1:] = u2[:-1]
         u1[self.starts] = 0
-        if base**3 < 2**63:
-            keys, place = np.unique((u2 * base + u1) * base + self.tokens, return_inverse=True)
-            context, w = np.divmod(keys, base)
-        else:
-            contexts, of = np.unique(u2 * base + u1, return_inverse=True)
-            keys, place = np.unique(of * base + self.tokens, return_inverse=True)
-            context, w = np.divmod(keys, base)
-            context = contexts[context]
+        split = lambda x: ((x >> np.uint64(bits)).astype(np.int64), (x & np.uint64((1 << bits) - 1)).astype(np.int64))
+        contexts, of = _ranked(u2 << bits | u1)
+        keys, place = _ranked(of << bits | self.tokens)
+        of, w = split(keys)
         del keys
         all_numbers = np.append(np.uint32(BEGIN), numbers.astype(np.uint32))
-        u2, u1 = (all_numbers[x] for x in np.divmod(context, base))
-        part = deal.part(deal.keys(u2, u1))
+        u2, u1 = (all_numbers[x] for x in split(contexts))
+        part = deal.part(deal.keys(u2, u1))[of]
+        u2, u1 = u2[of], u1[of]
         order = _order(part, deal.parts)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -285,7 +332,7 @@ def vocabulary(stored: DataFrame, parts: int) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _parts_of(batches):
             asked = [(chunk, *_unpack(body, "<u8", "<u4", "<u4")) for chunk, _, body in rows]
-            words, where = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
+            words, where = _ranked(np.concatenate([x[1] for x in asked]))
             train, every = (np.bincount(where, weights=np.concatenate([x[k] for x in asked])).astype(np.int64) for k in (2, 3))
             numbers = np.empty(len(words), np.int64)
             numbers[np.argsort(-every, kind="stable")] = 1 + np.arange(len(words)) * parts + part
@@ -340,14 +387,12 @@ def requests(stored: DataFrame, words: DataFrame, deal: Deal, word_parts: int) -
                 if kind == 3:
                     x = order[bounds[part] : bounds[part + 1]]
                     numbers[x], counts[x] = _unpack(body, "<u4", "<u8")
-            yield _messages([(number, 0, 10, c.renumbered(numbers, counts))])
-            c.triples(numbers, deal)
+            yield _messages([(number, 0, 10, c.numbered(numbers, counts))])
+            c.triples(c.words, deal)
             out = []
             for p in np.flatnonzero(np.diff(c.bounds)).tolist():
                 x = slice(c.bounds[p], c.bounds[p + 1])
-                u1, u2 = c.u1[x], c.u2[x]
-                cuts = np.flatnonzero(np.append(True, (u2[1:] != u2[:-1]) | (u1[1:] != u1[:-1])))
-                out.append((number, p, 0, _pack(u2[cuts], u1[cuts], np.diff(np.append(cuts, len(u1))).astype("<u4"), c.w[x], c.counts[x].astype("<u4"), level=HARD)))
+                out.append((number, p, 0, pack_triples(c.u2[x], c.u1[x], c.w[x], c.counts[x])))
                 if len(out) >= 64:
                     yield _messages(out)
                     out = []
@@ -446,25 +491,28 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: floa
     cuts = np.append(np.flatnonzero(np.diff(c[order], prepend=-1)), len(order))
     for x, y in zip(cuts, cuts[1:], strict=False):
         n = int(c[order[x]])
-        if n > EXACT:
+        if n > PLAIN:
             break
         if n == 2:  # one table or two
             k = order[x:y]
             two = (strength + discount * (others[k] + 1)) * p[k]
             out[k] += 1 - discount < rng.random(len(k)) * (1 - discount + two)
             continue
-        if n <= PLAIN:  # no weight is out of range
-            ways = np.exp(_seatings(discount)[n, 1 : n + 1])
-            for at in range(x, y, 100_000 // n + 1):
-                k = order[at : min(y, at + 100_000 // n + 1)]
-                cum = np.cumsum(ways * np.cumprod((strength + discount * (others[k, None] + np.arange(n))) * p[k, None], axis=1), axis=1)
-                out[k] = 1 + (cum < rng.random((len(k), 1)) * cum[:, -1:]).sum(1)
-            continue
+        ways = np.exp(_seatings(discount)[n, 1 : n + 1])  # no weight is out of range
         for at in range(x, y, 100_000 // n + 1):
             k = order[at : min(y, at + 100_000 // n + 1)]
-            logs = _seatings(discount)[n, 1 : n + 1] + np.cumsum(np.log((strength + discount * (others[k, None] + np.arange(n))) * p[k, None]), axis=1)
-            cum = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+            cum = np.cumsum(ways * np.cumprod((strength + discount * (others[k, None] + np.arange(n))) * p[k, None], axis=1), axis=1)
             out[k] = 1 + (cum < rng.random((len(k), 1)) * cum[:, -1:]).sum(1)
+    at, end = np.searchsorted(c[order], (PLAIN + 1, EXACT + 1)).tolist()
+    while at < end:  # dishes of up to a quarter more customers are weighed together; more tables than customers have no weight
+        n = int(c[order[at]] * 5 // 4)
+        k = order[at : min(end, at + 100_000 // n + 1)]
+        k = k[: np.searchsorted(c[k], n, side="right")]
+        n = int(c[k[-1]])
+        logs = _seatings(discount)[c[k], 1 : n + 1] + np.cumsum(np.log((strength + discount * (others[k, None] + np.arange(n))) * p[k, None]), axis=1)
+        cum = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+        out[k] = 1 + (cum < rng.random((len(k), 1)) * cum[:, -1:]).sum(1)
+        at += len(k)
     large = order[np.searchsorted(c[order], EXACT + 1) :]
     if len(large):
         out[large] = _draw_large(c[large], others[large], p[large], discount, strength, rng)
@@ -528,38 +576,43 @@ def draw_grid(logs: np.ndarray, rng: np.random.Generator) -> tuple[float, float]
 class Merged:
     """The distinct triples that chunks ask a part for, and their restaurants."""
 
-    def __init__(self, bodies: list[bytes], deal: Deal) -> None:
-        read = [_unpack(body, "<u4", "<u4", "<u4", "<u4", "<u4") for body in bodies]
+    def __init__(self, asked: Sequence[bytes | Sequence[np.ndarray]], deal: Deal) -> None:
+        """asked: what `unpack_triples` returns, or the same packed as it is."""
+        read = [_unpack(x, *["<u4"] * 5) if isinstance(x, bytes) else x for x in asked]
         u2, u1, times, w, n = (np.concatenate(x) for x in zip(*read, strict=True))
         self.lengths = [len(r[3]) for r in read]
-        contexts, of = np.unique(u2.astype(np.uint64) << np.uint64(32) | u1, return_inverse=True)
-        of = np.repeat(of, times)
-        keys, self.place = np.unique(of.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
-        self.context, w = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        split = lambda x, bits: ((x >> np.uint64(bits)).astype(np.int64), (x & np.uint64((1 << bits) - 1)).astype(np.int64))
+        (parents, of), wide = _ranked(u2), int(u1.max(initial=0)).bit_length()
+        contexts, of = _ranked(of << wide | u1)
+        self.parent = split(contexts, wide)[0]
+        self.words, word = _ranked(w)
+        wide = len(self.words).bit_length()
+        keys, self.place = _ranked(np.repeat(of, times) << wide | word)
+        self.context, self.word = split(keys, wide)
         self.c = np.bincount(self.place, weights=n).astype(np.int64)  # training customers; 0 for triples of held-out texts alone
-        middle = (contexts >> np.uint64(32)).astype(np.int64)
-        cuts = np.append(True, middle[1:] != middle[:-1])
-        parents, self.parent = middle[cuts], np.cumsum(cuts) - 1
-        self.words, self.word = np.unique(w, return_inverse=True)
         self.n_contexts, self.n_parents = len(contexts), len(parents)
-        hot = _places(parents, deal.hot)
-        pair = self.parent[self.context] << 32 | self.word
-        pairs = _distinct(pair[(self.c > 0) | (hot >= 0)[self.parent][self.context]])  # a shared restaurant may have customers elsewhere
-        self.pair = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))  # the dish one level up, -1 where it has no customers
-        self.pair[pairs[self.pair] != pair if len(pairs) else slice(None)] = -1
-        self.pair_parent, self.pair_word = pairs >> 32, pairs & 0xFFFFFFFF
+        hot = _places(parents.astype(np.int64), deal.hot)
+        pairs, at = _ranked(self.parent[self.context] << wide | self.word)
+        there = np.zeros(len(pairs), bool)
+        there[at[(self.c > 0) | (hot >= 0)[self.parent][self.context]]] = True  # a shared restaurant may have customers elsewhere
+        self.pair = np.where(there, np.cumsum(there) - 1, -1)[at]  # the dish one level up, -1 where it has no customers
+        self.pair_parent, self.pair_word = split(pairs[there], wide)
         self.pair_hot = hot[self.pair_parent]
 
-    def static(self) -> bytes:
+    def dishes(self) -> tuple[np.ndarray, ...]:
         """What the sweeps need: dishes of one customer have one table for good and are but counted."""
         one, many = self.c == 1, self.c > 1
         count = lambda x, n: np.bincount(x, minlength=n).astype("<u4")
         customers, times = np.unique(np.bincount(self.context, weights=self.c, minlength=self.n_contexts).astype("<u4"), return_counts=True)
-        return _pack(
+        return (
             count(self.context[one], self.n_contexts), count(self.pair[one], len(self.pair_word)), self.context[many].astype("<u4"), self.pair[many].astype("<u4"), self.c[many].astype("<u4"),
-            self.pair_parent.astype("<u4"), self.pair_word.astype("<u4"), (self.pair_hot + 1).astype("<u4"), customers, times.astype("<u4"), np.array([self.n_parents, len(self.words)], "<u4"), level=HARD,
+            self.pair_parent.astype("<u4"), self.pair_word.astype("<u4"), (self.pair_hot + 1).astype("<u4"), customers, times.astype("<u4"), np.array([self.n_parents, len(self.words)], "<u4"),
         )
 
+    def static(self) -> bytes:
+        """The same, packed."""
+        return _pack(*self.dishes(), level=HARD)
+
 
 class Whole(NamedTuple):
     """Customers and tables of the shared restaurants, by their place among the hot words."""
@@ -571,17 +624,22 @@ class Whole(NamedTuple):
 class Part:
     """A part's seating: tables of dishes with two customers or more (t3) and of their parents' dishes (t2); those of dishes of shared restaurants (hot: which, otherwise -1) are 0 here."""
 
-    def __init__(self, static: bytes) -> None:
-        self.ones3, self.ones2, self.context, self.pair, c3, self.parent, self.word, hot, self.customers, self.times, sizes = (x.astype(np.int64) for x in _unpack(static, *["<u4"] * 11))
+    def __init__(self, static: bytes | Sequence[np.ndarray]) -> None:
+        self.ones3, self.ones2, self.context, self.pair, c3, self.parent, self.word, hot, self.customers, self.times, sizes = (x.astype(np.int64) for x in (_unpack(static, *["<u4"] * 11) if isinstance(static, bytes) else static))
         self.c3, (self.n_parents, self.n_words) = c3, sizes.tolist()
         self.hot, self.own = hot - 1, hot == 0
         self.t3, self.t2 = np.ones(len(c3), np.int64), self.own.astype(np.int64)
+        self.bounds = np.searchsorted(self.parent, np.arange(self.n_parents + 1))  # dishes stand restaurant by restaurant
 
     def tables3(self) -> np.ndarray:
         return self.ones3 + np.bincount(self.context, weights=self.t3, minlength=len(self.ones3)).astype(np.int64)
 
     def tables2(self) -> np.ndarray:
-        return np.bincount(self.parent, weights=self.t2, minlength=self.n_parents).astype(np.int64)
+        return self.summed(self.t2)
+
+    def summed(self, x: np.ndarray) -> np.ndarray:
+        """Sums of whole numbers of the parents' dishes over each restaurant."""
+        return np.diff(np.append(0, np.cumsum(x))[self.bounds])
 
     def dishes2(self) -> np.ndarray:
         """Customers of the parents' dishes from the contexts of this part."""
@@ -603,7 +661,7 @@ class Part:
     def parents(self, level2: tuple[float, float], x2: np.ndarray | None, whole: Whole | None) -> tuple[np.ndarray, np.ndarray]:
         """Of the parents' dishes, c - d t and the restaurant's weight on the root, both over theta + C. x2: c - d t of shared restaurants' dishes."""
         c2, t2 = self.c2(), self.tables2()
-        own = np.bincount(self.parent, weights=c2, minlength=self.n_parents)
+        own = self.summed(c2)
         customers, tables, x = own[self.parent], t2[self.parent], c2 - level2[0] * self.t2
         if whole is not None and not self.own.all():
             k = np.flatnonzero(~self.own)
@@ -628,7 +686,7 @@ class Part:
 
     def likelihoods(self) -> np.ndarray:
         c2 = self.c2()
-        level2 = log_likelihoods((c2[self.own], self.t2[self.own]), self.tables2(), np.bincount(self.parent, weights=c2, minlength=self.n_parents).astype(np.int64))
+        level2 = log_likelihoods((c2[self.own], self.t2[self.own]), self.tables2(), self.summed(c2))
         level3 = log_likelihoods((self.c3, self.t3), self.tables3(), np.repeat(self.customers, self.times))
         return np.concatenate((level2.ravel(), level3.ravel()))
 
@@ -641,7 +699,7 @@ def root_probability(x: np.ndarray, level: tuple[float, float], customers: float
 def probabilities(m: Merged, p: Part, p0: np.ndarray, level2: tuple[float, float], level3: tuple[float, float], x2: np.ndarray | None = None, whole: Whole | None = None) -> np.ndarray:
     """p(w | u1 u2) of all triples of m in the seating p."""
     t2, t3 = p.tables2(), p.tables3()
-    own2 = np.bincount(p.parent, weights=p.c2(), minlength=p.n_parents)
+    own2 = p.summed(p.c2())
     own3 = np.bincount(m.context, weights=m.c, minlength=m.n_contexts)
     parent = m.parent[m.context]
     p2 = ((level2[1] + level2[0] * t2) / (level2[1] + own2))[parent] * p0[m.word]
@@ -658,10 +716,10 @@ def merge(asked: DataFrame, deal: Deal, word_parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _parts_of(batches):
-            m = Merged([body for *_, body in rows], deal)
-            static = m.static()
-            p = Part(static)
-            del m.place, m.context, m.pair, m.word, m.c
+            m = Merged([unpack_triples(body) for *_, body in rows], deal)
+            dishes = m.dishes()
+            static, p = _pack(*dishes, level=HARD), Part(dishes)
+            del dishes, m.place, m.context, m.pair, m.word, m.c
             yield _messages([(None, part, 0, static), (None, part, 2, _pack(m.words.astype("<u4")))])
             order, bounds = _dealt(m.words, word_parts)
             here = p.root_customers()
@@ -683,7 +741,7 @@ def root(told: DataFrame, word_parts: int, number: int, level: tuple[float, floa
         for part, rows in _parts_of(batches):
             asked = {chunk: _unpack(body, "<u4", "<u4") for chunk, kind, body in rows if kind == 6}
             now = {chunk: x[1] for chunk, x in asked.items()} | {chunk: _unpack(body, "<u4")[0] for chunk, kind, body in rows if kind == 8}
-            words, where = np.unique(np.concatenate([x[0] for x in asked.values()]), return_inverse=True)
+            words, where = _ranked(np.concatenate([x[0] for x in asked.values()]))
             c = np.bincount(where, weights=np.concatenate([now[k] for k in asked])).astype(np.int64)
             rng = np.random.default_rng((SEED, 1, part, number))
             before = next((_unpack(body, "<u4", "<u4") for _, kind, body in rows if kind == 12), None)
@@ -691,7 +749,7 @@ def root(told: DataFrame, word_parts: int, number: int, level: tuple[float, floa
             c2 = t2 = hot = np.empty(0, np.int64)
             if shared:
                 last = {chunk: x[2] for chunk, x in shared.items()} | {chunk: _unpack(body, "<u4")[0] for chunk, kind, body in rows if kind == 11}
-                dishes, at2 = np.unique(np.concatenate([x[0].astype(np.uint64) << np.uint64(32) | x[1] for x in shared.values()]), return_inverse=True)
+                dishes, at2 = _ranked(np.concatenate([x[0].astype(np.uint64) << np.uint64(32) | x[1] for x in shared.values()]))
                 hot, w = (dishes >> np.uint64(32)).astype(np.int64), np.searchsorted(words, dishes & np.uint64(0xFFFFFFFF))
                 c2 = np.bincount(at2, weights=np.concatenate([last[k] for k in shared])).astype(np.int64)
                 t2 = np.minimum(c2, 1)
@@ -776,8 +834,8 @@ def replies(rows: DataFrame, deal: Deal, word_parts: int, samples: Sequence[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, mine in _parts_of(batches):
             asked = [(chunk, body) for chunk, kind, body in mine if kind == 0]
-            m = Merged([body for _, body in asked], deal)
-            p = Part(m.static())
+            m = Merged([unpack_triples(body) for _, body in asked], deal)
+            p = Part(m.dishes())
             seated = _unpack(next(body for _, kind, body in mine if kind == 1), *["<u4"] * 2 * SAMPLES)
             (order, bounds), (dishes, cuts) = _dealt(m.words, word_parts), p.shared(m.words, word_parts)
             whole = np.zeros(len(m.c))
@@ -803,7 +861,7 @@ def score_chunks(numbered: DataFrame, answers: DataFrame, deal: Deal, n_all: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "chunk", ("part", "kind", "body")):
             c = Chunk(next(body for _, kind, body in rows if kind == 0), numbered=True)
-            c.triples(c.words.astype(np.int64), deal)
+            c.triples(c.words, deal)
             p = np.zeros(len(c.w))
             for part, kind, body in rows:
                 if kind == 1:

@@ -31,3 +31,34 @@ def test_only_what_lies_on_disk_at_the_peak_is_squeezed_hard():
     assert hpylm.QUICK < hpylm.HARD and quick == hpylm._pack(*arrays, level=hpylm.QUICK)
     for body in (quick, hard):
         assert all((a == b).all() for a, b in zip(arrays, hpylm._unpack(body, "<u4", "<u8", "<u4"), strict=True))
+
+
+def test_places_are_those_of_np_unique():
+    """Small items, items whose leading bits alone can be sorted, and items that differ in their last bits alone."""
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 700, 5000), rng.integers(0, 2**64, 3000, dtype=np.uint64)[rng.integers(0, 3000, 9000)], np.uint64(2**63) + rng.integers(0, 9, 500).astype(np.uint64), np.empty(0, np.uint32), np.zeros(1, "<u4")):
+        for a, b in zip(hpylm._ranked(x), np.unique(x, return_inverse=True), strict=True):
+            assert (a == b).all() and len(a) == len(b)
+
+
+def test_triples_are_sent_as_differences():
+    """They come back whole in any order of contexts, and take fewer bytes than themselves squeezed hard."""
+    rng = np.random.default_rng(5)
+    rows = np.unique(np.column_stack([rng.zipf(1.3, 60_000) % 2**20, rng.integers(0, 2**20, 60_000), rng.integers(0, 2**32, 60_000)]), axis=0).astype("<u4")
+    for x in (rows, rows[::-1], rows[:1], rows[:0]):
+        u2, u1, w = x.T
+        cuts = np.flatnonzero(np.append(True, (u2[1:] != u2[:-1]) | (u1[1:] != u1[:-1]))[: len(x)])
+        plain = u2[cuts], u1[cuts], np.diff(np.append(cuts, len(x))), w, w & 7
+        body = hpylm.pack_triples(u2, u1, w, w & 7)
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(hpylm.unpack_triples(body), plain, strict=True))
+        if x is rows:
+            assert len(body) < len(hpylm._pack(*(a.astype("<u4") for a in plain), level=hpylm.HARD))
+
+
+def test_dishes_of_like_size_are_weighed_together(monkeypatch):
+    """Dishes of 9 to 256 customers take few passes, not one for each number of customers."""
+    passes, table = [], hpylm._seatings
+    monkeypatch.setattr(hpylm, "_seatings", lambda d: passes.append(d) or table(d))
+    c = np.arange(9, 257)
+    t = hpylm.draw_tables(c, np.full(248, 50.0), np.full(248, 0.01), 0.8, 1.0, np.random.default_rng(6))
+    assert (t >= 1).all() and (t <= c).all() and len(passes) < 25
