@@ -15,24 +15,26 @@ EDGE_LINE = r"^\s*([+-]?\d+)\s+([+-]?\d+)(?:\s+(\S+))?"
 
 @dataclass(frozen=True)
 class Graph:
-    """Ids run from 0 to the largest one used; ids without arcs are vertices too. arcs has one row per (src, dst). settled: arcs are read from a table."""
+    """Ids run from 0 to the largest one used; ids without arcs are vertices too. arcs has one row per (src, dst). settled: arcs are read from a table. degrees: v and deg, where they are at hand."""
 
     vertices: DataFrame
     arcs: DataFrame
     directed: bool = False
     settled: bool = False
+    degrees: DataFrame | None = None
 
     @staticmethod
-    def from_edges(edges: DataFrame, directed: bool = False, n: int | None = None, checked: bool = False) -> Graph:
+    def from_edges(edges: DataFrame, directed: bool = False, n: int | None = None, checked: bool = False, rising: bool = False) -> Graph:
         """edges: src, dst and perhaps weight (1.0 if missing). The least weight of repeated edges stays. A negative id raises.
 
-        checked: n is given and no id is negative or beyond it, so that nothing needs to be read now."""
+        checked: n is given and no id is negative or beyond it, so that nothing needs to be read now. rising: no edge is repeated and src < dst in all, so that arcs need no shuffle of their own."""
         rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)).alias("weight"))
         low, high = (None, None) if checked else rows.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
         if low is not None and low < 0:
             raise ValueError("vertex ids must not be negative")
         size = n if n is not None else 0 if high is None else high + 1
-        arcs = dedup_edges(rows if directed else symmetrize(rows))
+        arcs = rows if directed else symmetrize(rows)
+        arcs = arcs if rising else dedup_edges(arcs)
         return Graph(edges.sparkSession.range(size).select(F.col("id").alias("v")), arcs, directed)
 
     @staticmethod
@@ -97,4 +99,4 @@ def copurchase_edges(lineitem: DataFrame, least_quantity: float = 40.0) -> DataF
 def copurchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = lineitem.agg(F.max("l_partkey")).first()[0] + 1
-    return Graph.from_edges(copurchase_edges(lineitem), n=n, checked=True)
+    return Graph.from_edges(copurchase_edges(lineitem), n=n, checked=True, rising=True)

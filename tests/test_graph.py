@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import centrality
 from lodestone.operators import graph as G
 from lodestone.operators.pairs import block_pairs
-from lodestone.sources.graphs import Graph, copurchase_edges, parse_edge_lines
+from lodestone.sources.graphs import Graph, copurchase_edges, copurchase_graph, parse_edge_lines
 
 
 def graph(spark, edges, directed=False, n=None):
@@ -268,3 +268,22 @@ def test_splits_sort_no_rows(spark, monkeypatch):
             df = spark.createDataFrame([(k,) for k in keys], "k long")
             assert sorted(r.fold for r in G.kfold(df, "k").collect()) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
             assert sum(r.is_test for r in G.train_test_split(df, "k").collect()) == 2
+
+
+def test_arcs_and_degrees_are_not_shuffled_again(spark, tmp_path, monkeypatch):
+    """Arcs of rising edges take no shuffle beyond the edges' own, a settled graph's degrees are read from a table, and PageRank is the same however often its lineage is cut."""
+    rows = [(o, p, 45.0) for o in range(40) for p in (o % 7, (3 * o + 1) % 11, (5 * o + 2) % 13)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = copurchase_graph(spark, str(tmp_path))
+    want = {(a, b) for o, a, _ in rows for q, b, _ in rows if o == q and a != b}
+    assert sorted(map(tuple, g.arcs.select("src", "dst").collect())) == sorted(want)
+    plan = g.arcs._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Union")[0] and "Exchange" not in plan.split("Union")[0]
+    settled = G.settled(g)
+    plan = G.degrees(settled)._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "Exchange" not in plan and column(G.degrees(settled), "deg") == column(G.degrees(g), "deg")
+    ranks = []
+    for rounds in (1, 2, 100):
+        monkeypatch.setattr(G, "KEPT_ROUNDS", rounds)
+        ranks.append(column(G.pagerank(settled, tolerance=0.0, max_iter=5), "pagerank"))
+    assert ranks[0] == pytest.approx(ranks[1]) and ranks[0] == pytest.approx(ranks[2])
