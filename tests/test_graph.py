@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,38 @@ def test_betweenness_equals_brute_force(spark, monkeypatch, directed, dealt):
     assert all(few[v] <= got[v] + 1e-9 for v in range(35))
 
 
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("most", [60, 10**6])
+def test_connected_parts_are_walked_where_they_are_held(spark, monkeypatch, directed, most):
+    """Parts of a graph too large to be broadcast: small ones share bins, others have one each, whose sources several tasks share, and those that no task holds go by blocks."""
+    r = random.Random(6)
+    edges = {(3, 3), *((b + r.randrange(size), b + r.randrange(size)) for b, size in ((0, 20), (20, 30), (50, 4), (54, 3), (57, 2), (59, 12)) for _ in range(2 * size))}
+    g = Graph.from_edges(spark.createDataFrame(sorted(edges), "src long, dst long"), directed=directed, n=75)
+    arcs = sorted((a, b) for a, b in (edges if directed else edges | {(b, a) for a, b in edges}) if a != b)
+    for name, value in (("BROADCAST_ARCS", most), ("PACKED_ARCS", 20), ("WALKED_ARCS", 50), ("SHARE", 4)):
+        monkeypatch.setattr(centrality, name, value)
+    want = brandes(75, arcs)
+    raw = centrality.by_component(g, g.vertices)
+    got = {x.v: x.raw for x in raw.collect()}
+    assert len(got) == raw.count() and all(abs(got.get(v, 0.0) - want[v]) < 1e-9 for v in range(75))
+    few = {x.v: x.raw for x in centrality.by_component(g, g.vertices.filter("v % 4 = 0")).collect()}
+    assert all(few.get(v, 0.0) <= want[v] + 1e-9 for v in range(75)) and sum(few.values()) < sum(want)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_a_walk_leaves_nothing_behind(directed):
+    """Levels of few arcs and of many, in one graph of a ring, a dense part and a separate one; all walks share their arrays."""
+    r = random.Random(7)
+    arcs = {(i, (i + 1) % 300) for i in range(300)} | {(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(900)} | {(300, 301), (301, 302), (302, 300)}
+    arcs = sorted((a, b) for a, b in (arcs if directed else arcs | {(b, a) for a, b in arcs}) if a != b)
+    src, to = (np.array(x) for x in zip(*arcs, strict=True))
+    held = centrality.Held(np.searchsorted(src, np.arange(304)), to)
+    for v in range(303):
+        held.walk(v)
+    assert held.unseen.all() and not held.now.any() and not held.sigma.any() and not held.delta.any()
+    assert held.total.tolist() == pytest.approx(brandes(303, arcs))
+
+
 @pytest.mark.parametrize("pairs", [0, 10**9])
 def test_levels_are_broadcast_or_merged(spark, monkeypatch, pairs):
     """Levels of few pairs go to the arcs, larger ones are merged with arcs that lie in order; both give the same."""

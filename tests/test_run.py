@@ -3,9 +3,12 @@
 import pytest
 
 from lodestone.__main__ import Options, main, options
+from lodestone.operators import graph as G
 from lodestone.operators import runs as R
 from lodestone.operators.endtoend import FEATURES, PHASES, analyse
-from lodestone.sources.graphs import Graph
+from lodestone.plans import graph_queries
+from lodestone.sources.graphs import Graph, copurchase_graph
+from tests.test_graph import brandes
 
 
 def test_flags():
@@ -41,3 +44,33 @@ def test_run_tells_degree_classes(spark):
     run = analyse(lambda: Graph.barabasi_albert(spark, 1500, 3), trees=30, samples=100, rounds=10)
     assert run.vertices == 1500 and run.judged.count() == 300 and set(run.forest.importances()) == set(FEATURES)
     assert run.metrics().first().macro_f1 >= 0.7
+
+
+def test_the_query_does_the_whole_run(spark, tmp_path, monkeypatch):
+    """end_to_end: paths from every vertex, PageRank until it settles, as many trees as a run has by itself."""
+    rows = [(o, p, 45.0) for o in range(60) for p in (o % 29, (3 * o + 1) % 41, (5 * o * o + 2) % 37)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    runs, made = [], {}
+    monkeypatch.setattr(graph_queries, "analyse", lambda *a, **k: runs.append(analyse(*a, **k)) or runs[-1])
+
+    def kept(name):
+        f = getattr(G, name)
+
+        def call(g, *args, **options):
+            made[name] = {r.v: r[name] for r in f(g, *args, **options).collect()}
+            return f(g, *args, **options)
+
+        monkeypatch.setattr(G, name, call)
+
+    kept("betweenness")
+    kept("pagerank")
+    assert graph_queries.end_to_end(spark, str(tmp_path)).count() == 1
+    g = copurchase_graph(spark, str(tmp_path))
+    n = g.vertices.count()
+    monkeypatch.undo()
+    arcs = sorted(map(tuple, g.arcs.select("src", "dst").collect()))
+    want = [x / ((n - 1) * (n - 2) / 2) for x in brandes(n, arcs)]
+    assert [made["betweenness"][v] for v in range(n)] == pytest.approx(want)
+    settled = {r.v: r.pagerank for r in G.pagerank(g).collect()}
+    assert [made["pagerank"][v] for v in range(n)] == pytest.approx([settled[v] for v in range(n)], abs=1e-12)
+    assert len(runs[0].forest.nodes) == 50
